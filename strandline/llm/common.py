@@ -150,3 +150,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     keys = spark.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).join(F.broadcast(keys), "doc_id").filter(f"length(text) <= {max_chars}").orderBy("doc_id", "text").limit(4 * per_class).collect()
     return [(r.text, r.y) for r in got]
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's 0-based place in the global order: range partitions, and the counts of those before."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    before, rows = 0, []
+    for p, n in sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect()):  # one row a partition
+        rows.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_p long, _before long")
+    return ranged.join(F.broadcast(offsets), part == offsets["_p"]).withColumn(name, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_before")

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
+from strandline.llm.mixing import mix_sources
+from strandline.llm.neighbours import nearest
 from strandline.llm.quality import score_quality
 from strandline.llm.secrets import scan_secrets
+from strandline.llm.simhash import near_duplicates
 from strandline.llm.toxicity import score_toxicity
 
 
@@ -16,16 +19,28 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op6_toxicity, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_mix_sources, op6_toxicity, op7_nearest_neighbours, op8_simhash_near_duplicates, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
