@@ -12,6 +12,7 @@ from strandline.llm.neighbours import nearest
 from strandline.llm.quality import score_quality
 from strandline.llm.secrets import scan_secrets
 from strandline.llm.simhash import near_duplicates
+from strandline.llm.suffixes import remove_repeats
 from strandline.llm.toxicity import score_toxicity
 
 
@@ -23,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_mix_sources, op6_toxicity, op7_nearest_neighbours, op8_simhash_near_duplicates, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_mix_sources, op4_suffix_array_dedup, op6_toxicity, op7_nearest_neighbours, op8_simhash_near_duplicates, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
