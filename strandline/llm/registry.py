@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
+from strandline.llm.decontaminate import contaminated
 from strandline.llm.lines import ORACLE_SQL as LINES_SQL
 from strandline.llm.lines import dedup_lines
 from strandline.llm.mixing import mix_sources
@@ -23,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_mix_sources, op4_suffix_array_dedup, op5_sentence_span_dedup, op6_toxicity, op7_nearest_neighbours, op8_simhash_near_duplicates, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_mix_sources, op4_suffix_array_dedup, op5_sentence_span_dedup, op6_toxicity, op7_nearest_neighbours, op8_simhash_near_duplicates, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
