@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix, slices, stored, text_column
+from strandline.llm.common import mix, slices, text_column
 
 WINDOW = 50
 GRAM = 16
@@ -153,8 +154,41 @@ def first_holders(blob: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.n
     return out[keep]
 
 
-def _number(column: pa.Array) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy(zero_copy_only=False)
+def _short(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part that an anchor goes to, and its lowest five bytes."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), h & np.uint64((1 << 40) - 1)
+
+
+def _five(low: np.ndarray) -> bytes:
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unfive(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return np.concatenate([raw, np.zeros((len(raw), 3), np.uint8)], 1).reshape(-1).view("<u8").astype(np.uint64)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _array(x: np.ndarray) -> bytes:
+    """An array's bytes, each place of the numbers by itself, compressed."""
+    return _squeezed(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unarray(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(_unsqueezed(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in schema}, schema)
 
 
 def _runs_of(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,25 +208,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = -(-total // PART_BYTES) + 1
     plain = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
-    def ranges(h: np.ndarray) -> np.ndarray:
-        """The part that an anchor goes to."""
-        return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct anchors of each document, by part and in it by shard, five bytes each."""
+        schema = pa.schema([("part", pa.int32()), ("h", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal count
             if count:
-                h = np.concatenate([x for x, _ in held])
+                part, low = _short(np.concatenate([x for x, _ in held]), parts)
                 s = np.concatenate([x for _, x in held])
-                by = np.argsort(h)
-                h, s = h[by], s[by]
-                cuts = np.searchsorted(p := ranges(h), np.unique(p))
-                for lo, hi in zip(cuts, [*cuts[1:], len(h)]):
-                    part = np.argsort(s[lo:hi], kind="stable")
-                    yield pa.RecordBatch.from_pydict({"part": np.array([p[lo]], np.int32), "h": [h[lo:hi][part].tobytes()[:]], "s": [s[lo:hi][part].tobytes()]}, pa.schema([("part", pa.int32()), ("h", pa.binary()), ("s", pa.binary())]))
+                by = np.lexsort((s, part))
+                part, low, s = part[by], low[by], s[by]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+                    who, n = np.unique(s[lo:hi], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"part": [int(part[lo])], "h": [_five(low[lo:hi])], "s": [who.tobytes()], "n": [n.astype(np.int32).tobytes()]}, schema)
             held.clear()
             count = 0
 
@@ -200,8 +232,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             shard = piece.column("shard").to_numpy()
             for text, s in zip(piece.column("text").cast(pa.binary()).to_pylist(), shard.tolist()):
                 if len(text) >= WINDOW:
-                    found = [a for _, _, a in document_runs(np.frombuffer(text, np.uint8))]
-                    h = np.unique(np.concatenate(found))
+                    h = np.unique(np.concatenate([a for _, _, a in document_runs(np.frombuffer(text, np.uint8))]))
                     held.append((h, np.full(len(h), s, np.int32)))
                     count += len(h)
             if count >= 1 << 21:
@@ -209,55 +240,95 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     def shared(group: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()])
-        s = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("s").to_pylist()])
+        """Of one part, the anchors of two documents or more, for each shard that has them."""
+        part = np.uint64(group.column("part")[0].as_py()) << np.uint64(40)
+        h = np.concatenate([_unfive(x) for x in group.column("h").to_pylist()])
+        s = np.concatenate([np.repeat(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(group.column("s").to_pylist(), group.column("n").to_pylist())])
         by = np.argsort(h)
         h, s = h[by], s[by]
         same = h[1:] == h[:-1]
         both = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         h, s = h[both], s[both]
         by = np.argsort(s, kind="stable")
-        h, s = h[by], s[by]
+        h, s = h[by] | part, s[by]
         who, first = np.unique(s, return_index=True)
         return pa.table({"shard": pa.array(who, pa.int32()), "h": pa.array([np.unique(x).tobytes() for x in np.split(h, first[1:])] if len(who) else [], pa.binary())})
 
-    def sorted_rows(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-        doc = _number(group.column("doc_id").combine_chunks())
-        text = group.column("text").cast(pa.binary()).to_pylist()
-        by = sorted(range(len(text)), key=lambda i: (doc[i], text[i]))
-        return doc[by], [text[i] for i in by]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents by shard, compressed: ids, lengths and texts."""
+        schema = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            for s, docs in held.items():
+                cells = {"shard": [s], "ids": [np.array([d for d, _ in docs], np.int64).tobytes()], "lengths": [np.array([len(t) for _, t in docs], np.int64).tobytes()], "texts": [_squeezed(b"".join(t for _, t in docs))]}
+                yield pa.RecordBatch.from_pydict(cells, schema)
+            held.clear()
+            count = 0
+
+        for piece in slices(batches):
+            ids = piece.column("doc_id").fill_null(LAST).to_pylist()
+            for d, s, t in zip(ids, piece.column("shard").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
+                held.setdefault(s, []).append((d, t))
+                count += len(t)
+            if count >= 16 << 20:
+                yield from flush()
+        yield from flush()
+
+    def unpacked(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+        """Ids and texts in order."""
+        pairs = []
+        for ids, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "lengths", "texts"))):
+            blob, at = _unsqueezed(texts), 0
+            for d, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist()):
+                pairs.append((d, blob[at : at + n]))
+                at += n
+        pairs.sort()
+        return np.array([d for d, _ in pairs], np.int64), [t for _, t in pairs]
+
+    sent = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("runs", "length", "anchor", "doc", "at", "row", "start")], *[(c, pa.binary()) for c in ("ids", "lengths", "texts", "shas")]])
+    back = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("cut", "ids", "lengths", "texts", "shas")]])
 
     def send(group: pa.Table, known: pa.Table) -> pa.Table:
-        """Runs under shared anchors: per part, the distinct ones' bytes and where the least doc_id has them; and what is decided here."""
-        out = {k: [] for k in ("part", "shard", "runs", "length", "anchor", "doc", "at", "row", "start")}
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-        schema = pa.schema(list(zip(out, types)))
-        if not known.num_rows or not group.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(out, types)}, schema)
+        """Runs under shared anchors: per part, the distinct ones' bytes and where the least doc_id has them.
+
+        To the shard itself (a part below zero) go the runs that are decided here, the texts of documents that have
+        shared anchors, and the finished results of those that have none.
+        """
+        if not group.num_rows:
+            return _table([], sent)
         shard = group.column("shard")[0].as_py()
-        lookup = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("h").to_pylist()]))
-        doc, text = sorted_rows(group)
+        doc, text = unpacked(group)
+        lookup = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("h").to_pylist()] or [np.zeros(0, np.uint64)]))
         rows, starts, lengths, anchor, key = [], [], [], [], []
-        for i, t in enumerate(text):
-            buf = np.frombuffer(t, np.uint8)
-            for start, length, a in document_runs(buf):
-                at = np.minimum(np.searchsorted(lookup, a), len(lookup) - 1)
-                hit = lookup[at] == a
+        open_ = np.zeros(len(text), bool)
+        for i, t in enumerate(text if len(lookup) else []):
+            for start, length, a in document_runs(np.frombuffer(t, np.uint8)):
+                part, low = _short(a, parts)
+                short = low | (part.astype(np.uint64) << np.uint64(40))
+                hit = lookup[np.minimum(np.searchsorted(lookup, short), len(lookup) - 1)] == short
                 if hit.any():
+                    open_[i] = True
                     start, length = start[hit], length[hit]
                     rows.append(np.full(len(start), i, np.int32)), starts.append(start), lengths.append(length), anchor.append(a[hit])
                     key += [hash(t[s : s + n + WINDOW - 1]) for s, n in zip(start.tolist(), length.tolist())]
+        done, left = np.flatnonzero(~open_), np.flatnonzero(open_)
+        out = [
+            {"part": -1 - shard, "shard": shard, "ids": doc[done].tobytes(), "lengths": np.array([len(text[i]) for i in done], np.int64).tobytes(), "shas": b"".join(hashlib.sha256(text[i]).digest() for i in done)},
+            {"part": -1 - shard, "shard": shard, "ids": doc[left].tobytes(), "lengths": np.array([len(text[i]) for i in left], np.int64).tobytes(), "texts": _squeezed(b"".join(text[i] for i in left))},
+        ]
         if not rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(out, types)}, schema)
+            return _table(out, sent)
+        renumber = np.cumsum(open_) - 1  # rows count the shard's open documents from here on
         rows, starts, lengths, anchor = map(np.concatenate, (rows, starts, lengths, anchor))
         _, first, kind = np.unique(np.array(key, np.int64), return_index=True, return_inverse=True)  # first: rows are by doc_id
-        least = doc[rows[first]]
-        late = doc[rows] > least[kind]
+        late = doc[rows] > doc[rows[first]][kind]
+        number = renumber[rows].astype(np.int32)
         if late.any():
-            out["part"].append(-1), out["shard"].append(shard), out["row"].append(rows[late].tobytes()), out["start"].append(starts[late].astype(np.int32).tobytes()), out["length"].append(lengths[late].astype(np.int32).tobytes())
-            for k in ("runs", "anchor", "doc", "at"):
-                out[k].append(None)
-        to = ranges(anchor[first])
+            out.append({"part": -1 - shard, "shard": shard, "row": _array(number[late]), "start": _array(starts[late].astype(np.int32)), "length": _array(lengths[late].astype(np.int32))})
+        to, _ = _short(anchor[first], parts)
         by = np.argsort(to, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) != 0]))
         early = np.flatnonzero(~late)
@@ -268,26 +339,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             where = [early[lo_of[k] : lo_of[k + 1]] for k in mine.tolist()]
             at = np.concatenate(where)
             f = first[mine]
-            out["part"].append(int(to[mine[0]])), out["shard"].append(shard)
-            out["runs"].append(b"".join(text[r][s : s + n + WINDOW - 1] for r, s, n in zip(rows[f].tolist(), starts[f].tolist(), lengths[f].tolist())))
-            out["length"].append(lengths[f].astype(np.int32).tobytes()), out["anchor"].append(anchor[f].tobytes()), out["doc"].append(doc[rows[f]].tobytes())
-            out["at"].append(np.array([len(w) for w in where], np.int32).tobytes()), out["row"].append(rows[at].tobytes()), out["start"].append(starts[at].astype(np.int32).tobytes())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)}, schema)
+            runs = b"".join(text[r][s : s + n + WINDOW - 1] for r, s, n in zip(rows[f].tolist(), starts[f].tolist(), lengths[f].tolist()))
+            out.append(
+                {"part": int(to[mine[0]]), "shard": shard, "runs": _squeezed(runs), "length": _array(lengths[f].astype(np.int32)), "anchor": (anchor[f] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()}
+                | {"doc": _array(doc[rows[f]]), "at": _array(np.array([len(w) for w in where], np.int32)), "row": _array(number[at]), "start": _array(starts[at].astype(np.int32))}
+            )
+        return _table(out, sent)
 
     def decide(group: pa.Table) -> pa.Table:
-        """Suffix arrays of one part; intervals of removed windows, by shard."""
-        get = lambda c, t: [np.frombuffer(x, t) for x in group.column(c).to_pylist()]
-        length, anchor, doc, at = get("length", np.int32), get("anchor", np.uint64), get("doc", np.int64), get("at", np.int32)
+        """Suffix arrays of one part; intervals of removed windows, by shard. What is for a shard itself passes."""
+        if group.column("part")[0].as_py() < 0:
+            out = [{c: r[c] for c in ("shard", "ids", "lengths", "texts", "shas")} for r in group.to_pylist()]
+            for r, x in zip(group.to_pylist(), out):
+                if r["row"] is not None:
+                    row, start, n = (_unarray(r[c], np.int32) for c in ("row", "start", "length"))
+                    x["cut"] = _array(np.stack([row, start, n + WINDOW - 1]))
+            return _table(out, back)
+        get = lambda c, t: [_unarray(x, t) for x in group.column(c).to_pylist()]
+        length, doc, at = get("length", np.int32), get("doc", np.int64), get("at", np.int32)
+        anchor = [np.frombuffer(x, np.uint32) for x in group.column("anchor").to_pylist()]
         source = np.repeat(np.arange(group.num_rows), [len(x) for x in length])
         length, anchor, doc, at = (np.concatenate(x) for x in (length, anchor, doc, at))
-        blob = b"".join(group.column("runs").to_pylist())
+        blob = b"".join(map(_unsqueezed, group.column("runs").to_pylist()))
         span = length.astype(np.int64) + WINDOW - 1
         begin = np.cumsum(span) - span
         occ_from = np.cumsum(at) - at
         row, start = np.concatenate(get("row", np.int32)), np.concatenate(get("start", np.int32))
         shard = np.array(group.column("shard").to_pylist(), np.int32)[source]
         pieces = -(-len(blob) // PART_BYTES)
-        piece = (anchor & np.uint64(0xFFFFFFFF)) * np.uint64(pieces) >> np.uint64(32)
+        piece = anchor.astype(np.uint64) * np.uint64(pieces) >> np.uint64(32)
         found: dict[int, list[np.ndarray]] = {}
         for p in range(pieces):
             mine = np.flatnonzero(piece == p)
@@ -312,45 +392,45 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             copies = at[who]
             which = np.repeat(np.arange(len(who)), copies)
             occ = occ_from[who][which] + np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-            made = np.stack([row[occ], start[occ] + a[which], start[occ] + b[which]], 1).astype(np.int32)
+            made = np.stack([row[occ], start[occ] + a[which], b[which] - a[which]], 1).astype(np.int32)
             to = shard[who][which]
             by = np.argsort(to, kind="stable")
             ids, cuts = np.unique(to[by], return_index=True)
             for s, block in zip(ids.tolist(), np.split(made[by], cuts[1:])):
                 found.setdefault(s, []).append(block)
-        return pa.table({"shard": pa.array(list(found), pa.int32()), "cut": pa.array([np.concatenate(x).tobytes() for x in found.values()], pa.binary())})
+        return _table([{"shard": k, "cut": _array(np.concatenate(x).T)} for k, x in found.items()], back)
 
-    def finish(group: pa.Table, cuts: pa.Table) -> pa.Table:
-        doc, text = sorted_rows(group)
-        cut = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 3) for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
+    def finish(group: pa.Table) -> pa.Table:
+        cut = np.concatenate([_unarray(x, np.int32).reshape(3, -1).T for x in group.column("cut").to_pylist() if x] or [np.zeros((0, 3), np.int32)])
         cut = cut[np.argsort(cut[:, 0], kind="stable")]
-        lows = np.searchsorted(cut[:, 0], np.arange(len(text) + 1))
         out = []
-        for i, t in enumerate(text):
-            part = cut[lows[i] : lows[i + 1]]
-            removed = spans = 0
-            kept = t
-            if len(part):
-                edge = np.zeros(len(t) + 1, np.int32)
+        for r in group.to_pylist():
+            if r["ids"] is None:
+                continue
+            ids, lengths = (np.frombuffer(r[c], np.int64).tolist() for c in ("ids", "lengths"))
+            if r["shas"] is not None:
+                out += [(d, n, 0, 0, r["shas"][32 * i : 32 * i + 32].hex()) for i, (d, n) in enumerate(zip(ids, lengths))]
+                continue
+            blob, at = np.frombuffer(_unsqueezed(r["texts"]), np.uint8), 0
+            lows = np.searchsorted(cut[:, 0], np.arange(len(ids) + 1))
+            for i, (d, n) in enumerate(zip(ids, lengths)):
+                part = cut[lows[i] : lows[i + 1]]
+                edge = np.zeros(n + 1, np.int32)
                 np.add.at(edge, part[:, 1], 1)
-                np.add.at(edge, part[:, 2], -1)
+                np.add.at(edge, part[:, 1] + part[:, 2], -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                removed = int(gone.sum())
-                spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            out.append((None if doc[i] == LAST else int(doc[i]), len(t), removed, spans, hashlib.sha256(kept).hexdigest()))
-        return pa.table(dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), (pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.string()])))))
-
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    reported = plain.mapInArrow(anchors, "part int, h binary, s binary").groupBy("part").applyInArrow(shared, "shard int, h binary")
-    runs = stored(plain.groupBy("shard").cogroup(reported.groupBy("shard")).applyInArrow(send, "part int, shard int, runs binary, length binary, anchor binary, doc binary, at binary, row binary, start binary"))
-    there = runs.filter("part >= 0").groupBy("part").applyInArrow(decide, "shard int, cut binary")
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r, s, n = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("row", "start", "length"))
-                yield pa.RecordBatch.from_pydict({"shard": batch.column("shard").slice(i, 1), "cut": pa.array([np.stack([r, s, s + n + WINDOW - 1], 1).tobytes()], pa.binary())})
-
-    here = runs.filter("part < 0").select("shard", "row", "start", "length").mapInArrow(local, "shard int, cut binary")
-    return plain.groupBy("shard").cogroup(there.union(here).groupBy("shard")).applyInArrow(finish, result)
+                spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if n else 0
+                out.append((d, n, int(gone.sum()), spans, hashlib.sha256(blob[at : at + n][~gone].tobytes()).hexdigest()))
+                at += n
+        names, types = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [pa.int64()] * 4 + [pa.string()]
+        columns = list(zip(*[(None if r[0] == LAST else r[0], *r[1:]) for r in out])) or [()] * 5
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types)})
+
+    def sql(schema: pa.Schema) -> str:
+        return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
+
+    reported = plain.mapInArrow(anchors, "part int, h binary, s binary, n binary").groupBy("part").applyInArrow(shared, "shard int, h binary")
+    packed = plain.mapInArrow(pack, "shard int, ids binary, lengths binary, texts binary")
+    runs = packed.groupBy("shard").cogroup(reported.groupBy("shard")).applyInArrow(send, sql(sent))
+    decided = runs.groupBy("part").applyInArrow(decide, sql(back))
+    return decided.groupBy("shard").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
