@@ -201,3 +201,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0) -> DataFrame:
     """The k nearest of each vector whose vec_id is divisible by `every`."""
     return search_index(build_index(vectors), usable(vectors.filter(F.col("vec_id") % every == 0)), k, factor)
+
+
+ORACLE_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

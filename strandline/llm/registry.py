@@ -11,6 +11,7 @@ from strandline.llm.decontaminate import contaminated
 from strandline.llm.lines import ORACLE_SQL as LINES_SQL
 from strandline.llm.lines import dedup_lines
 from strandline.llm.mixing import mix_sources
+from strandline.llm.neighbours import ORACLE_SQL as NEIGHBOURS_SQL
 from strandline.llm.neighbours import nearest
 from strandline.llm.quality import score_quality
 from strandline.llm.secrets import scan_secrets
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINES_SQL}
+    return {"op7_nearest_neighbours": NEIGHBOURS_SQL, "op9_line_dedup": LINES_SQL}
