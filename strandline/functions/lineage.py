@@ -5,17 +5,41 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a folder of our own where that is unset) and read from there."""
+def shared_dir(df: DataFrame) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     sc = df.sparkSession.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="strandline-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not sc.getCheckpointDir():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            where = tempfile.mkdtemp(prefix="strandline-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
+    return where
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    shared_dir(df)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder: pruned by column, and by the partitioning column's folders."""
+    path = f"{shared_dir(df).rstrip('/')}/strandline-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+#: Rows of (at most) a few short strings that may be broadcast: some 20 MB.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if its counted rows are few; beyond that the join shuffles."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.lineage import settle
+from strandline.functions.lineage import settle, small
 from strandline.functions.top import first
 from strandline.operators.traversal import callable_ids
 from strandline.session import GraphSession
@@ -18,7 +18,8 @@ def _trim(e: DataFrame) -> DataFrame:
     """Without edges of nodes that lack a way in or a way out, which are in no cycle."""
     n = e.count()
     while True:
-        e = settle(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+        targets, sources = (small(e.select(F.col(a).alias(b)).distinct(), n) for a, b in (("t", "s"), ("s", "t")))
+        e = settle(e.join(targets, "s", "left_semi").join(sources, "t", "left_semi").select("s", "t"))
         now = e.count()
         if now == n or now == 0:
             return e
@@ -27,12 +28,14 @@ def _trim(e: DataFrame) -> DataFrame:
 
 def _spread(e: DataFrame, colour: DataFrame) -> DataFrame:
     """The least node that reaches each node, by repeated relaxation of (id, c) along e."""
+    mark, n = None, colour.count()
     while True:
-        offered = colour.join(e, colour.id == e.s).select(F.col("t").alias("id"), "c")
+        offered = e.join(small(colour, n), colour.id == e.s).select(F.col("t").alias("id"), "c")
         new = settle(colour.union(offered).groupBy("id").agg(F.min("c").alias("c")))
-        if new.exceptAll(colour).isEmpty():
+        now = new.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
+        if now == mark:
             return new
-        colour = new
+        colour, mark = new, now
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,19 +50,24 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         e = _trim(e)
         if e.isEmpty():
             break
-        every = e.select(F.col("s").alias("id")).union(e.select("t")).distinct()
+        every = settle(e.select(F.col("s").alias("id")).union(e.select("t")).distinct())
         colour = _spread(e, every.withColumn("c", F.col("id")))
         # within one colour, what reaches its root backwards is the root's component
-        named = e.join(colour.select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("ct")), "t").filter("cs = ct")
+        n = colour.count()
+        named = e.join(small(colour.select(F.col("id").alias("s"), F.col("c").alias("cs")), n), "s").join(small(colour.select(F.col("id").alias("t"), F.col("c").alias("ct")), n), "t").filter("cs = ct")
         inner = settle(named.select("s", "t", F.col("cs").alias("c")))
         done = settle(colour.filter("id = c").select("id", "c"))
-        frontier = done
+        frontier, rows = done, done.count()
+        total = rows
         while True:
-            back = inner.join(frontier, (inner.t == frontier.id) & (inner.c == frontier.c)).select(F.col("s").alias("id"), inner.c).distinct()
-            frontier = settle(back.join(done, ["id", "c"], "left_anti"))
-            if frontier.isEmpty():
+            back = inner.join(small(frontier, rows), (inner.t == frontier.id) & (inner.c == frontier.c)).select(F.col("s").alias("id"), inner.c).distinct()
+            frontier = settle(back.join(small(done, total), ["id", "c"], "left_anti"))
+            rows = frontier.count()
+            if rows == 0:
                 break
-            done = settle(done.union(frontier))
+            total += rows
+            done = done.union(frontier)
+        done = settle(done)
         size = done.groupBy("c").count().filter("count > 1")
         part = done.join(size, "c").select("id", F.col("c").alias("component"))
         found = settle(part if found is None else found.union(part))

@@ -4,7 +4,7 @@ A closure runs level by level: the frontier joins the edges, rows are reduced to
 (edge kind, then neighbour), and an anti-join takes out what was reached before, so that a node appears once, at
 its least depth. All starts of a multi-source closure travel together, keyed by root. Each level is written to the
 checkpoint folder, so that plans stay flat however deep the closure, and survive the loss of executors.
-Adaptive execution broadcasts a frontier or an edge table only under the session's size limit.
+A frontier is broadcast while its counted rows are few; beyond that the join shuffles.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.lineage import settle
+from strandline.functions.lineage import settle, small
 from strandline.functions.top import first
 from strandline.session import CALLABLE_KINDS, TYPE_KINDS, GraphSession
 
@@ -48,12 +48,15 @@ def bfs(steps: DataFrame, starts: DataFrame, max_depth: int, keep_start: bool =
     void = [F.lit(None).cast(t).alias(c) for c, t in zip(("via", *PAYLOAD), ("string", "string", "int", "boolean", "double"))]
     zero = starts.select("root", "id", F.lit(0).alias("depth"), *void)
     frontier, levels, seen = starts, [zero], starts
+    n = total = starts.count()
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(steps, frontier.id == steps.src).select("root", F.col("dst").alias("id"), F.struct("kind", F.col("src").alias("via"), "line", "resolved", "confidence").alias("e"))
+        reached = steps.join(small(frontier, n), steps.src == frontier.id).select("root", F.col("dst").alias("id"), F.struct("kind", F.col("src").alias("via"), "line", "resolved", "confidence").alias("e"))
         best = reached.groupBy("root", "id").agg(F.min_by("e", F.struct("e.kind", "e.via")).alias("e"))
-        level = best.join(seen, ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"), "e.via", *[f"e.{c}" for c in PAYLOAD])
+        level = best.join(small(seen, total), ["root", "id"], "left_anti").select("root", "id", F.lit(depth).alias("depth"), "e.via", *[f"e.{c}" for c in PAYLOAD])
         level = settle(level)
-        if level.isEmpty():
+        n = level.count()
+        total += n
+        if n == 0:
             break
         levels.append(level)
         frontier = level.select("root", "id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.functions.lineage import stored
 from strandline.session import GraphSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -80,12 +81,12 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> GraphSession:
-    """The graph of one folder of tables; its edges are persisted once an application, to disk where memory ends."""
+    """The graph of one folder of tables; written once an application, edges partitioned by kind."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
         tables = load(spark, sf_dir)
         g = GraphSession(spark.sql(NODES_SQL, **tables).dropDuplicates(["id"]), spark.sql(EDGES_SQL, **tables).dropDuplicates(["source", "target", "kind"]))
-        _held[key] = g.persist()
+        _held[key] = GraphSession(stored(g.nodes), stored(g.edges, "kind"))
     return _held[key]
 
 
