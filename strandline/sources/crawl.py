@@ -108,15 +108,15 @@ def discover(spark: SparkSession, root: str, options: CrawlOptions = CrawlOption
     return out
 
 
-def parse_text(text: str, module: str, language: str) -> tuple[str | None, str | None]:
+def parse_text(text: str, module: str, language: str, aliases: dict[str, str] | None = None) -> tuple[str | None, str | None]:
     """(parsed as JSON, error); a file that cannot be parsed reports why and gives nothing."""
     try:
-        return json.dumps(parse_python.parse(text, module) if language == "python" else parse_braces.parse(text, module, language)), None
+        return json.dumps(parse_python.parse(text, module) if language == "python" else parse_braces.parse(text, module, language, aliases)), None
     except (SyntaxError, ValueError, RecursionError) as e:
         return None, f"{type(e).__name__}: {e}"
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """MANIFEST rows of files (path, size, mtime_ms, language, module, content)."""
     schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.int64()), ("sha256", pa.string()), ("language", pa.string()), ("parsed", pa.string()), ("error", pa.string())])
 
@@ -124,7 +124,7 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"])
+                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"], aliases)
                 rows.append({"path": r["path"], "size": r["size"], "mtime_ms": r["mtime_ms"], "sha256": r["sha256"], "language": r["language"], "parsed": parsed, "error": error})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -150,7 +150,7 @@ def crawl(spark: SparkSession, root: str, manifest: DataFrame | None = None, opt
     touched = rest.filter(F.col("sha256") == F.col("old_sha")).select("path", "size", "mtime_ms", "sha256", "language", F.col("old_parsed").alias("parsed"), F.col("old_error").alias("error"), F.lit("touched").alias("status"))
     new = rest.filter(F.col("old_sha").isNull() | (F.col("sha256") != F.col("old_sha")))
     status = new.select("path", F.when(F.col("old_sha").isNull(), "added").otherwise("updated").alias("status"))
-    parsed = parse_files(new).join(status, "path")
+    parsed = parse_files(new, options.aliases).join(status, "path")
     return kept.union(touched).union(parsed.select(*names, "status")).union(large.select(*names, "status"))
 
 

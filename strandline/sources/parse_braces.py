@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from strandline.sources.aliases import match_alias
 from strandline.sources.rules import ADVICE_ANNOTATIONS, BEAN_ANNOTATIONS, ENTRY_ANNOTATIONS, INJECT_ANNOTATIONS, PROXY_ANNOTATIONS, REFLECTIVE_CALLS, ROUTE_ANNOTATIONS, ROUTE_PREFIX_ANNOTATIONS, ROUTER_METHODS
 
 TOKEN = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>\"{3}.*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<word>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|::|\.\.\.|\?\.|&&|\|\||.)""", re.S)
@@ -55,8 +56,8 @@ def split_commas(part: list[Token]) -> list[list[Token]]:
 
 
 class Reader:
-    def __init__(self, text: str, module: str, java: bool):
-        self.t, self.java, self.module = tokens(text), java, module
+    def __init__(self, text: str, module: str, java: bool, aliases: dict[str, str] | None = None):
+        self.t, self.java, self.module, self.aliases = tokens(text), java, module, aliases or {}
         self.match = self._brackets()
         self.package = ""
         self.out = {k: [] for k in ("imports", "types", "methods", "fields", "calls", "routes", "injections", "reflections")}
@@ -150,7 +151,8 @@ class Reader:
 
     def resolve_module(self, path: str) -> str:
         if not path.startswith("."):
-            return path
+            target = match_alias(path, self.aliases)
+            return path if target is None else re.sub(r"\.[cm]?[jt]sx?$", "", target).strip("/").replace("/", ".").removesuffix(".index")
         base = self.module.split(".")[:-1]
         for part in path.split("/"):
             if part == "..":
@@ -495,5 +497,5 @@ class Reader:
             self.out["routes"].append({"framework": "express", "http_method": name.upper(), "path": self.literal(args[:1]), "handler": handler or inline, "line": self.line(i)})
 
 
-def parse(text: str, module: str, language: str) -> dict:
-    return Reader(text, module, language == "java").read()
+def parse(text: str, module: str, language: str, aliases: dict[str, str] | None = None) -> dict:
+    return Reader(text, module, language == "java", aliases).read()

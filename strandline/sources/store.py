@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.build import build_graph
 from strandline.session import GraphSession
+from strandline.sources.aliases import read_aliases
 from strandline.sources.crawl import MANIFEST, CrawlOptions, crawl, parsed_files
 
 SCHEMA_VERSION = 1
@@ -58,6 +60,8 @@ class Store:
         m = self.meta()
         if m and m["project"] != project:
             raise ValueError(f"this store holds {m['project']}")
+        if not options.aliases:
+            options = replace(options, aliases=read_aliases(self.spark, project))
         old = self.manifest()
         fresh = m is not None and m["signature"] == options.signature() and not options.force
         new = crawl(self.spark, project, old if fresh else None, options)

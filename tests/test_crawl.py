@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from strandline.sources.aliases import aliases_of, match_alias
 from strandline.sources.crawl import CrawlOptions, crawl, discover, ignore_pattern, parse_text
 from strandline.sources.store import Store
 from strandline.streaming.watch import watch
@@ -58,6 +59,9 @@ if __name__ == "__main__":
     "py/service.py": "class Base:\n    def save(self, x):\n        self.check(x)\n    def check(self, x):\n        print(x)\n\nclass Service(Base):\n    def check(self, x):\n        return getattr(self, 'save')\n\ndef helper(n):\n    return n\n",
     "web/app.ts": "import { Store } from './store';\nimport express from 'express';\nconst app = express();\nexport class Shop { constructor(private store: Store) {} open(id: string) { return this.store.find(id); } }\napp.get('/open', (req, res) => { res.send(1); });\napp.post('/go', go);\nexport function go(s: Store) { s.find('x'); }\n",
     "web/store.ts": "export class Store { find(id: string) { return id; } }\n",
+    "tsconfig.json": '{ // aliases\n "extends": "./tsconfig.base", "compilerOptions": { "baseUrl": ".", }, }',
+    "tsconfig.base.json": '{"compilerOptions": {"paths": {"@web/*": ["./web/*"]}}}',
+    "web/deep/use.ts": "import { Store } from '@web/store';\nexport function use(s: Store) { s.find('y'); }\n",
     "node_modules/x/index.js": "function no() {}\n",
     "py/broken.py": "def (:\n",
     "README.md": "no source\n",
@@ -97,6 +101,13 @@ def test_discovery(spark, tree):
     assert only == {"py/api.py"}
 
 
+def test_aliases():
+    configs = {"tsconfig.json": '{"extends": "./a"}', "a.json": '{"extends": "./tsconfig.json", "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["*"], "@/x/*": ["y/*"], "one": ["two.ts"]}}}'}
+    found = aliases_of(configs)
+    assert match_alias("@/x/z", found) == "src/y/z" and match_alias("@/q", found) == "src/q" and match_alias("one", found) == "src/two.ts" and match_alias("react", found) is None
+    assert aliases_of({}) == {} and aliases_of({"tsconfig.json": "{ nonsense"}) == {}
+
+
 def test_ignore_patterns():
     import re
 
@@ -137,6 +148,7 @@ def test_python_and_script_calls(graph):
     assert ("module:py.api#create", "ext:requests") in calls and ("module:py.api#create", "__unknown__:mystery.run") in calls
     assert ("py.service.Base#check", "ext:python") in calls
     assert ("web.app.Shop#open", "web.store.Store#find") in calls and ("module:web.app#go", "web.store.Store#find") in calls
+    assert ("module:web.deep.use#use", "web.store.Store#find") in calls  # by a path alias
 
 
 def test_derived_edges(graph):
