@@ -30,6 +30,8 @@ MASKS = 4
 SHARD = 8192
 SAMPLE = 20000
 BRUTE = 256
+#: A fingerprint is hot from this many rows on, and from one HOT_KEYS-th of all rows on: so at most HOT_KEYS are.
+HOT_ROWS, HOT_KEYS = 500, 1000
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -205,13 +207,16 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def grouped(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     rows = fingerprints(docs, width)
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
     roots = components(links(distinct.select("fp"), radius))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "smallest")
     least = linked.groupBy("root").agg(F.min("smallest").alias("component"))
     named = linked.join(least, "root").select("fp", "component")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "smallest").alias("component_id"))
-    return rows.join(every, "fp").select("doc_id", "fp", "component_id")
+    every = stored(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "smallest").alias("component_id"), "n"))
+    least_n = max(HOT_ROWS, rows.count() // HOT_KEYS + 1)
+    hot = F.broadcast(every.filter(F.col("n") >= least_n).select("fp", "component_id"))  # at most HOT_KEYS rows
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(every.filter(F.col("n") < least_n).select("fp", "component_id"), "fp")
+    return rows.join(hot, "fp").select("doc_id", "fp", "component_id").union(cold.select("doc_id", "fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
