@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import ship
 from strandline.operators.build import build_graph
 from strandline.session import GraphSession
 from strandline.sources.aliases import read_aliases
@@ -22,6 +23,7 @@ class Store:
     """Snapshots below `path`; edges are partitioned by kind, so that a filter on kinds prunes folders."""
 
     def __init__(self, spark: SparkSession, path: str):
+        ship(spark)
         self.spark, self.path = spark, path.rstrip("/")
 
     def meta(self) -> dict | None:
