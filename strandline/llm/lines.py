@@ -60,9 +60,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     upto = gone.groupBy("rid").agg(F.max("pos").alias("last"))
     grid = upto.select("rid", F.explode(F.sequence(F.lit(0), "last")).alias("pos"))
     flagged = grid.join(gone.withColumn("hit", F.lit(True)), ["rid", "pos"], "left")
-    flags = flagged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("f")).select("rid", F.col("f.hit").alias("_gone"))
-    left = docs.withColumn("_rid", _key(docs))
-    return left.join(flags, left["_rid"] == flags["rid"], "left").drop("_rid", "rid")
+    flags = flagged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("f")).select(F.col("rid").alias("_line_key"), F.col("f.hit").alias("_gone"))
+    left = docs.withColumn("_line_doc", _key(docs))
+    return left.join(flags, left["_line_doc"] == flags["_line_key"], "left").drop("_line_doc", "_line_key")
 
 
 def _kept(text: Column) -> Column:

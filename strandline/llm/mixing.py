@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes at least once, with copies and taken."""
+    """The rows of docs that the mix takes at least once, with copies and taken (columns of these names are replaced)."""
     mix = _mix(cut(_sizes(docs))).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
     names = [c for c in docs.columns if c not in ("copies", "taken")]
     left = docs.select(*names, words(text_column(docs)).alias("_words"))

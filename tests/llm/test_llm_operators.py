@@ -30,9 +30,9 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     """Two rows share one id and text; extra columns carry names that operators use themselves."""
-    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", 1, "x", -1, True) for i, t in enumerate(TEXTS)]
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", 1, "x", -1, True, 5, 0.5, 7) for i, t in enumerate(TEXTS)]
     rows += [rows[4], rows[4]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, size int, later boolean").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, size int, later boolean, rid int, score double, fp long").repartition(3)
 
 
 @pytest.fixture(scope="module")
