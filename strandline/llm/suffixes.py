@@ -11,7 +11,8 @@ A byte goes if some string of WINDOW bytes that covers it also starts in a docum
    sorted directly, eight bytes at a time, to a depth beyond WINDOW; the others are induced by scanning the
    first-byte buckets in order. Neighbours in the array with a common prefix of WINDOW bytes form an interval,
    whose least doc_id decides.
-4. The decided intervals return to the shard, where they are joined and cut out.
+4. The decided intervals return to the shard, where they are joined and cut out. Shards and parts are dealt by
+   shuffles, so that lost executors' work is done again from the input.
 
 A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
 worked on in blocks of windows. Null texts are empty; a null doc_id counts as larger than all others; repeated rows
@@ -288,14 +289,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         pairs.sort()
         return np.array([d for d, _ in pairs], np.int64), [t for _, t in pairs]
 
-    sent = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("runs", "length", "anchor", "doc", "at", "row", "start")], *[(c, pa.binary()) for c in ("ids", "lengths", "texts", "shas")]])
-    back = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("cut", "ids", "lengths", "texts", "shas")]])
+    sent = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("runs", "length", "anchor", "doc", "at", "row", "start")]])
+    back = pa.schema([("shard", pa.int32()), ("cut", pa.binary())])
 
     def send(group: pa.Table, known: pa.Table) -> pa.Table:
         """Runs under shared anchors: per part, the distinct ones' bytes and where the least doc_id has them.
 
-        To the shard itself (a part below zero) go the runs that are decided here, the texts of documents that have
-        shared anchors, and the finished results of those that have none.
+        To the shard itself (a part below zero) go the runs that are decided here. Rows count the shard's documents in
+        the order of unpacked().
         """
         if not group.num_rows:
             return _table([], sent)
@@ -303,29 +304,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         doc, text = unpacked(group)
         lookup = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("h").to_pylist()] or [np.zeros(0, np.uint64)]))
         rows, starts, lengths, anchor, key = [], [], [], [], []
-        open_ = np.zeros(len(text), bool)
         for i, t in enumerate(text if len(lookup) else []):
             for start, length, a in document_runs(np.frombuffer(t, np.uint8)):
                 part, low = _short(a, parts)
                 short = low | (part.astype(np.uint64) << np.uint64(40))
                 hit = lookup[np.minimum(np.searchsorted(lookup, short), len(lookup) - 1)] == short
                 if hit.any():
-                    open_[i] = True
                     start, length = start[hit], length[hit]
                     rows.append(np.full(len(start), i, np.int32)), starts.append(start), lengths.append(length), anchor.append(a[hit])
                     key += [hash(t[s : s + n + WINDOW - 1]) for s, n in zip(start.tolist(), length.tolist())]
-        done, left = np.flatnonzero(~open_), np.flatnonzero(open_)
-        out = [
-            {"part": -1 - shard, "shard": shard, "ids": doc[done].tobytes(), "lengths": np.array([len(text[i]) for i in done], np.int64).tobytes(), "shas": b"".join(hashlib.sha256(text[i]).digest() for i in done)},
-            {"part": -1 - shard, "shard": shard, "ids": doc[left].tobytes(), "lengths": np.array([len(text[i]) for i in left], np.int64).tobytes(), "texts": _squeezed(b"".join(text[i] for i in left))},
-        ]
         if not rows:
-            return _table(out, sent)
-        renumber = np.cumsum(open_) - 1  # rows count the shard's open documents from here on
+            return _table([], sent)
+        out = []
         rows, starts, lengths, anchor = map(np.concatenate, (rows, starts, lengths, anchor))
         _, first, kind = np.unique(np.array(key, np.int64), return_index=True, return_inverse=True)  # first: rows are by doc_id
         late = doc[rows] > doc[rows[first]][kind]
-        number = renumber[rows].astype(np.int32)
+        number = rows.astype(np.int32)
         if late.any():
             out.append({"part": -1 - shard, "shard": shard, "row": _array(number[late]), "start": _array(starts[late].astype(np.int32)), "length": _array(lengths[late].astype(np.int32))})
         to, _ = _short(anchor[first], parts)
@@ -349,11 +343,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def decide(group: pa.Table) -> pa.Table:
         """Suffix arrays of one part; intervals of removed windows, by shard. What is for a shard itself passes."""
         if group.column("part")[0].as_py() < 0:
-            out = [{c: r[c] for c in ("shard", "ids", "lengths", "texts", "shas")} for r in group.to_pylist()]
-            for r, x in zip(group.to_pylist(), out):
-                if r["row"] is not None:
-                    row, start, n = (_unarray(r[c], np.int32) for c in ("row", "start", "length"))
-                    x["cut"] = _array(np.stack([row, start, n + WINDOW - 1]))
+            out = []
+            for r in group.to_pylist():
+                row, start, n = (_unarray(r[c], np.int32) for c in ("row", "start", "length"))
+                out.append({"shard": r["shard"], "cut": _array(np.stack([row, start, n + WINDOW - 1]))})
             return _table(out, back)
         get = lambda c, t: [_unarray(x, t) for x in group.column(c).to_pylist()]
         length, doc, at = get("length", np.int32), get("doc", np.int64), get("at", np.int32)
@@ -400,28 +393,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 found.setdefault(s, []).append(block)
         return _table([{"shard": k, "cut": _array(np.concatenate(x).T)} for k, x in found.items()], back)
 
-    def finish(group: pa.Table) -> pa.Table:
-        cut = np.concatenate([_unarray(x, np.int32).reshape(3, -1).T for x in group.column("cut").to_pylist() if x] or [np.zeros((0, 3), np.int32)])
+    def finish(group: pa.Table, cuts: pa.Table) -> pa.Table:
+        cut = np.concatenate([_unarray(x, np.int32).reshape(3, -1).T for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
         cut = cut[np.argsort(cut[:, 0], kind="stable")]
+        doc, text = unpacked(group)
+        lows = np.searchsorted(cut[:, 0], np.arange(len(text) + 1))
         out = []
-        for r in group.to_pylist():
-            if r["ids"] is None:
+        for i, (d, t) in enumerate(zip(doc.tolist(), text)):
+            part = cut[lows[i] : lows[i + 1]]
+            if not len(part):
+                out.append((d, len(t), 0, 0, hashlib.sha256(t).hexdigest()))
                 continue
-            ids, lengths = (np.frombuffer(r[c], np.int64).tolist() for c in ("ids", "lengths"))
-            if r["shas"] is not None:
-                out += [(d, n, 0, 0, r["shas"][32 * i : 32 * i + 32].hex()) for i, (d, n) in enumerate(zip(ids, lengths))]
-                continue
-            blob, at = np.frombuffer(_unsqueezed(r["texts"]), np.uint8), 0
-            lows = np.searchsorted(cut[:, 0], np.arange(len(ids) + 1))
-            for i, (d, n) in enumerate(zip(ids, lengths)):
-                part = cut[lows[i] : lows[i + 1]]
-                edge = np.zeros(n + 1, np.int32)
-                np.add.at(edge, part[:, 1], 1)
-                np.add.at(edge, part[:, 1] + part[:, 2], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))) if n else 0
-                out.append((d, n, int(gone.sum()), spans, hashlib.sha256(blob[at : at + n][~gone].tobytes()).hexdigest()))
-                at += n
+            edge = np.zeros(len(t) + 1, np.int32)
+            np.add.at(edge, part[:, 1], 1)
+            np.add.at(edge, part[:, 1] + part[:, 2], -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
+            out.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
         names, types = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [pa.int64()] * 4 + [pa.string()]
         columns = list(zip(*[(None if r[0] == LAST else r[0], *r[1:]) for r in out])) or [()] * 5
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types)})
@@ -433,4 +421,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = plain.mapInArrow(pack, "shard int, ids binary, lengths binary, texts binary")
     runs = packed.groupBy("shard").cogroup(reported.groupBy("shard")).applyInArrow(send, sql(sent))
     decided = runs.groupBy("part").applyInArrow(decide, sql(back))
-    return decided.groupBy("shard").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # the documents meet their shard once more: the exchange of `packed` is used again
+    return packed.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
