@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -29,11 +30,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_folders: set[str] = set()
+
+
+def _remove(jvm, configuration, folder: str) -> None:
+    """Take away an application's tables as its driver ends."""
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder: pruned by column, and by the partitioning column's folders."""
-    path = f"{shared_dir(df).rstrip('/')}/strandline-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{shared_dir(df).rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 #: Rows of (at most) a few short strings that may be broadcast: some 20 MB.
