@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settle, stored  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; it bounds a worker's memory.
 SLICE_BYTES = 1 << 20
 
@@ -22,33 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir()
-        if not where:
-            where = tempfile.mkdtemp(prefix="strandline-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write a small frame of an iteration to the shared folder, so that lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    out = df.write.mode("overwrite")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settle(df)
 
 
 def text_column(df: DataFrame, name: str = "text") -> Column:
