@@ -14,7 +14,9 @@ A byte goes if some string of WINDOW bytes that covers it also starts in a docum
 4. The decided intervals return to the shard, where they are joined and cut out. Shards and parts are dealt by
    shuffles, so that lost executors' work is done again from the input.
 
-A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
+An anchor that more than HOT documents have is hot: its windows travel one by one, each to the part that its own
+bytes name, so that a passage in a third of all documents, with other text around it everywhere, spreads over all
+parts. A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
 worked on in blocks of windows. Null texts are empty; a null doc_id counts as larger than all others; repeated rows
 of one doc_id never delete from each other; texts shorter than WINDOW stay whole; extra columns are ignored.
 """
@@ -30,13 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix, slices, text_column
+from strandline.llm.common import mix, prefix_hash, slices, span_hash, text_column
 
 WINDOW = 50
 GRAM = 16
 SHARD_BYTES = 6 << 20
 PART_BYTES = 2 << 20
 BLOCK = 1 << 20
+HOT = 5000
 LAST = np.iinfo(np.int64).max
 
 
@@ -241,7 +244,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     def shared(group: pa.Table) -> pa.Table:
-        """Of one part, the anchors of two documents or more, for each shard that has them."""
+        """Of one part, the anchors of two documents or more, for each shard that has them, and which of them are hot."""
         part = np.uint64(group.column("part")[0].as_py()) << np.uint64(40)
         h = np.concatenate([_unfive(x) for x in group.column("h").to_pylist()])
         s = np.concatenate([np.repeat(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(group.column("s").to_pylist(), group.column("n").to_pylist())])
@@ -250,10 +253,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         same = h[1:] == h[:-1]
         both = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         h, s = h[both], s[both]
+        known, count = np.unique(h, return_counts=True)
+        hot = known[count > HOT] | part
         by = np.argsort(s, kind="stable")
         h, s = h[by] | part, s[by]
         who, first = np.unique(s, return_index=True)
-        return pa.table({"shard": pa.array(who, pa.int32()), "h": pa.array([np.unique(x).tobytes() for x in np.split(h, first[1:])] if len(who) else [], pa.binary())})
+        each = [np.unique(x) for x in np.split(h, first[1:])] if len(who) else []
+        return pa.table({"shard": pa.array(who, pa.int32()), "h": pa.array([x.tobytes() for x in each], pa.binary()), "hot": pa.array([np.intersect1d(x, hot).tobytes() for x in each], pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by shard, compressed: ids, lengths and texts."""
@@ -303,6 +309,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         shard = group.column("shard")[0].as_py()
         doc, text = unpacked(group)
         lookup = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("h").to_pylist()] or [np.zeros(0, np.uint64)]))
+        hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("hot").to_pylist()] or [np.zeros(0, np.uint64)]))
         rows, starts, lengths, anchor, key = [], [], [], [], []
         for i, t in enumerate(text if len(lookup) else []):
             for start, length, a in document_runs(np.frombuffer(t, np.uint8)):
@@ -310,8 +317,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 short = low | (part.astype(np.uint64) << np.uint64(40))
                 hit = lookup[np.minimum(np.searchsorted(lookup, short), len(lookup) - 1)] == short
                 if hit.any():
-                    start, length = start[hit], length[hit]
-                    rows.append(np.full(len(start), i, np.int32)), starts.append(start), lengths.append(length), anchor.append(a[hit])
+                    start, length, a, short = start[hit], length[hit], a[hit], short[hit]
+                    if len(hot) and (many := np.isin(short, hot)).any():
+                        single = np.repeat(start[many], length[many]) + np.arange(length[many].sum()) - np.repeat(np.cumsum(length[many]) - length[many], length[many])
+                        low, high = int(single.min()), int(single.max()) + WINDOW
+                        own = span_hash(prefix_hash(np.frombuffer(t, np.uint8)[low:high]), single - low, single - low + WINDOW)
+                        start, length, a = np.concatenate([start[~many], single]), np.concatenate([length[~many], np.ones(len(single), length.dtype)]), np.concatenate([a[~many], own])
+                    rows.append(np.full(len(start), i, np.int32)), starts.append(start), lengths.append(length), anchor.append(a)
                     key += [hash(t[s : s + n + WINDOW - 1]) for s, n in zip(start.tolist(), length.tolist())]
         if not rows:
             return _table([], sent)
@@ -417,7 +429,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def sql(schema: pa.Schema) -> str:
         return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
-    reported = plain.mapInArrow(anchors, "part int, h binary, s binary, n binary").groupBy("part").applyInArrow(shared, "shard int, h binary")
+    reported = plain.mapInArrow(anchors, "part int, h binary, s binary, n binary").groupBy("part").applyInArrow(shared, "shard int, h binary, hot binary")
     packed = plain.mapInArrow(pack, "shard int, ids binary, lengths binary, texts binary")
     runs = packed.groupBy("shard").cogroup(reported.groupBy("shard")).applyInArrow(send, sql(sent))
     decided = runs.groupBy("part").applyInArrow(decide, sql(back))

@@ -81,8 +81,10 @@ def brute_suffixes(rows):
     return out
 
 
-@pytest.mark.parametrize("part", ["usual", "tiny"])
+@pytest.mark.parametrize("part", ["usual", "tiny", "hot"])
 def test_suffix_dedup(docs, monkeypatch, part):
+    if part == "hot":  # anchors of more than two documents travel window by window
+        monkeypatch.setattr(suffixes, "HOT", 2)
     if part == "tiny":  # many parts, shards and blocks
         for name in ("SHARD_BYTES", "PART_BYTES", "BLOCK"):
             monkeypatch.setattr(suffixes, name, 2000)
@@ -90,7 +92,9 @@ def test_suffix_dedup(docs, monkeypatch, part):
     assert got == sorted(brute_suffixes(texts_of(docs)))
 
 
-def test_suffix_dedup_of_the_table(big):
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_suffix_dedup_of_the_table(big, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     assert sorted(tuple(r) for r in suffixes.remove_repeats(big).collect()) == sorted(brute_suffixes(texts_of(big)))
 
 
