@@ -159,7 +159,8 @@ def first_holders(blob: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.n
 
 
 def _short(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part that an anchor goes to, and its lowest five bytes."""
+    """The part that an anchor goes to, and five bytes of it; least hashes crowd near zero, so they are mixed anew."""
+    h = mix(h + np.uint64(0x9E3779B97F4A7C15))
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), h & np.uint64((1 << 40) - 1)
 
 
