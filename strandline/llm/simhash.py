@@ -34,20 +34,26 @@ BRUTE = 256
 HOT_ROWS, HOT_KEYS = 500, 1000
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """64-bit SimHash of one text's word shingles as a signed integer."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hash of each `width` words from each word on; of fewer words one of them all, of none none."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(size + 1) - size - 1
-        hash_of = xxhash.xxh64_intdigest
-        ends = (start + size)[width - 1 :].tolist()
-        h = np.array([hash_of(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size + 1) - size - 1
+    hash_of = xxhash.xxh64_intdigest
+    ends = (start + size)[width - 1 :].tolist()
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """64-bit SimHash of one text's word shingles as a signed integer."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

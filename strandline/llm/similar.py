@@ -1,0 +1,119 @@
+"""Near-duplicates by similarity: the share of word shingles (WIDTH words) that two texts have in common.
+
+Candidates are rows that agree in one of BANDS groups of ROWS least hashes (MinHash); the exact similarity of the
+sets of shingles decides, SIMILARITY or more. A pair at the limit is missed with a chance of
+(1 - SIMILARITY**ROWS)**BANDS = 7e-10. Texts of equal words are one row. Within a group all rows are first compared
+with its smallest; then, where a group still holds more than one component, all pairs across components are. So no
+candidate is left out; the second step's rows grow with the square of a group whose members are not linked by the
+first.
+
+Null and empty texts and those without words are alike; a null doc_id takes no part; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.llm.common import mix, slices, stored, text_column, utf8_of
+from strandline.llm.components import components
+from strandline.llm.simhash import shingle_hashes
+
+WIDTH = 5
+SIMILARITY = 0.8
+ROWS, BANDS = 4, 40
+SALTS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def bands(text: bytes) -> np.ndarray:
+    """BANDS hashes, each of ROWS least hashes of the text's shingles."""
+    h = np.unique(shingle_hashes(text, WIDTH))
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        x = (h[None, at : at + 1024] ^ SALTS) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        least = np.minimum(least, x.min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + row)
+    return out
+
+
+def _alike(a: bytes, b: bytes) -> bool:
+    """Whether two packed sets have a similarity of SIMILARITY or more."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike."""
+    pairs = stored(pairs)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t, WIDTH)).tobytes() for t in utf8_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            same = [_alike(x.as_py(), y.as_py()) for x, y in zip(part.column("x"), part.column("y"))]
+            yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(texts.join(named, "id", "left_semi").mapInArrow(packed, "id long, set binary"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"))
+
+
+def alike_edges(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) that span all components of similar texts; texts has one row an id (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keys = [bands(t) for t in utf8_of(part.column("text"))]
+            ids = np.repeat(part.column("id").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "id": ids})
+
+    found = stored(texts.mapInArrow(run, "key long, id long"))
+    least = found.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
+    shared = stored(found.join(least, "key").select("key", "id", "b"))
+    stars = _verified(shared.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), texts)
+    roots = stored(components(stars))
+    named = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    named = stored(named)
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    open_ = stored(named.join(mixed, "key", "left_semi"))
+    other = open_.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    crossing = open_.join(other, "key").filter("root > root_b").select(F.col("id").alias("a"), "b").distinct()
+    return stars.union(_verified(crossing, texts))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each component of similar texts: that with the smallest doc_id (of repeated rows of that id, one).
+
+    Rows without a doc_id cannot stand for a component and all stay.
+    """
+    names = docs.columns
+
+    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            same = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in utf8_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same, pa.binary())], ["id", "content"])
+
+    plain = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    distinct = plain.mapInArrow(content, "id long, content binary").groupBy("content").agg(F.min("id").alias("id"))
+    first = stored(distinct.select("id").distinct())
+    one = docs.join(first, docs.doc_id == first.id, "left_semi").dropDuplicates(["doc_id"])
+    one = stored(one)
+    texts = one.select(F.col("doc_id").cast("long").alias("id"), text_column(one).alias("text"))
+    gone = components(alike_edges(texts)).filter("node <> root").select(F.col("node").alias("_id"))
+    return one.join(gone, one.doc_id == gone["_id"], "left_anti").select(*names).unionByName(docs.filter("doc_id is null").select(*names))
