@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters, digits and bytes of other alphabets, ASCII letters in lower case; shingles are WIDTH
-words (an item of fewer words is one shingle). A document's windows have each item's own number of words. A window
+words (an item of fewer words is one shingle). A document's windows have each item's own number of words; a document
+with fewer words than the item is one window as a whole. A window
 is fingerprinted (64 bits, shingles weighted as below) where it holds a shingle of the benchmark; a window without
 any cannot be similar. Fingerprints are looked up in an index of BLOCKS groups of bits, each probed with all values
 within RADIUS // BLOCKS bits, so that every item within RADIUS is found; of the windows found the exact similarity
@@ -137,11 +138,9 @@ class Benchmark:
             for p, x in zip(hit.tolist(), h[hit].tolist()):
                 for n in {self.length[i] for i in self.items_of[width][x]}:
                     m = n - width + 1  # shingles of the window; it may start up to m - 1 before the hit
-                    lengths[n].update(range(max(0, p - m + 1), min(p, len(h) - m) + 1))
+                    lengths[n].update(range(max(0, p - m + 1), min(p, max(0, len(h) - m)) + 1))
             for n, starts in lengths.items():
-                m, at = n - width + 1, np.array(sorted(starts))
-                if not len(at):
-                    continue
+                m, at = min(n - width + 1, len(h)), np.array(sorted(starts))
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     for lo in range(0, len(run), 4096):
                         part = run[lo : lo + 4096]
@@ -153,7 +152,7 @@ class Benchmark:
                             if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:
                                 best[i] = (s, int(part[0]) + k)
         for i, (s, start) in sorted(best.items()):
-            yield self.ids[i], round(s, 6), start, self.length[i]
+            yield self.ids[i], round(s, 6), start, min(self.length[i], len(words))
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
