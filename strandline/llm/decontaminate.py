@@ -3,11 +3,12 @@
 Words are runs of letters, digits and bytes of other alphabets, ASCII letters in lower case; shingles are WIDTH
 words (an item of fewer words is one shingle). A document's windows have each item's own number of words; a document
 with fewer words than the item is one window as a whole. A window
-is fingerprinted (64 bits, shingles weighted as below) where it holds a shingle of the benchmark; a window without
-any cannot be similar. Fingerprints are looked up in an index of BLOCKS groups of bits, each probed with all values
-within RADIUS // BLOCKS bits, so that every item within RADIUS is found; of the windows found the exact similarity
-decides: the sum over shingles of the smaller weighted count over that of the larger, SIMILARITY or more. A
-shingle weighs one over the number of items that hold it.
+is fingerprinted twice (64 bits, shingles weighted as below and all alike) where it holds a shingle of the
+benchmark; a window without any cannot be similar. Fingerprints are looked up in an index of BLOCKS groups of bits,
+each probed with all values within RADIUS // BLOCKS bits, so that every item within RADIUS is found; of the windows
+found the exact similarity decides: the sum over shingles of the smaller count over that of the larger, weighted or
+all alike, whichever is more, SIMILARITY or more. A shingle weighs one over the number of distinct texts of the
+whole benchmark that hold it, one outside it; so a hot item's near copies match by the shingles all alike.
 
 Items come in blocks of at most BLOCK_WORDS words, each broadcast to one pass over the documents. Null and empty
 texts and items match nothing; repeated rows match alike; items that share an item_id each match under it; an
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +68,43 @@ def packed_bits(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def repeated_shingles(benchmark: DataFrame) -> DataFrame:
+    """(h, n) of every shingle that n > 1 distinct texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            for text in utf8_of(part.column("text")):
+                words = word_hashes([text])[1]
+                if len(words):
+                    h = np.unique(shingles(words, min(WIDTH, len(words))))
+                    same = xxhash.xxh3_128_digest(words.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([same] * len(h), pa.binary())], ["h", "content"])
+
+    every = benchmark.select(text_column(benchmark).alias("text")).mapInArrow(run, "h long, content binary").distinct()
+    return every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 class Benchmark:
-    """One block of items: shingle weights, fingerprints, and the index over their bit groups."""
+    """One block of items: shingle weights, fingerprints, and the index over their bit groups.
+
+    held_by: (h, n) of the block's shingles that more than one distinct text of the benchmark holds; None if the block is the whole.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], held_by: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.counts, self.length, self.width = [], [], [], []
         held: Counter = Counter()
+        seen: set[bytes] = set()
         for item, text in items:
             words = word_hashes([text])[1]
             if len(words):
                 width = min(WIDTH, len(words))
                 count = Counter(shingles(words, width).tolist())
                 self.ids.append(item), self.counts.append(count), self.length.append(len(words)), self.width.append(width)
-                held.update(count.keys())
+                if words.tobytes() not in seen:
+                    seen.add(words.tobytes())
+                    held.update(count.keys())
+        if held_by is not None:
+            held = Counter(dict.fromkeys(held, 1) | dict(zip(*(x.tolist() for x in held_by))))
         self.weight = {h: 1 / n for h, n in held.items()}
         self.items_of: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, count in enumerate(self.counts):
@@ -90,40 +116,47 @@ class Benchmark:
         for w, known in self.known.items():
             self.marks[w] = np.zeros(1 << 20, bool)
             self.marks[w][known >> np.uint64(44)] = True
-        votes = [sum(n * self.weight[h] * bits_of(np.array([h], np.uint64))[0] for h, n in count.items()) for count in self.counts]
-        self.prints = packed_bits(np.array(votes)) if votes else np.zeros(0, np.uint64)
+        self.prints, self.index = zip(*(self._indexed(weight) for weight in (self.weight, dict.fromkeys(self.weight, 1.0))))
+
+    def _indexed(self, weight: dict[int, float]) -> tuple[np.ndarray, list[dict[int, np.ndarray]]]:
+        """The items' fingerprints, and for each block of bits the items by value."""
+        votes = [sum(n * weight[h] * bits_of(np.array([h], np.uint64))[0] for h, n in count.items()) for count in self.counts]
+        prints = packed_bits(np.array(votes)) if votes else np.zeros(0, np.uint64)
         size, near = 64 // BLOCKS, RADIUS // BLOCKS
         flips = [sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(size), r)]
         #: index[block][value]: items whose block is within the share of the radius of that value
-        self.index = [defaultdict(list) for _ in range(BLOCKS)]
-        for i, f in enumerate(self.prints.tolist()):
+        index = [defaultdict(list) for _ in range(BLOCKS)]
+        for i, f in enumerate(prints.tolist()):
             for b in range(BLOCKS):
                 for x in flips:
-                    self.index[b][(f >> (b * size)) & ((1 << size) - 1) ^ x].append(i)
-        self.index = [{v: np.array(i) for v, i in block.items()} for block in self.index]
+                    index[b][(f >> (b * size)) & ((1 << size) - 1) ^ x].append(i)
+        return prints, [{v: np.array(i) for v, i in block.items()} for block in index]
 
-    def near(self, prints: np.ndarray, length: int, width: int) -> Iterator[tuple[int, int]]:
-        """(window, item) with fingerprints within RADIUS and the window's size."""
+    def near(self, kind: int, prints: np.ndarray, fits: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) with fingerprints of the kind (0 weighted, 1 all alike) within RADIUS, of the items that fit."""
         size = 64 // BLOCKS
-        fits = np.array([n == length and w == width for n, w in zip(self.length, self.width)])
         for k, f in enumerate(prints.tolist()):
             found: set[int] = set()
             for b in range(BLOCKS):
-                got = self.index[b].get((f >> (b * size)) & ((1 << size) - 1))
+                got = self.index[kind][b].get((f >> (b * size)) & ((1 << size) - 1))
                 if got is not None:
                     found.update(got[fits[got]].tolist())
             for i in sorted(found):
-                if int(self.prints[i] ^ prints[k]).bit_count() <= RADIUS:
+                if int(self.prints[kind][i] ^ prints[k]).bit_count() <= RADIUS:
                     yield k, i
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         mine, theirs = Counter(window.tolist()), self.counts[item]
         low = high = 0.0
+        both = either = 0
         for h in mine.keys() | theirs.keys():
             w = self.weight.get(h, 1.0)
-            low += w * min(mine.get(h, 0), theirs.get(h, 0))
-            high += w * max(mine.get(h, 0), theirs.get(h, 0))
-        return low / high
+            x, y = mine.get(h, 0), theirs.get(h, 0)
+            low += w * min(x, y)
+            high += w * max(x, y)
+            both += min(x, y)
+            either += max(x, y)
+        return max(low / high, both / either)
 
     def matches(self, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of one document's similar windows, the best for each item."""
@@ -141,13 +174,18 @@ class Benchmark:
                     lengths[n].update(range(max(0, p - m + 1), min(p, max(0, len(h) - m)) + 1))
             for n, starts in lengths.items():
                 m, at = min(n - width + 1, len(h)), np.array(sorted(starts))
+                fits = np.array([a == n and b == width for a, b in zip(self.length, self.width)])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     for lo in range(0, len(run), 4096):
                         part = run[lo : lo + 4096]
                         mine = h[part[0] : part[-1] + m]
                         weight = np.array([self.weight.get(x, 1.0) for x in mine.tolist()])
-                        total = np.concatenate([np.zeros((1, 64)), np.cumsum(bits_of(mine) * weight[:, None], 0)])
-                        for k, i in self.near(packed_bits(total[m:] - total[:-m]), n, width):
+                        bits = bits_of(mine)
+                        near: set[tuple[int, int]] = set()
+                        for kind, votes in enumerate((bits * weight[:, None], bits)):
+                            total = np.concatenate([np.zeros((1, 64)), np.cumsum(votes, 0)])
+                            near.update(self.near(kind, packed_bits(total[m:] - total[:-m]), fits))
+                        for k, i in sorted(near):
                             s = self.similarity(mine[k : k + m], i)
                             if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:
                                 best[i] = (s, int(part[0]) + k)
@@ -169,6 +207,27 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
+def weighed_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, bytes]], tuple[np.ndarray, np.ndarray] | None]]:
+    """The blocks, each with what Benchmark must know of the others: (h, n) of its shingles that are repeated anywhere."""
+    blocks = item_blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        yield from [(first, None)] if first else []
+        return
+    spark = benchmark.sparkSession
+    repeated = stored(repeated_shingles(benchmark))
+    for block in chain([first, second], blocks):
+        words = [w for w in (word_hashes([t])[1] for _, t in block) if len(w)]
+        mine = spark.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(w, min(WIDTH, len(w))) for w in words)])))
+
+        def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield part.filter(pa.array(np.isin(part.column("h").to_numpy().view(np.uint64), mine.value)))
+
+        got = repeated.mapInArrow(run, "h long, n long").toArrow()  # at most a row a word of the block
+        yield block, (got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy())
+
+
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, contaminated boolean"
 
 
@@ -177,13 +236,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     found = None
-    for block in item_blocks(benchmark):
+    for block in weighed_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
         built: list[Benchmark] = []
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
             if not built:
-                built.append(Benchmark(shared.value))
+                built.append(Benchmark(*shared.value))
             for piece in slices(batches):
                 ids, texts = piece.column("doc_id").to_pylist(), utf8_of(piece.column("text"))
                 owner, words = word_hashes(texts)
@@ -204,13 +263,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     names = docs.columns
     kept = docs
-    for block in item_blocks(benchmark):
+    for block in weighed_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
         built: list[Benchmark] = []
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
             if not built:
-                built.append(Benchmark(shared.value))
+                built.append(Benchmark(*shared.value))
             for piece in slices(batches):
                 owner, words = word_hashes(utf8_of(piece.column("text")))
                 lows = np.searchsorted(owner, np.arange(piece.num_rows + 1))
