@@ -38,7 +38,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_spans(table(spark, sf_dir, "documents"))
+    return remove_spans(table(spark, sf_dir, "documents"), fewest=1)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at . ! ? or a line break; it is cut further at , ; : so that a long one is a span by itself. From
-each sentence on, a span is the shortest run of at least RUN consecutive sentences with at least WORDS words; its
-bytes are hashed. Spans meet by hash; the first is that with the smallest (doc_id, place), and every sentence that
+each sentence on, a span is the shortest run of at least RUN consecutive sentences with at least WORDS words, and
+(with `fewest` below RUN, as op5's query has it) the shortest of at least `fewest` as well, so that a passage of one
+or two long sentences is found too; their bytes are hashed. Spans meet by hash; the first is that with the smallest (doc_id, place), and every sentence that
 a later one covers is removed, with what follows it up to the next sentence.
 
 Hashes travel packed: each task keeps the first of equal spans that it has read, so that a passage that a third
 of all documents share reaches its part once a task, and later ones are decided at once. Parts and shards are
 sized by the input. Null texts are empty; rows that share a doc_id count as one document, whose decisions hold
 for each of them (repeated rows keep the same sentences); a null doc_id counts as larger than all others; texts
-of fewer than RUN sentences or WORDS words hold no span and stay; extra columns are ignored.
+of fewer than `fewest` sentences or WORDS words hold no span and stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def sentence_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, n
     return blob, np.searchsorted(begin, start, "right") - 1, start, end, begin
 
 
-def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(texts: list[bytes], fewest: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner, first sentence within its text, number of sentences, hash) of every span."""
     blob, owner, start, end, _ = sentence_spans(texts)
     n = len(start)
@@ -60,12 +61,14 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     words_before = np.concatenate([[0], np.cumsum(~gap & np.concatenate([[True], gap[:-1]]))])
     upto = words_before[end]
     have = words_before[start]  # a sentence may start inside a word ("a,b"): then that word counts for it too
-    last = np.maximum(np.arange(n) + RUN - 1, np.searchsorted(upto, have + WORDS, "left"))
-    ok = last < n
-    ok[ok] = owner[last[ok]] == owner[ok]
-    i = np.flatnonzero(ok)
+    enough = np.searchsorted(upto, have + WORDS, "left")
+    runs = [np.maximum(np.arange(n) + k - 1, enough) for k in (RUN, fewest)]
+    i, last = np.tile(np.arange(n), 2), np.concatenate(runs)
+    ok = (last < n) & np.concatenate([np.ones(n, bool), runs[1] < runs[0]])
+    ok[ok] = owner[last[ok]] == owner[i[ok]]
+    i, last = i[ok], last[ok]
     base = np.searchsorted(owner, owner, "left")
-    return owner[i], i - base[i], last[i] - i + 1, span_hash(prefix_hash(buf), start[i], end[last[i]])
+    return owner[i], i - base[i], last - i + 1, span_hash(prefix_hash(buf), start[i], end[last])
 
 
 def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def _packed(shard: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -
     return who.tolist(), [x.tobytes() for x in np.split(rows, cuts[1:])] if len(who) else []
 
 
-def removed_sentences(docs: DataFrame) -> DataFrame:
+def removed_sentences(docs: DataFrame, fewest: int = RUN) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, n_spans, kept (the remaining text) for every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -112,7 +115,7 @@ def removed_sentences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": [int(part[lo])], "shard": [0], **{k: [v[lo:hi].tobytes()] for k, v in cells.items()}}, pa.schema(kinds))
 
         for piece in slices(batches):
-            owner, at, n, h = spans([x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()])
+            owner, at, n, h = spans([x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()], fewest)
             held.append((h, piece.column("doc_id").fill_null(LAST).to_numpy()[owner], at, n, piece.column("shard").to_numpy()[owner]))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield from flush()
@@ -158,6 +161,6 @@ def removed_sentences(docs: DataFrame) -> DataFrame:
     return plain.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(cut, "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, kept_sha256 string, kept string")
 
 
-def remove_spans(docs: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, fewest: int = RUN) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_spans, removed_bytes, kept_sha256 for every row of docs."""
-    return removed_sentences(docs).drop("kept")
+    return removed_sentences(docs, fewest).drop("kept")
