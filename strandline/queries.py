@@ -1,6 +1,7 @@
 """Queries over the property graph derived from the tables of one folder, and their SQL.
 
-Each query runs an operator over the whole graph; numbers are rounded and lists joined, so that results compare.
+Each query runs an operator over the whole graph, but find_cycles and find_cycles_parts, which take the nodes of one
+id prefix, and compactify, which takes the interfaces; find_cycles_graph and compactify_graph take all. Numbers are rounded and lists joined, so that results compare.
 """
 
 from __future__ import annotations
@@ -218,6 +219,7 @@ _register(
 )
 _register("self_calls", cycles.self_calls, f"SELECT DISTINCT source AS id FROM edges JOIN nodes n ON n.id = source WHERE edges.kind = 'CALLS' AND source = target AND n.kind IN {CALLABLE}")
 _QUERIES["find_cycles_parts"] = lambda spark, sf_dir: cycles.find_cycles(_only(graph(spark, sf_dir), "part:"), limit=ALL).select("component", "size")
+_QUERIES["find_cycles_graph"] = lambda spark, sf_dir: cycles.find_cycles(graph(spark, sf_dir), limit=ALL)
 
 
 def _only(g: GraphSession, prefix: str) -> GraphSession:
@@ -237,6 +239,11 @@ _register(
     lambda g: output.compactify(g.nodes.filter("kind = 'interface'").select(F.struct("id", F.col("qualified_name").alias("qualifiedName"), "kind").alias("symbol"), F.lit(1).alias("n"))),
     "SELECT qualified_name AS symbol, 1 AS n FROM nodes WHERE kind = 'interface'",
 )
+_register(
+    "compactify_graph",
+    lambda g: output.compactify(g.nodes.select(F.struct("id", F.col("qualified_name").alias("qualifiedName"), "kind").alias("symbol"), F.lit(1).alias("n"))),
+    "SELECT qualified_name AS symbol, 1 AS n FROM nodes",
+)
 _register(
     "export_graph",
     lambda g: output.export_graph(g, "nation:3", 1, ("EXTENDS", "CONTAINS"), limit=ALL),
@@ -281,7 +288,7 @@ _register(
 
 def _methods(g: GraphSession) -> DataFrame:
     none = F.array().cast("array<string>")
-    return g.nodes.filter(F.col("id").startswith("order:")).select("id", F.substring_index("qualified_name", "#", 1).alias("type_id"), "name", F.lit("void").alias("return_type"), F.lit(0).alias("arity"), none.alias("annotations"), none.alias("type_annotations"))
+    return g.nodes.filter(f"kind IN {CALLABLE}").select("id", F.substring_index("qualified_name", "#", 1).alias("type_id"), "name", F.lit("void").alias("return_type"), F.lit(0).alias("arity"), none.alias("annotations"), none.alias("type_annotations"))
 
 
 _register("external_package_of", lambda g: g.nodes.filter("kind = 'external_symbol'").select("id", derive.external_package_of(F.col("qualified_name")).alias("package")), "SELECT id, split_part(split_part(qualified_name, '/', 1), '.', 1) AS package FROM nodes WHERE kind = 'external_symbol'")
