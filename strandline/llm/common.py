@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,46 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one big-endian number, zeros after the end."""
+    w = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for shift in (1, 2, 4):
+        w[:-shift] = (w[:-shift] << np.uint64(8 * shift)) | w[shift:]
+    return w[: len(buf)]
+
+
+def gram_prefix(buf: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums over the mixed eight-byte strings from each byte on, one longer than buf."""
+    pow_, _ = powers(len(buf) + 1)
+    out = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(mix(words_at(buf) + np.uint64(_BASE)) * pow_[: len(buf)], out=out[1:])
+    return out
+
+
+def gram_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second hash of buf[start:end] (eight bytes or more), from the eight-byte strings within it."""
+    return span_hash(prefix, start, end - 7)
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def to_bytes(x: np.ndarray) -> bytes:
+    """An array's bytes, each place of the numbers by itself, compressed."""
+    return squeezed(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def from_bytes(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(unsqueezed(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
 #: For each byte: whether it separates words (space, tab to carriage return, and the padding byte).
 SPACE = np.zeros(256, bool)
 SPACE[[0x00, 0x20, *range(0x09, 0x0E)]] = True
@@ -105,25 +146,20 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, fold: Column) -> list[tuple[str, int]]:
-    """At most per_class texts of each label outside the held-out fold, in hash order of doc_id, none longer than max_chars.
+    """At most per_class texts of each label outside the held-out fold, in hash order of doc_id, none empty or longer than max_chars.
 
-    A bounded sample for fitting: 2 * per_class * max_chars characters reach the driver at most.
+    A bounded sample for fitting: 2 * per_class texts of max_chars characters reach the driver at most. A doc_id counts
+    once, however often it stands in either table: with the largest of its labels and the text of the least hash.
     """
     known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).filter(~fold)
-    rows = (
-        known.join(docs.select("doc_id", text_column(docs).alias("text"), F.length(text_column(docs)).alias("n")).filter(f"n <= {max_chars} and n > 0"), "doc_id")
-        .select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
-        .cache()
-    )
-    picked = [rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    ids = picked[0].unionByName(picked[1]).select("doc_id", "y").distinct().collect()
-    rows.unpersist()
+    short = docs.select("doc_id", text_column(docs).alias("text")).filter(f"length(text) between 1 and {max_chars}").withColumn("t", F.xxhash64("text"))
+    rows = stored(known.join(short.groupBy("doc_id").agg(F.min("t").alias("t")), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "t"))
+    ids = [tuple(r) for y in (0, 1) for r in rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not ids:
         return []
-    spark = docs.sparkSession
-    keys = spark.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).join(F.broadcast(keys), "doc_id").filter(f"length(text) <= {max_chars}").orderBy("doc_id", "text").limit(4 * per_class).collect()
-    return [(r.text, r.y) for r in got]
+    keys = docs.sparkSession.createDataFrame(ids, "id long, y int, least long")
+    texts = short.join(F.broadcast(keys), (short.doc_id.cast("long") == keys.id) & (short.t == keys.least)).groupBy("id", "y").agg(F.min("text").alias("text"))
+    return [(r.text, r.y) for r in texts.orderBy("id").collect()]
 
 
 def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -6,11 +6,12 @@ each sentence on, a span is the shortest run of at least RUN consecutive sentenc
 or two long sentences is found too; their bytes are hashed. Spans meet by hash; the first is that with the smallest (doc_id, place), and every sentence that
 a later one covers is removed, with what follows it up to the next sentence.
 
-Hashes travel packed: each task keeps the first of equal spans that it has read, so that a passage that a third
-of all documents share reaches its part once a task, and later ones are decided at once. Parts and shards are
-sized by the input. Null texts are empty; rows that share a doc_id count as one document, whose decisions hold
-for each of them (repeated rows keep the same sentences); a null doc_id counts as larger than all others; texts
-of fewer than `fewest` sentences or WORDS words hold no span and stay; extra columns are ignored.
+Hashes (96 bits) travel packed: each task keeps the first of equal spans that it has read, so that a passage that a
+third of all documents share reaches its part once a task, and later ones are decided at once. Parts and shards are
+sized by the input, shards dealt by row. Null texts are empty; a row is known by (doc_id, hash of id and text), so
+that rows of one doc_id with other texts, or without a doc_id, are documents of their own, ordered by that hash after
+the doc_id (a null one counts as the largest number); rows that repeat both keep the same sentences; texts of fewer
+than `fewest` sentences or WORDS words hold no span and stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, prefix_hash, slices, span_hash, stored, text_column
+from strandline.llm.common import SPACE, from_bytes, gram_hash, gram_prefix, prefix_hash, slices, span_hash, stored, text_column, to_bytes, utf8_of
 
 RUN = 3
 WORDS = 12
@@ -50,40 +51,51 @@ def sentence_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, n
     return blob, np.searchsorted(begin, start, "right") - 1, start, end, begin
 
 
-def spans(texts: list[bytes], fewest: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first sentence within its text, number of sentences, hash) of every span."""
+def spans(texts: list[bytes], fewest: int = RUN) -> tuple[np.ndarray, ...]:
+    """(owner, first sentence within its text, number of sentences, kind: 0 of RUN or 1 of `fewest`, start, end) of every span; places in bytes of sentence_spans()."""
     blob, owner, start, end, _ = sentence_spans(texts)
     n = len(start)
     if not n:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    buf = np.frombuffer(blob, np.uint8)
-    gap = SPACE[buf]
+        return (np.zeros(0, np.int64),) * 6
+    gap = SPACE[np.frombuffer(blob, np.uint8)]
     words_before = np.concatenate([[0], np.cumsum(~gap & np.concatenate([[True], gap[:-1]]))])
     upto = words_before[end]
     have = words_before[start]  # a sentence may start inside a word ("a,b"): then that word counts for it too
     enough = np.searchsorted(upto, have + WORDS, "left")
     runs = [np.maximum(np.arange(n) + k - 1, enough) for k in (RUN, fewest)]
-    i, last = np.tile(np.arange(n), 2), np.concatenate(runs)
+    i, last, kind = np.tile(np.arange(n), 2), np.concatenate(runs), np.repeat([0, 1], n)
     ok = (last < n) & np.concatenate([np.ones(n, bool), runs[1] < runs[0]])
     ok[ok] = owner[last[ok]] == owner[i[ok]]
-    i, last = i[ok], last[ok]
+    i, last, kind = i[ok], last[ok], kind[ok]
     base = np.searchsorted(owner, owner, "left")
-    return owner[i], i - base[i], last - i + 1, span_hash(prefix_hash(buf), start[i], end[last])
+    return owner[i], i - base[i], last - i + 1, kind, start[i], end[last]
+
+
+def hashed(texts: list[bytes], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the spans' bytes."""
+    buf = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+    return span_hash(prefix_hash(buf), start, end), (gram_hash(gram_prefix(buf), start, end) >> np.uint64(32)).astype(np.uint32)
+
+
+#: What travels of a span: its hash, the row that holds it, and its place (first sentence, and in the last bit its kind).
+FIELDS = {"h": np.uint64, "g": np.uint32, "doc": np.int64, "row": np.int64, "at": np.uint32}
 
 
-def _later(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (hash, doc, place), and which in that order are not the first of their hash."""
-    by = np.lexsort((at, doc, h))
-    same = np.concatenate([[False], h[by][1:] == h[by][:-1]])
+def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (hash, doc, row, place), and which in that order are not the first of their hash."""
+    by = np.lexsort((at, row, doc, g, h))
+    same = np.concatenate([[False], (h[by][1:] == h[by][:-1]) & (g[by][1:] == g[by][:-1])])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-    return by, same & ((doc[by] != doc[by][first]) | (at[by] != at[by][first]))
+    return by, same & ((row[by] != row[by][first]) | (doc[by] != doc[by][first]) | (at[by] != at[by][first]))
 
 
-def _packed(shard: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _packed(shards: int, row: np.ndarray, at: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """(row, place) pairs by shard."""
+    shard = row % shards
     by = np.argsort(shard, kind="stable")
     who, cuts = np.unique(shard[by], return_index=True)
-    rows = np.stack([doc, at.astype(np.int64), n.astype(np.int64)], 1)[by]
-    return who.tolist(), [x.tobytes() for x in np.split(rows, cuts[1:])] if len(who) else []
+    pairs = np.stack([row, at.astype(np.int64)], 1)[by]
+    return who.tolist(), [to_bytes(x) for x in np.split(pairs, cuts[1:])] if len(who) else []
 
 
 def removed_sentences(docs: DataFrame, fewest: int = RUN) -> DataFrame:
@@ -92,8 +104,8 @@ def removed_sentences(docs: DataFrame, fewest: int = RUN) -> DataFrame:
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // SHARD_BYTES) + 1
     parts = -(-total // PART_BYTES) + 1
-    plain = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    kinds = [("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("h", "doc", "at", "n", "s")]]
+    plain = plain.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
+    kinds = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("gone", pa.binary()), *[(c, pa.binary()) for c in FIELDS]])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -101,63 +113,62 @@ def removed_sentences(docs: DataFrame, fewest: int = RUN) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            h, doc, at, n, s = (np.concatenate(x) for x in zip(*held))
+            every = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            by, late = _later(h, doc, at)
-            h, doc, at, n, s = (x[by] for x in (h, doc, at, n, s))
-            who, packed = _packed(s[late], doc[late], at[late], n[late])
-            for k, rows in zip(who, packed):
-                yield pa.RecordBatch.from_pydict({"part": [-1], "shard": [k], "h": [None], "doc": [rows], "at": [None], "n": [None], "s": [None]}, pa.schema(kinds))
-            h, doc, at, n, s = (x[~late] for x in (h, doc, at, n, s))
-            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            by, late = _later(*every)
+            every = [x[by] for x in every]
+            for k, rows in zip(*_packed(shards, every[3][late], every[4][late])):
+                yield pa.RecordBatch.from_pydict({"part": [-1], "shard": [k], "gone": [rows], **{c: [None] for c in FIELDS}}, kinds)
+            every = [x[~late] for x in every]
+            part = ((every[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             for lo, hi in zip(cuts := np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [*cuts[1:], len(part)]):
-                cells = {"h": h, "doc": doc, "at": at.astype(np.int32), "n": n.astype(np.int32), "s": s}
-                yield pa.RecordBatch.from_pydict({"part": [int(part[lo])], "shard": [0], **{k: [v[lo:hi].tobytes()] for k, v in cells.items()}}, pa.schema(kinds))
+                yield pa.RecordBatch.from_pydict({"part": [int(part[lo])], "shard": [0], "gone": [None], **{c: [to_bytes(x[lo:hi])] for c, x in zip(FIELDS, every)}}, kinds)
 
         for piece in slices(batches):
-            owner, at, n, h = spans([x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()], fewest)
-            held.append((h, piece.column("doc_id").fill_null(LAST).to_numpy()[owner], at, n, piece.column("shard").to_numpy()[owner]))
+            texts = utf8_of(piece.column("text"))
+            owner, at, _, kind, start, end = spans(texts, fewest)
+            if len(owner):
+                place = (2 * at + kind).astype(np.uint32)
+                held.append((*hashed(texts, start, end), piece.column("doc_id").fill_null(LAST).to_numpy()[owner], piece.column("row").to_numpy()[owner], place))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield from flush()
         yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        types = {"h": np.uint64, "doc": np.int64, "at": np.int32, "n": np.int32, "s": np.int32}
-        h, doc, at, n, s = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in types.items())
-        by, late = _later(h, doc, at)
-        late = by[late]
-        who, packed = _packed(s[late], doc[late], at[late], n[late])
-        return pa.table({"shard": pa.array(who, pa.int32()), "doc": pa.array(packed, pa.binary())})
+        every = [np.concatenate([from_bytes(x, t) for x in group.column(c).to_pylist()]) for c, t in FIELDS.items()]
+        by, late = _later(*every)
+        who, gone = _packed(shards, every[3][by][late], every[4][by][late])
+        return pa.table({"shard": pa.array(who, pa.int32()), "gone": pa.array(gone, pa.binary())})
 
     def cut(group: pa.Table, known: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in known.column("doc").to_pylist()] or [np.zeros((0, 3), np.int64)])
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        ids = group.column("doc_id").combine_chunks().fill_null(LAST).to_numpy()
+        gone_at = np.concatenate([from_bytes(x, np.int64).reshape(-1, 2) for x in known.column("gone").to_pylist()] or [np.zeros((0, 2), np.int64)])
+        gone_at = gone_at[np.argsort(gone_at[:, 0], kind="stable")]
         out = []
-        for i, doc in enumerate(ids.tolist()):
-            text = group.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+        for row, text in zip(group.column("row").to_pylist(), group.column("text").cast(pa.binary()).to_pylist()):
             _, _, start, _, _ = sentence_spans([text])
-            mine = rows[np.searchsorted(rows[:, 0], doc, "left") : np.searchsorted(rows[:, 0], doc, "right")]
-            edge = np.zeros(len(start) + 1, np.int64)
-            inside = mine[mine[:, 1] < len(start)]
-            np.add.at(edge, inside[:, 1], 1)
-            np.add.at(edge, np.minimum(inside[:, 1] + inside[:, 2], len(start)), -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            kept, upto, runs = [], 0, 0
-            first, last = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]])), np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]]))
-            for a, b in zip(first.tolist(), last.tolist()):
-                kept.append(text[upto : start[a]])
-                upto = int(start[b + 1]) if b + 1 < len(start) else len(text)
-                runs += 1
+            mine = gone_at[np.searchsorted(gone_at[:, 0], row, "left") : np.searchsorted(gone_at[:, 0], row, "right"), 1]
+            kept, upto, runs, n_gone = [], 0, 0, 0
+            if len(mine):
+                _, at, n, kind, _, _ = spans([text], fewest)
+                take = np.isin(2 * at + kind, mine)
+                edge = np.zeros(len(start) + 1, np.int64)
+                np.add.at(edge, at[take], 1)
+                np.add.at(edge, at[take] + n[take], -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                n_gone = int(gone.sum())
+                first, last = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]])), np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]]))
+                for a, b in zip(first.tolist(), last.tolist()):
+                    kept.append(text[upto : start[a]])
+                    upto = int(start[b + 1]) if b + 1 < len(start) else len(text)
+                    runs += 1
             kept.append(text[upto:])
             rest = b"".join(kept)
-            out.append((None if doc == LAST else doc, len(start), int(gone.sum()), runs, len(text) - len(rest), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "surrogatepass")))
-        names = ("doc_id", "n_sentences", "n_removed", "n_spans", "removed_bytes", "kept_sha256", "kept")
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*out) if out else [[]] * 7, [pa.int64()] * 5 + [pa.string()] * 2)})
+            out.append((len(start), n_gone, runs, len(text) - len(rest), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "surrogatepass")))
+        names = ("n_sentences", "n_removed", "n_spans", "removed_bytes", "kept_sha256", "kept")
+        return pa.table({"doc_id": group.column("doc_id"), **{k: pa.array(c, t) for k, c, t in zip(names, zip(*out) if out else [[]] * 6, [pa.int64()] * 4 + [pa.string()] * 2)}})
 
-    found = plain.mapInArrow(gather, "part int, shard int, h binary, doc binary, at binary, n binary, s binary")
-    found = stored(found)
-    decided = found.filter("part >= 0").groupBy("part").applyInArrow(meet, "shard int, doc binary").union(found.filter("part < 0").select("shard", "doc"))
+    found = stored(plain.mapInArrow(gather, ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in kinds)))
+    decided = found.filter("part >= 0").groupBy("part").applyInArrow(meet, "shard int, gone binary").union(found.filter("part < 0").select("shard", "gone"))
     return plain.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(cut, "doc_id long, n_sentences long, n_removed long, n_spans long, removed_bytes long, kept_sha256 string, kept string")
 
 

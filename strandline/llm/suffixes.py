@@ -28,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix, prefix_hash, slices, span_hash, text_column
+from strandline.llm.common import from_bytes, mix, prefix_hash, slices, span_hash, squeezed, text_column, to_bytes, unsqueezed, words_at
 
 WINDOW = 50
 GRAM = 16
@@ -43,14 +42,6 @@ HOT = 5000
 LAST = np.iinfo(np.int64).max
 
 
-def words_at(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one big-endian number, zeros after the end."""
-    w = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for shift in (1, 2, 4):
-        w[:-shift] = (w[:-shift] << np.uint64(8 * shift)) | w[shift:]
-    return w[: len(buf)]
-
-
 def window_anchors(buf: np.ndarray) -> np.ndarray:
     """For each window of buf (there are len - WINDOW + 1) the least hash of its GRAM-byte strings."""
     w = words_at(buf)
@@ -173,25 +164,6 @@ def _unfive(data: bytes) -> np.ndarray:
     return np.concatenate([raw, np.zeros((len(raw), 3), np.uint8)], 1).reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _array(x: np.ndarray) -> bytes:
-    """An array's bytes, each place of the numbers by itself, compressed."""
-    return _squeezed(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
-
-
-def _unarray(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(_unsqueezed(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in schema}, schema)
 
@@ -271,7 +243,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal count
             for s, docs in held.items():
-                cells = {"shard": [s], "ids": [np.array([d for d, _ in docs], np.int64).tobytes()], "lengths": [np.array([len(t) for _, t in docs], np.int64).tobytes()], "texts": [_squeezed(b"".join(t for _, t in docs))]}
+                cells = {"shard": [s], "ids": [np.array([d for d, _ in docs], np.int64).tobytes()], "lengths": [np.array([len(t) for _, t in docs], np.int64).tobytes()], "texts": [squeezed(b"".join(t for _, t in docs))]}
                 yield pa.RecordBatch.from_pydict(cells, schema)
             held.clear()
             count = 0
@@ -289,7 +261,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         """Ids and texts in order."""
         pairs = []
         for ids, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "lengths", "texts"))):
-            blob, at = _unsqueezed(texts), 0
+            blob, at = unsqueezed(texts), 0
             for d, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist()):
                 pairs.append((d, blob[at : at + n]))
                 at += n
@@ -334,7 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         late = doc[rows] > doc[rows[first]][kind]
         number = rows.astype(np.int32)
         if late.any():
-            out.append({"part": -1 - shard, "shard": shard, "row": _array(number[late]), "start": _array(starts[late].astype(np.int32)), "length": _array(lengths[late].astype(np.int32))})
+            out.append({"part": -1 - shard, "shard": shard, "row": to_bytes(number[late]), "start": to_bytes(starts[late].astype(np.int32)), "length": to_bytes(lengths[late].astype(np.int32))})
         to, _ = _short(anchor[first], parts)
         by = np.argsort(to, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) != 0]))
@@ -348,8 +320,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             f = first[mine]
             runs = b"".join(text[r][s : s + n + WINDOW - 1] for r, s, n in zip(rows[f].tolist(), starts[f].tolist(), lengths[f].tolist()))
             out.append(
-                {"part": int(to[mine[0]]), "shard": shard, "runs": _squeezed(runs), "length": _array(lengths[f].astype(np.int32)), "anchor": (anchor[f] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()}
-                | {"doc": _array(doc[rows[f]]), "at": _array(np.array([len(w) for w in where], np.int32)), "row": _array(number[at]), "start": _array(starts[at].astype(np.int32))}
+                {"part": int(to[mine[0]]), "shard": shard, "runs": squeezed(runs), "length": to_bytes(lengths[f].astype(np.int32)), "anchor": (anchor[f] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()}
+                | {"doc": to_bytes(doc[rows[f]]), "at": to_bytes(np.array([len(w) for w in where], np.int32)), "row": to_bytes(number[at]), "start": to_bytes(starts[at].astype(np.int32))}
             )
         return _table(out, sent)
 
@@ -358,15 +330,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if group.column("part")[0].as_py() < 0:
             out = []
             for r in group.to_pylist():
-                row, start, n = (_unarray(r[c], np.int32) for c in ("row", "start", "length"))
-                out.append({"shard": r["shard"], "cut": _array(np.stack([row, start, n + WINDOW - 1]))})
+                row, start, n = (from_bytes(r[c], np.int32) for c in ("row", "start", "length"))
+                out.append({"shard": r["shard"], "cut": to_bytes(np.stack([row, start, n + WINDOW - 1]))})
             return _table(out, back)
-        get = lambda c, t: [_unarray(x, t) for x in group.column(c).to_pylist()]
+        get = lambda c, t: [from_bytes(x, t) for x in group.column(c).to_pylist()]
         length, doc, at = get("length", np.int32), get("doc", np.int64), get("at", np.int32)
         anchor = [np.frombuffer(x, np.uint32) for x in group.column("anchor").to_pylist()]
         source = np.repeat(np.arange(group.num_rows), [len(x) for x in length])
         length, anchor, doc, at = (np.concatenate(x) for x in (length, anchor, doc, at))
-        blob = b"".join(map(_unsqueezed, group.column("runs").to_pylist()))
+        blob = b"".join(map(unsqueezed, group.column("runs").to_pylist()))
         span = length.astype(np.int64) + WINDOW - 1
         begin = np.cumsum(span) - span
         occ_from = np.cumsum(at) - at
@@ -404,10 +376,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             ids, cuts = np.unique(to[by], return_index=True)
             for s, block in zip(ids.tolist(), np.split(made[by], cuts[1:])):
                 found.setdefault(s, []).append(block)
-        return _table([{"shard": k, "cut": _array(np.concatenate(x).T)} for k, x in found.items()], back)
+        return _table([{"shard": k, "cut": to_bytes(np.concatenate(x).T)} for k, x in found.items()], back)
 
     def finish(group: pa.Table, cuts: pa.Table) -> pa.Table:
-        cut = np.concatenate([_unarray(x, np.int32).reshape(3, -1).T for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
+        cut = np.concatenate([from_bytes(x, np.int32).reshape(3, -1).T for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
         cut = cut[np.argsort(cut[:, 0], kind="stable")]
         doc, text = unpacked(group)
         lows = np.searchsorted(cut[:, 0], np.arange(len(text) + 1))
