@@ -3,8 +3,9 @@
 A byte goes if some string of WINDOW bytes that covers it also starts in a document with a smaller doc_id.
 
 1. Each window's anchor is the least hash of the GRAM-byte strings in it, so that equal windows have equal anchors,
-   wherever they stand; neighbouring windows mostly share theirs. Documents' distinct anchors meet by hash range;
-   only those that two documents have are reported back. This drops no window with a copy elsewhere.
+   wherever they stand; neighbouring windows mostly share theirs. Each shard of documents tells its distinct anchors,
+   and how many documents hold each, to the part that the anchor's hash names; those that two documents have are
+   reported back. This drops no window with a copy elsewhere.
 2. The runs of windows under such an anchor go, with the bytes they span, to the part that the anchor's hash names.
    Within a shard of documents, equal runs travel once, with the least doc_id; later ones are decided at once.
 3. Each part sorts the suffixes of its distinct runs in two stages: suffixes smaller than their successor are
@@ -17,7 +18,7 @@ A byte goes if some string of WINDOW bytes that covers it also starts in a docum
 An anchor that more than HOT documents have is hot: its windows travel one by one, each to the part that its own
 bytes name, so that a passage in a third of all documents, with other text around it everywhere, spreads over all
 parts. A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
-worked on in blocks of windows. Null texts are empty; a null doc_id counts as larger than all others; repeated rows
+worked on in blocks of windows. Null texts are empty; a null doc_id counts as the largest number; repeated rows
 of one doc_id never delete from each other; texts shorter than WINDOW stay whole; extra columns are ignored.
 """
 
@@ -37,6 +38,8 @@ WINDOW = 50
 GRAM = 16
 SHARD_BYTES = 6 << 20
 PART_BYTES = 2 << 20
+ROOT_BYTES = 100_000_000
+GROWN = 4
 BLOCK = 1 << 20
 HOT = 5000
 LAST = np.iinfo(np.int64).max
@@ -177,97 +180,80 @@ def _runs_of(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, np.flatnonzero(flags & ~after) + 1
 
 
+def grown(size: int, total: int) -> int:
+    """Bytes of a shard or part of an input of `total` bytes: as its square root beyond ROOT_BYTES, so that what a shard sends each part doesn't wear down to single runs; GROWN times at most, as a task holds one."""
+    return int(size * min(GROWN, max(1, (total / ROOT_BYTES) ** 0.5)))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-total // SHARD_BYTES) + 1
-    parts = -(-total // PART_BYTES) + 1
+    shards, parts = (-(-total // grown(size, total)) + 1 for size in (SHARD_BYTES, PART_BYTES))
     plain = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct anchors of each document, by part and in it by shard, five bytes each."""
-        schema = pa.schema([("part", pa.int32()), ("h", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal count
-            if count:
-                part, low = _short(np.concatenate([x for x, _ in held]), parts)
-                s = np.concatenate([x for _, x in held])
-                by = np.lexsort((s, part))
-                part, low, s = part[by], low[by], s[by]
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
-                    who, n = np.unique(s[lo:hi], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"part": [int(part[lo])], "h": [_five(low[lo:hi])], "s": [who.tobytes()], "n": [n.astype(np.int32).tobytes()]}, schema)
-            held.clear()
-            count = 0
-
-        for piece in slices(batches):
-            shard = piece.column("shard").to_numpy()
-            for text, s in zip(piece.column("text").cast(pa.binary()).to_pylist(), shard.tolist()):
-                if len(text) >= WINDOW:
-                    h = np.unique(np.concatenate([a for _, _, a in document_runs(np.frombuffer(text, np.uint8))]))
-                    held.append((h, np.full(len(h), s, np.int32)))
-                    count += len(h)
-            if count >= 1 << 21:
-                yield from flush()
-        yield from flush()
+    def anchors(group: pa.Table) -> pa.Table:
+        """Distinct anchors of one shard by part, five bytes each, and how many documents hold each."""
+        each = [np.unique(np.concatenate([a for _, _, a in document_runs(np.frombuffer(t, np.uint8))])) for t in unpacked(group)[1] if len(t) >= WINDOW]
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+        part, low = _short(h, parts)
+        by = np.argsort(part, kind="stable")
+        part, low, n = part[by], low[by], n[by].astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        shard = group.column("shard")[0].as_py()
+        return _table([{"part": int(part[lo]), "shard": shard, "h": _five(low[lo:hi]), "n": to_bytes(n[lo:hi])} for lo, hi in zip(cuts, [*cuts[1:], len(part)])], told)
 
     def shared(group: pa.Table) -> pa.Table:
         """Of one part, the anchors of two documents or more, for each shard that has them, and which of them are hot."""
         part = np.uint64(group.column("part")[0].as_py()) << np.uint64(40)
-        h = np.concatenate([_unfive(x) for x in group.column("h").to_pylist()])
-        s = np.concatenate([np.repeat(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(group.column("s").to_pylist(), group.column("n").to_pylist())])
-        by = np.argsort(h)
-        h, s = h[by], s[by]
-        same = h[1:] == h[:-1]
-        both = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, s = h[both], s[both]
-        known, count = np.unique(h, return_counts=True)
+        each = [_unfive(x) for x in group.column("h").to_pylist()]
+        h, n = np.concatenate(each), np.concatenate([from_bytes(x, np.int32) for x in group.column("n").to_pylist()])
+        s = np.repeat(np.array(group.column("shard").to_pylist(), np.int32), [len(x) for x in each])
+        known, which = np.unique(h, return_inverse=True)
+        count = np.bincount(which, n)
         hot = known[count > HOT] | part
-        by = np.argsort(s, kind="stable")
-        h, s = h[by] | part, s[by]
-        who, first = np.unique(s, return_index=True)
-        each = [np.unique(x) for x in np.split(h, first[1:])] if len(who) else []
+        both = count[which] > 1
+        h, s = h[both] | part, s[both]
+        by = np.lexsort((h, s))
+        who, first = np.unique(s[by], return_index=True)
+        each = np.split(h[by], first[1:]) if len(who) else []
         return pa.table({"shard": pa.array(who, pa.int32()), "h": pa.array([x.tobytes() for x in each], pa.binary()), "hot": pa.array([np.intersect1d(x, hot).tobytes() for x in each], pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by shard, compressed: ids, lengths and texts."""
-        schema = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: dict[int, list[tuple[int, bool, bytes]]] = {}
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal count
             for s, docs in held.items():
-                cells = {"shard": [s], "ids": [np.array([d for d, _ in docs], np.int64).tobytes()], "lengths": [np.array([len(t) for _, t in docs], np.int64).tobytes()], "texts": [squeezed(b"".join(t for _, t in docs))]}
-                yield pa.RecordBatch.from_pydict(cells, schema)
+                cells = {"shard": [s], "ids": [to_bytes(np.array([d for d, _, _ in docs], np.int64))], "named": [to_bytes(np.array([x for _, x, _ in docs], bool))], "lengths": [to_bytes(np.array([len(t) for _, _, t in docs], np.int64))], "texts": [squeezed(b"".join(t for _, _, t in docs))]}
+                yield pa.RecordBatch.from_pydict(cells, boxed)
             held.clear()
             count = 0
 
         for piece in slices(batches):
-            ids = piece.column("doc_id").fill_null(LAST).to_pylist()
+            ids = piece.column("doc_id").to_pylist()
             for d, s, t in zip(ids, piece.column("shard").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
-                held.setdefault(s, []).append((d, t))
+                held.setdefault(s, []).append((LAST if d is None else d, d is not None, t))
                 count += len(t)
             if count >= 16 << 20:
                 yield from flush()
         yield from flush()
 
-    def unpacked(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-        """Ids and texts in order."""
-        pairs = []
-        for ids, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "lengths", "texts"))):
+    def unpacked(group: pa.Table) -> tuple[np.ndarray, list[bytes], list[bool]]:
+        """Ids and texts in order, and which have an id."""
+        rows = []
+        for ids, named, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "named", "lengths", "texts"))):
             blob, at = unsqueezed(texts), 0
-            for d, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist()):
-                pairs.append((d, blob[at : at + n]))
+            for d, x, n in zip(*(from_bytes(c, t).tolist() for c, t in ((ids, np.int64), (named, bool), (lengths, np.int64)))):
+                rows.append((d, blob[at : at + n], x))
                 at += n
-        pairs.sort()
-        return np.array([d for d, _ in pairs], np.int64), [t for _, t in pairs]
+        rows.sort()
+        return np.array([d for d, _, _ in rows], np.int64), [t for _, t, _ in rows], [x for _, _, x in rows]
 
+    told = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+    boxed = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("ids", "named", "lengths", "texts")]])
     sent = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("runs", "length", "anchor", "doc", "at", "row", "start")]])
     back = pa.schema([("shard", pa.int32()), ("cut", pa.binary())])
 
@@ -280,10 +266,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if not group.num_rows:
             return _table([], sent)
         shard = group.column("shard")[0].as_py()
-        doc, text = unpacked(group)
+        doc, text, _ = unpacked(group)
         lookup = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("h").to_pylist()] or [np.zeros(0, np.uint64)]))
         hot = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("hot").to_pylist()] or [np.zeros(0, np.uint64)]))
-        rows, starts, lengths, anchor, key = [], [], [], [], []
+        rows, starts, lengths, anchor, kind = [], [], [], [], []
+        number_of: dict[bytes, int] = {}
         for i, t in enumerate(text if len(lookup) else []):
             for start, length, a in document_runs(np.frombuffer(t, np.uint8)):
                 part, low = _short(a, parts)
@@ -297,12 +284,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         own = span_hash(prefix_hash(np.frombuffer(t, np.uint8)[low:high]), single - low, single - low + WINDOW)
                         start, length, a = np.concatenate([start[~many], single]), np.concatenate([length[~many], np.ones(len(single), length.dtype)]), np.concatenate([a[~many], own])
                     rows.append(np.full(len(start), i, np.int32)), starts.append(start), lengths.append(length), anchor.append(a)
-                    key += [hash(t[s : s + n + WINDOW - 1]) for s, n in zip(start.tolist(), length.tolist())]
+                    kind += [number_of.setdefault(t[s : s + n + WINDOW - 1], len(number_of)) for s, n in zip(start.tolist(), length.tolist())]
         if not rows:
             return _table([], sent)
         out = []
         rows, starts, lengths, anchor = map(np.concatenate, (rows, starts, lengths, anchor))
-        _, first, kind = np.unique(np.array(key, np.int64), return_index=True, return_inverse=True)  # first: rows are by doc_id
+        del number_of
+        kind = np.array(kind, np.int64)
+        first = np.unique(kind, return_index=True)[1]  # rows are by doc_id
         late = doc[rows] > doc[rows[first]][kind]
         number = rows.astype(np.int32)
         if late.any():
@@ -352,7 +341,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if not len(mine):
                 continue
             text = [blob[b : b + s] for b, s in zip(begin[mine].tolist(), span[mine].tolist())]
-            _, first, kind = np.unique(np.array([hash(t) for t in text], np.int64), return_index=True, return_inverse=True)
+            number_of: dict[bytes, int] = {}
+            kind = np.array([number_of.setdefault(t, len(number_of)) for t in text], np.int64)
+            first = np.unique(kind, return_index=True)[1]
             least = np.full(len(first), LAST)
             np.minimum.at(least, kind, doc[mine])
             holder = first_holders(np.frombuffer(b"".join(text[i] for i in first.tolist()), np.uint8), length[mine][first].astype(np.int64), least)
@@ -381,7 +372,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def finish(group: pa.Table, cuts: pa.Table) -> pa.Table:
         cut = np.concatenate([from_bytes(x, np.int32).reshape(3, -1).T for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
         cut = cut[np.argsort(cut[:, 0], kind="stable")]
-        doc, text = unpacked(group)
+        doc, text, named = unpacked(group)
         lows = np.searchsorted(cut[:, 0], np.arange(len(text) + 1))
         out = []
         for i, (d, t) in enumerate(zip(doc.tolist(), text)):
@@ -396,15 +387,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
             out.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
         names, types = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [pa.int64()] * 4 + [pa.string()]
-        columns = list(zip(*[(None if r[0] == LAST else r[0], *r[1:]) for r in out])) or [()] * 5
+        columns = list(zip(*[(r[0] if x else None, *r[1:]) for r, x in zip(out, named)])) or [()] * 5
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types)})
 
     def sql(schema: pa.Schema) -> str:
         return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
-    reported = plain.mapInArrow(anchors, "part int, h binary, s binary, n binary").groupBy("part").applyInArrow(shared, "shard int, h binary, hot binary")
-    packed = plain.mapInArrow(pack, "shard int, ids binary, lengths binary, texts binary")
+    packed = plain.mapInArrow(pack, sql(boxed))
+    reported = packed.groupBy("shard").applyInArrow(anchors, sql(told)).groupBy("part").applyInArrow(shared, "shard int, h binary, hot binary")
     runs = packed.groupBy("shard").cogroup(reported.groupBy("shard")).applyInArrow(send, sql(sent))
     decided = runs.groupBy("part").applyInArrow(decide, sql(back))
-    # the documents meet their shard once more: the exchange of `packed` is used again
+    # the documents meet their shard three times: the exchange of `packed` is used again
     return packed.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -430,3 +430,10 @@ def test_packed_hashes_do_not_depend_on_company():
     m = quality.train([(BASE, 1), ("%%% $$$ %%%", 0)] * 4)
     assert np.allclose(m.scores(t), [m.scores([x])[0] for x in t])
     assert pd.Series(toxicity.kernel([b"idiot"], [b"idiot", b"tree"])[0][0]).tolist() == pytest.approx([1, 0], abs=0.1)
+
+
+def test_suffix_dedup_of_the_largest_and_of_no_id(spark):
+    last = (1 << 63) - 1
+    d = spark.createDataFrame([(last, LONG[:400]), (None, "own " * 20), (None, "own " * 20), (last - 1, LONG[:300])], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_removed) for r in suffixes.remove_repeats(d).collect()))
+    assert got == [(0, 0), (0, 0), (last - 1, 0), (last, 300)]
