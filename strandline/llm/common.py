@@ -31,6 +31,16 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about `most` bytes of text; a longer single row stands alone."""
     for batch in batches:

@@ -154,6 +154,38 @@ def test_lines_of_repeated_rows_and_removal(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def brute_lines(rows):
+    """{(doc_id, text): lines that go}: every run of any length, first places in order of (doc_id, text's place in rows)."""
+    first, gone = {}, defaultdict(set)
+    split = {(d, i): t.split("\n") for i, (d, t) in enumerate(rows)}
+    for key, x in sorted(split.items()):
+        for a in range(len(x)):
+            for b in range(a, len(x)):
+                w = tuple(x[a : b + 1])
+                if first.setdefault(w, (key, a)) != (key, a) and sum(map(len, w)) >= lines.CHARS:
+                    gone[key] |= set(range(a, b + 1))
+    return {key: "\n".join(l for i, l in enumerate(x) if i not in gone[key]) for key, x in split.items()}
+
+
+def test_repeated_runs_of_any_number_of_lines(spark):
+    three, blank, own = "abcdefg\nhijklmn\nopqrstu", "\n" * 40, "a line that nobody else has number "
+    texts = [three, f"one\n{three}\ntwo", f"{own}1\nhijklmn\nopqrstu\nshort", "a\nb\na\nb\n" + "\n".join("xyz" for _ in range(30)), f"tiny{blank}more of the same{blank}end", f"other\ntiny{blank}more of the same{blank}", "xyz\nxyz\nxyz\nxyz\nxyz\nxyz\nxyz\n", "abcdefg\nhijklmn\nopqrst"]
+    rng = np.random.default_rng(8)
+    texts += ["\n".join("w" * int(k) for k in rng.integers(0, 9, 30)) for _ in range(12)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.kept_sha256 for r in lines.dedup_lines(d).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for (k, _), t in brute_lines(list(enumerate(texts))).items()}
+
+
+def test_lines_of_rows_without_id_and_clashing_columns(spark):
+    run = "the same long line in many rows\nand another one after it"
+    rows = [(None, run, 1), (None, run, 1), (None, "nobody else has this line of text", 2), (1, run, 3), (2, "only " + run, 4), (None, None, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, runs int").withColumn("line_r1", F.lit(1)).withColumn("_gone", F.lit(2)).withColumn("rest", F.lit(3)).withColumn("first", F.lit(4))
+    out = lines.with_lines_removed(d)
+    assert out.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.runs) for r in out.collect()) == [(0, "", 5), (0, "nobody else has this line of text", 2), (1, run, 3), (2, "only the same long line in many rows", 4)]
+
+
 # -- SimHash
 
 def brute_print(t, width=4):

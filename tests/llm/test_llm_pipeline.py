@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 from harness import plain
-from test_llm_operators import brute_components, brute_print, brute_targets
+from test_llm_operators import brute_components, brute_lines, brute_print, brute_targets
 
 import corpus_pipeline
 from strandline.llm import decontaminate, lines, quality
@@ -40,18 +40,11 @@ def test_quality_stage(spark, steps):
 
 def test_line_stage(spark, steps):
     _, docs, out = steps[1]
-    rows, first, gone = by_id(docs), {}, set()
-    split = {d: r.text.split("\n") for d, r in sorted(rows.items())}
-    n = 1
-    while any(len(x) >= n for x in split.values()):
-        for d, x in split.items():
-            for i in range(len(x) - n + 1):
-                w = tuple(x[i : i + n])
-                if first.setdefault(w, (d, i)) != (d, i) and sum(map(len, w)) >= lines.CHARS:
-                    gone |= {(d, j) for j in range(i, i + n)}
-        n *= 2
-    want = {d: "\n".join(t for i, t in enumerate(x) if (d, i) not in gone) for d, x in split.items() if any((d, i) not in gone for i in range(len(x)))}
-    assert {d: r.text for d, r in by_id(out).items()} == want
+    rows = sorted((d, r.text) for d, r in by_id(docs).items())
+    kept, size = brute_lines(rows), {d: t.count("\n") for d, t in rows}
+    got = {d: r.text for d, r in by_id(out).items()}
+    want = {d: kept[d, i] for i, (d, _) in enumerate(rows)}
+    assert got == {d: t for d, t in want.items() if t or d in got} and all(size[d] == 0 or want[d] == "" for d in set(want) - set(got))
 
 
 def test_near_stage(steps):
