@@ -3,38 +3,46 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; no target passes
 MOST times its source's size, and what that frees is shared anew by weight until no target is above.
 
-Entropy balancing: of all document rates, those closest to one in relative entropy, each document weighing its
-words, that meet the word target of every source. The dual has one multiplier a source; Newton steps solve it
-from the sources' aggregated words, and a document's rate is the exponential of its source's multiplier.
-Rounding: within chunks of a source of about CHUNK documents (so that a source of any size spreads over tasks) the
-largest documents are rounded first and each passes the words that it takes too much or too little on to the next.
-
-Null texts have size 0, are in the mix once and take nothing; a null source is a source of its own; repeated rows
-are documents of their own that are rounded alike; an empty table gives an empty mix; extra columns are ignored.
+Entropy balancing: of all document rates between 0 and MOST, those closest to one in relative entropy that meet the
+word target of every source. The dual has one multiplier a source, and the rate of a document is exponentially
+tilted by its words, exp(multiplier * words / the source's mean), MOST at most. Newton steps, kept within a bracket,
+solve it: each sums gradient and second derivative over all documents in one aggregation (documents of one source and
+size, whose terms are equal, are counted beforehand). A source whose target is MOST times its size has rate MOST.
+Rounding: within chunks of a source of about CHUNK rows (so that a source of any size spreads over tasks) the largest
+documents are rounded first and each passes the words that it takes too much or too little on to the next; of what is
+left, a copy more of one document and a copy less of its neighbour in size take off what they can.
+
+Null texts have size 0, are in the mix once and take nothing; a null source is a source of its own; rows that repeat
+doc_id, source and size are rounded one by one, in lots of CHUNK rows; an empty table gives an empty mix; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, positions, text_column
+from strandline.functions.lineage import small
+from strandline.llm.common import cut, positions, stored, text_column, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 CHUNK = 200
-NEWTON_STEPS = 60
+NEWTON_STEPS = 80
+#: A target is met to this share.
+NEAR = 1e-9
 
 
 def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, n, target) from rows (source, size)."""
-    stats = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    ranked = positions(stats, [F.col("source").asc_nulls_last()], "place").withColumn("weight", F.col("place") % 3 + 1)
-    ranked = cut(ranked)
+def source_targets(counted: DataFrame) -> DataFrame:
+    """(place, source, source_size, n, target) from (source, size, n), n rows of one source and size."""
+    stats = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
+    ranked = cut(positions(stats, [F.col("source").asc_nulls_last()], "place").withColumn("weight", F.col("place") % 3 + 1))
     cap = F.col("source_size") * MOST
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
@@ -44,61 +52,109 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         if now.n == capped or not now.open:
             break
         capped, level = now.n, (total - now.fixed) / now.open
-    return ranked.select("source", "source_size", "n", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))).alias("target"))
-
-
-def with_rates(targets: DataFrame) -> DataFrame:
-    """Newton steps on each source's dual: sum of words * exp(lambda) = target."""
-    size, target = F.col("source_size").cast("double"), F.col("target")
-
-    def step(multiplier: Column, _: Column) -> Column:
-        move = F.lit(1.0) - target / (size * F.exp(multiplier))
-        return multiplier - F.greatest(F.lit(-1.5), F.least(F.lit(1.5), move))
-
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return targets.withColumn("rate", F.when((size > 0) & (target > 0), F.exp(solved)).otherwise(0.0))
+    return ranked.select("place", "source", "source_size", "n", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))).alias("target"))
+
+
+def rate_of(multiplier: Column, size: Column, mean: Column) -> Column:
+    return F.exp(F.least(multiplier * size / mean, F.lit(math.log(MOST))))
+
+
+def multipliers(counted: DataFrame, targets: DataFrame, sources: int) -> DataFrame:
+    """targets and each source's mean size and multiplier, which is null where all rates are MOST, or 0 for want of words."""
+    mean = F.col("source_size") / F.col("n")
+    solvable = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < F.col("source_size") * MOST * (1 - NEAR))
+    start = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log(F.col("target") / F.col("source_size"))))
+    free = cut(targets.filter(solvable).select("place", "source", "target", mean.alias("mean"), start.alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")))
+    terms = stored(counted.join(small(free.select("place", "source", "mean"), sources), counted.source.eqNullSafe(free.source)).select("place", "size", "n", (F.col("size") / F.col("mean")).alias("x")).filter("size > 0"))
+    for _ in range(NEWTON_STEPS):
+        rate = F.exp(F.least(F.col("at") * F.col("x"), F.lit(math.log(MOST))))
+        mass = F.col("n") * F.col("size") * rate
+        bent = F.when(F.col("at") * F.col("x") < math.log(MOST), mass * F.col("x")).otherwise(0.0)
+        sums = terms.join(small(free, sources), "place").groupBy("place").agg(F.sum(mass).alias("words"), F.sum(bent).alias("slope"))
+        low = F.when(F.col("words") < F.col("target"), F.col("at")).otherwise(F.col("low"))
+        high = F.when(F.col("words") > F.col("target"), F.col("at")).otherwise(F.col("high"))
+        known = free.join(sums, "place").withColumn("low", low).withColumn("high", high).withColumn("off", F.abs(F.col("words") / F.col("target") - 1))
+        newton = F.col("at") + F.when(F.col("slope") > 0, (F.col("target") - F.col("words")) / F.col("slope"))
+        inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high"))) & (F.abs(newton - F.col("at")) < 4 * (1 + F.abs("at")))
+        halved = F.coalesce((F.col("low") + F.col("high")) / 2, 2 * F.greatest(F.col("low"), F.lit(0.0)) + 1, 2 * F.least(F.col("high"), F.lit(0.0)) - 1)
+        known = cut(known.withColumn("next", F.when(F.col("off") <= NEAR, F.col("at")).when(inside, newton).otherwise(halved)))
+        free = known.select("place", "source", "target", "mean", F.col("next").alias("at"), "low", "high")
+        if (known.agg(F.max("off")).first()[0] or 0.0) <= NEAR:
+            break
+    return targets.join(free.select("place", "mean", F.col("at").alias("multiplier")), "place", "left")
 
 
-def rounded(units: DataFrame, rates: DataFrame) -> DataFrame:
-    """copies for rows (doc_id, source, size, n_rows): error diffusion from the largest document down, chunk by chunk."""
-    placed = units.join(F.broadcast(rates), units.source.eqNullSafe(rates.source)).select(
-        units.doc_id, units.source, "size", "n_rows", "source_size", "target", "rate", F.pmod(F.xxhash64(units.doc_id, "size"), F.ceil(F.col("n") / CHUNK).cast("long")).alias("chunk")
+def rounded(units: DataFrame, rates: DataFrame, sources: int) -> DataFrame:
+    """copies for lots of n_rows equal rows (doc_id, source, size, lot): error diffusion from the largest document down, chunk by chunk."""
+    rate = F.when(F.col("multiplier").isNotNull(), rate_of(F.col("multiplier"), F.col("size"), F.col("mean"))).otherwise(F.when(F.col("target") > 0, F.lit(float(MOST))).otherwise(0.0))
+    lots = units.select("doc_id", "source", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_rows") / CHUNK).cast("long") - 1), lambda i: F.least(F.lit(CHUNK), F.col("n_rows") - i * CHUNK))).alias("lot", "n_rows"))
+    one = small(rates, sources)
+    placed = lots.join(one, lots.source.eqNullSafe(rates.source)).select(
+        "doc_id", lots.source, "size", "lot", "n_rows", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "size", "lot"), F.ceil(F.col("n") / CHUNK).cast("long")).alias("chunk")
     )
-    item = F.struct((-F.col("size") * F.col("n_rows")).alias("order"), "doc_id", "size", "n_rows")
-    chunks = placed.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("rate").alias("rate"))
+    item = F.struct((-F.col("size")).alias("order"), "doc_id", "lot", "size", "n_rows", "rate")
+    chunks = placed.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
 
     def take(state: Column, x: Column) -> Column:
-        mass = -x["order"].cast("double")
-        owed = state["owed"] + mass * F.col("rate")
-        copies = F.when(mass > 0, F.greatest(F.lit(0), F.least(F.lit(MOST), F.round(owed / mass).cast("int")))).otherwise(1)
-        return F.struct((owed - copies * mass).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
-
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("copies"))
-    done = chunks.withColumn("copies", F.aggregate("items", start, take)["copies"])
+        size, n = x["size"].cast("double"), x["n_rows"]
+        owed = state["owed"] + size * n * x["rate"]
+        copies = F.when(size > 0, F.greatest(F.lit(0), F.least(n * MOST, F.round(owed / size).cast("long")))).otherwise(n)
+        return F.struct((owed - copies * size).alias("owed"), F.concat(state["copies"], F.array(copies)).alias("copies"))
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("copies"))
+    done = chunks.withColumn("state", F.aggregate("items", start, take)).withColumn("owed", F.col("state.owed")).withColumn("copies", F.col("state.copies"))
+    # what is left over: one copy more of a document and one less of its neighbour in size, where that brings it down
+    item_at, copies_at = (lambda i, c=c: F.get(F.col(c), i) for c in ("items", "copies"))
+
+    def swap(i: Column, up: int) -> Column:
+        more, less = (i, i + 1) if up > 0 else (i + 1, i)
+        can = (copies_at(more) < item_at(more)["n_rows"] * MOST) & (copies_at(less) > 0) & (item_at(i + 1)["size"] > 0)
+        return F.when(can, F.struct(F.abs(F.col("owed") - up * (item_at(i)["size"] - item_at(i + 1)["size"])).alias("off"), more.alias("more"), less.alias("less")))
+
+    places = F.when(F.size("items") > 1, F.sequence(F.lit(0), F.size("items") - 2))
+    done = done.withColumn("swap", F.when(F.abs("owed") >= 1, F.array_min(F.flatten(F.transform(places, lambda i: F.array(swap(i, 1), swap(i, -1)))))))
+    moved = lambda i: (i == F.col("swap.more")).cast("long") - (i == F.col("swap.less")).cast("long")
+    done = done.withColumn("copies", F.when(F.col("swap.off") < F.abs("owed"), F.transform("copies", lambda x, i: x + moved(i))).otherwise(F.col("copies")))
     out = done.select("source", "source_size", "target", F.explode(F.arrays_zip("items", "copies")).alias("x"))
-    return out.select("x.items.doc_id", "source", "x.items.size", "x.items.n_rows", "source_size", "target", "x.copies")
+    return out.select("x.items.doc_id", "source", "x.items.size", "x.items.lot", "x.items.n_rows", "source_size", "target", "x.copies")
 
 
 def _mix(sizes: DataFrame) -> DataFrame:
-    rates = cut(with_rates(source_targets(sizes)))
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
-    return rounded(units, rates)
+    units = stored(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")))
+    counted = stored(units.groupBy("source", "size").agg(F.sum("n_rows").alias("n")))
+    targets = cut(source_targets(counted))
+    sources = targets.count()
+    return rounded(units, cut(multipliers(counted, targets, sources)), sources)
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), words(text_column(docs)).alias("size"))
 
 
+def _share(copies: Column, n: Column, i: Column) -> Column:
+    """Of `copies` dealt to n rows, those of row i."""
+    return F.floor(copies / n) + (i < copies % n).cast("long")
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of docs."""
-    one = F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int")))
-    return _mix(cut(_sizes(docs))).withColumn("_", one).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    rows = _mix(_sizes(docs)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1)))
+    each = rows.withColumn("copies", _share(F.col("copies"), F.col("n_rows"), F.col("i")).cast("int"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes at least once, with copies and taken (columns of these names are replaced)."""
-    mix = _mix(cut(_sizes(docs))).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    names = [c for c in docs.columns if c not in ("copies", "taken")]
-    left = docs.select(*names, words(text_column(docs)).alias("_words"))
-    on = left.doc_id.cast("long").eqNullSafe(mix["_id"]) & left["source"].cast("string").eqNullSafe(mix["_source"]) & (left["_words"] == mix["_size"])
-    return left.join(mix, on).select(*[left[c] for c in names], "copies", (F.col("_size") * F.col("copies")).cast("long").alias("taken"))
+    """The rows of docs that the mix takes at least once, with copies and taken, named with underscores before where docs has such columns.
+
+    Of rows that repeat doc_id, source and size, which ones get a copy more goes by the hash of their texts.
+    """
+    size, row, copies, taken = unused(docs, "size", "row", "copies", "taken")
+    mix = _mix(_sizes(docs)).groupBy("doc_id", "source", "size").agg(F.sum("n_rows").alias("n_rows"), F.sum("copies").alias("copies")).filter("copies > 0")
+    left = docs.withColumn(size, words(text_column(docs)))
+    on = left["doc_id"].cast("long").eqNullSafe(mix["doc_id"]) & left["source"].cast("string").eqNullSafe(mix["source"]) & (left[size] == mix["size"])
+    both = left.join(mix, on).select(*[left[c] for c in docs.columns], left[size], mix["n_rows"].alias(row), mix["copies"].alias(copies))
+    alone = both.filter(F.col(row) == 1).select(*docs.columns, size, F.col(copies).cast("int").alias(copies))
+    order = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64(F.col("text")))
+    several = both.filter(F.col(row) > 1).select(*docs.columns, size, _share(F.col(copies), F.col(row), F.row_number().over(order) - 1).cast("int").alias(copies))
+    every = alone.union(several).filter(F.col(copies) > 0)
+    return every.select(*docs.columns, copies, (F.col(size) * F.col(copies)).cast("long").alias(taken))

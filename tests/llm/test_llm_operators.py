@@ -328,6 +328,46 @@ def test_mixing(docs, big, empty):
     assert mixed.columns == [*docs.columns, "copies", "taken"]
 
 
+def solved_rates(sizes, target):
+    """Rates by bisection on the dual's gradient, in numpy."""
+    x, low, high = sizes / sizes.mean(), -1e4, 1e4
+    rate = lambda m: np.minimum(3.0, np.exp(np.minimum(m * x, 2.0)))
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (rate(mid) * sizes).sum() < target else (low, mid)
+    return rate(low)
+
+
+def test_multipliers_solve_the_dual(spark):
+    rng = np.random.default_rng(4)
+    table = {s: np.ceil(rng.lognormal(4, 1.2, n)).astype(int) for s, n in (("a", 300), ("b", 900), ("c", 150), (None, 400))}
+    sizes = spark.createDataFrame([(s, int(k)) for s, v in table.items() for k in v], "source string, size long")
+    counted = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    targets = mixing.source_targets(counted)
+    for r in mixing.multipliers(counted, targets, 4).collect():
+        v = table[r.source].astype(float)
+        got = np.full(len(v), 3.0) if r.multiplier is None else np.minimum(3.0, np.exp(np.minimum(r.multiplier * v / r["mean"], np.log(3.0))))
+        assert (got * v).sum() == pytest.approx(r.target, rel=1e-6)
+        if r.multiplier is not None:
+            assert np.allclose(got, solved_rates(v, r.target), rtol=1e-6)
+
+
+def test_mixing_rounds_repeated_rows_one_by_one(spark):
+    rows = [(None, "w " * 10, "a", i) for i in range(1000)] + [(5, "w " * 10, "b", i) for i in range(700)] + [(i, "w " * (1 + i % 50), "c", i) for i in range(500)] + [(9, None, None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(4)
+    got = mixing.mix_sources(d).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.target] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(t - k) <= 0.01 * t + 5 for t, k in taken.items())
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sources(d.repartition(3)).collect()))
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == ["doc_id", "text", "source", "copies", "_copies", "taken"]
+    rows = mixed.collect()
+    assert sum(r.taken for r in rows) == sum(r.taken for r in got) and len(rows) == sum(r.copies > 0 for r in got)
+
+
 def test_mixing_spreads_a_large_source_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 10)
     d = spark.createDataFrame([(i, "w " * (1 + i % 7), "a" if i % 4 else None) for i in range(400)], "doc_id long, text string, source string")
