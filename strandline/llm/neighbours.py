@@ -3,12 +3,13 @@
 A shard is a run of at most SHARD vectors of one input partition, so that building moves no rows. Inner nodes hold
 a vantage point and, for either side, the range of distances from it; a side is left out if the triangle
 inequality, its slack multiplied by `factor`, shows it beyond the best k so far. Factor 1 is exact; larger factors
-prune more and may miss. The trees are written as a table; queries come in blocks of at most BLOCK that are
-broadcast (BLOCK * dimensions * 8 bytes) against all trees.
+prune more and may miss. The trees are written as a table; queries come in blocks of at most BLOCK_BYTES of vectors,
+each broadcast to one pass over all trees.
 
 Vectors that are null, zero, or hold null or non-finite components neither ask nor answer. Vectors are compared
-with those of as many components only. Rows repeated under one vec_id are not each other's neighbours, and each
-counts as a candidate. Ties go to the smaller vec_id. Empty tables give no rows; extra columns are ignored.
+with those of as many components only. A vec_id asks once: rows repeated under it ask with the least of their vectors
+(of the longest, if they differ in length). They are not each other's neighbours, and each counts as a candidate.
+Ties go to the smaller vec_id. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import positions, stored
 
 SHARD = 8192
 LEAF = 128
-BLOCK = 4096
+BLOCK_BYTES = 32 << 20
+#: Queries that go through a tree together; it bounds a worker's memory.
+TOGETHER = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,7 +121,8 @@ class Search:
             go(outer, near_in, gap_out)
             go(inner, ~near_in, gap_in)
 
-        visit(0, np.arange(len(self.ids)))
+        for at in range(0, len(self.ids), TOGETHER):
+            visit(0, np.arange(at, min(at + TOGETHER, len(self.ids))))
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
@@ -160,16 +164,15 @@ def build_index(vectors: DataFrame) -> DataFrame:
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0) -> DataFrame:
     """query_id, rank, vec_id, score for queries (vec_id, v), a block at a time."""
     spark = index.sparkSession
-    found, last = [], None
-    while True:
-        page = (queries if last is None else queries.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(BLOCK).collect()
-        if not page:
-            break
-        if len(page) == BLOCK:  # the last id of a full block may go on in the next
-            final = page[-1].vec_id
-            whole = [r for r in page if r.vec_id < final]
-            page = whole + queries.filter(F.col("vec_id") == final).distinct().collect()
-        last = page[-1].vec_id
+    asked = stored(queries.groupBy("vec_id").agg(F.max(F.struct(F.size("v").alias("n"), F.transform("v", lambda x: -x).alias("v"))).alias("m")).select("vec_id", F.transform("m.v", lambda x: -x).alias("v")))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("widest")).first()
+    most = max(1, BLOCK_BYTES // (8 * (size.widest or 1)))
+    blocks = -(-size.n // most)
+    if blocks > 1:
+        asked = stored(positions(asked, [F.col("vec_id")], "place").select("vec_id", "v", F.floor(F.col("place") / most).alias("block")), "block")
+    found = []
+    for at in range(blocks):
+        page = (asked.filter(F.col("block") == at) if blocks > 1 else asked).select("vec_id", "v").collect()  # BLOCK_BYTES at most
         block: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for dim in {len(r.v) for r in page}:
             rows = [r for r in page if len(r.v) == dim]
@@ -188,7 +191,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
                 hit = np.isfinite(s.best)
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(s.ids, hit.sum(1)), "vec_id": s.who[hit], "score": s.best[hit]})
 
-        found.append(stored(index.mapInArrow(answer, "query_id long, vec_id long, score double")) if len(page) >= BLOCK else index.mapInArrow(answer, "query_id long, vec_id long, score double"))
+        found.append(stored(index.mapInArrow(answer, "query_id long, vec_id long, score double")) if blocks > 1 else index.mapInArrow(answer, "query_id long, vec_id long, score double"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = found[0]

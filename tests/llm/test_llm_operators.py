@@ -275,12 +275,20 @@ def test_neighbours(spark, monkeypatch):
 
 
 def test_neighbours_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 3 * 16)
+    monkeypatch.setattr(neighbours, "TOGETHER", 2)
     e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 1000, 50)], "vec_id long, embedding array<double>")
     got = neighbours.nearest(e, k=1).collect()
     assert sorted((r.query_id, r.vec_id) for r in got) == [(q, q - 50 if q else 50) for q in range(0, 1000, 100)]
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rows = [(i, [float(i), -1.0]) for i in range(30)]
+    e = spark.createDataFrame(rows + rows[:1] * 3 + rows[3:4], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r.vec_id) for r in neighbours.nearest(e).collect())
+    assert got == list(enumerate([1, 2, 3, 3, 4, 5, 6, 7, 8, 9], 1))
+
+
 def test_a_larger_factor_prunes_more_and_keeps_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     exact = {(r.query_id, r.vec_id) for r in neighbours.nearest(e).collect()}
