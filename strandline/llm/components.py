@@ -13,15 +13,16 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Edges point from the larger node to the smaller. A round hooks all parents of a node to its smallest, then
     moves every edge to its parent's parent; it ends when all edges lead straight to roots. A node of many children
-    is only ever the many side of a join against a table of one row a node, which adaptive execution can split.
+    is only ever the many side of a join against a written table of one row a node, which adaptive execution can split.
+    Edges that hold a null take no part; no edges give no rows; repeated edges count once; extra columns are ignored.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
     for _ in range(most_rounds):
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(e.groupBy("a").agg(F.min("b").alias("m")))
         both = e.join(least, "a")
         hooked = cut(both.select("a", F.col("m").alias("b")).union(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        up = hooked.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"))
+        up = cut(hooked.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up")))
         jumped = hooked.join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().cast("int").alias("moved"))
         e = cut(jumped.groupBy("a", "b").agg(F.max("moved").alias("moved")))
         state = e.agg(F.sum("moved").alias("moved"), F.count("*").alias("n"), F.count_distinct("a").alias("nodes")).first()

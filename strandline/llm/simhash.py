@@ -1,20 +1,21 @@
-"""SimHash near-duplicates: fingerprints, and exact links within a Hamming radius by vantage-point trees.
+"""SimHash near-duplicates: fingerprints, linked by vantage-point trees (see `vantage`).
 
-The radius r over 64 bits is shared out to MASKS groups of bits: two fingerprints within r differ in at most
-r // MASKS bits of some group. For each group the number of differing bits in it is a pseudo-metric, and a tree of
-vantage points over it deals the fingerprints out: those nearer than a node's threshold go to its inner shard,
-those farther to the outer, and those on the boundary, whose neighbours within the radius may lie on either side,
-to both. So every pair that a group can vouch for meets in a shard, where the same splitting goes on in memory and
-the full distance decides. A shard gives each fingerprint's link to the first of its cluster only, never all pairs.
-The upper tree is made on the driver from a bounded sample (SAMPLE); all fingerprints pass through it.
+op8's rule: 64 bits of the shingles of four words, repeats included; fingerprints of 4 or fewer differing bits are
+linked. Four groups of 16 bits lose no such pair.
+
+The pipeline's rule (keep_one): texts whose sets of five-word shingles share SIMILARITY or more. Candidates are
+fingerprints of WORDS words over the distinct shingles, within WIDE's radius by trees over 16 groups of bits; the exact
+sets decide. At a similarity of just SIMILARITY a pair of equal sizes differs in 78 of the 512 bits, give or take 8, so
+that the radius of 92 finds 96 of 100 such pairs and nearly all that are more alike; a group is found whole as
+soon as some of its pairs are.
 
 Null and empty texts and those without words have fingerprint zero and are linked like any other; repeated rows
-have distance zero; a null doc_id takes part but is nobody's smallest id; extra columns are ignored.
+have distance zero; in op8 a null doc_id takes part but is nobody's smallest id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices, stored, text_column, utf8_of
+from strandline.functions.lineage import small
+from strandline.llm import vantage
+from strandline.llm.common import mix, slices, stored, text_column, unused, utf8_of
 from strandline.llm.components import components
 
 SEED = 42
-MASKS = 4
-SHARD = 8192
-SAMPLE = 20000
-BRUTE = 256
+NEAR_WIDTH = 5
+SIMILARITY = 0.8
+WORDS = 8
+WIDE = vantage.Space(WORDS, 92, vantage.groups_of(4, 4), 1)
+SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: A fingerprint is hot from this many rows on, and from one HOT_KEYS-th of all rows on: so at most HOT_KEYS are.
 HOT_ROWS, HOT_KEYS = 500, 1000
 
@@ -49,6 +53,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([hash_of(joined[a:b], SEED) for a, b in zip(start.tolist(), ends)], np.uint64)
 
 
+def _contents(text: bytes) -> bytes:
+    """16 bytes that name a text's words."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
 def fingerprint(text: bytes, width: int = 4) -> int:
     """64-bit SimHash of one text's word shingles as a signed integer."""
     h = shingle_hashes(text, width)
@@ -60,7 +69,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) for every row, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,151 +79,14 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ()) ->
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, fp long"))
 
 
-def masks(count: int) -> list[int]:
-    """Disjoint groups of neighbouring bits that cover all 64."""
-    edges = [64 * i // count for i in range(count + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-
-
-def split(fps: np.ndarray, mask: int, radius: int, vantage: int) -> tuple[int, np.ndarray] | None:
-    """The threshold with the smallest larger side, and all distances; None if nothing is gained."""
-    d = np.bitwise_count((fps ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int64)
-    below = np.cumsum(np.bincount(d, minlength=65))
-    worst = [max(below[t], below[-1] - (below[t - radius] if t >= radius else 0)) for t in range(65)]
-    t = int(np.argmin(worst))
-    return (t, d) if worst[t] < 0.9 * len(fps) else None
-
-
-def upper_tree(sample: np.ndarray, mask: int, radius: int, share: float, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, threshold, inner, outer), children below zero being shards -1, -2, ...; shards of about `share` of the sample."""
-    nodes: list[tuple[int, int, int, int]] = []
-    shards = 0
-
-    def grow(fps: np.ndarray) -> int:
-        nonlocal shards
-        found = None
-        if len(fps) > max(2, share * len(sample)):
-            for _ in range(8):
-                vantage = int(fps[rng.integers(len(fps))])
-                found = split(fps, mask, radius, vantage)
-                if found:
-                    break
-        if not found:
-            shards += 1
-            return -shards
-        t, d = found
-        me = len(nodes)
-        nodes.append((vantage, t, 0, 0))
-        nodes[me] = (vantage, t, grow(fps[d <= t]), grow(fps[d > t - radius]))
-        return me
-
-    root = grow(sample)
-    return nodes if root == 0 else []
-
-
-def deal(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], mask: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, positions) of all shards that each fingerprint must be in."""
-    if not nodes:
-        yield 1, np.arange(len(fps))
-        return
-    todo = [(0, np.arange(len(fps)))]
-    while todo:
-        node, at = todo.pop()
-        if node < 0:
-            yield -node, at
-        elif len(at):
-            vantage, t, inner, outer = nodes[node]
-            d = np.bitwise_count((fps[at] ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int64)
-            todo += [(inner, at[d <= t]), (outer, at[d > t - radius])]
-
-
-def firsts(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the position of the first of its cluster here, all pairs compared by the full distance."""
-    n = len(fps)
-    label = np.arange(n)
-    step = max(1, (1 << 20) // n)
-    while True:
-        before = label.copy()
-        for at in range(0, n, step):
-            near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :]) <= radius
-            label[at : at + step] = np.minimum(label[at : at + step], np.where(near, label[None, :], n).min(1))
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
-def cluster(fps: np.ndarray, mask: int, inner_radius: int, radius: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (fingerprint, first of its cluster) of one shard, splitting on until brute force is cheap."""
-    todo = [np.unique(fps)]
-    while todo:
-        part = todo.pop()
-        found = None
-        if len(part) > BRUTE:
-            for _ in range(8):
-                found = split(part, mask, inner_radius, int(part[rng.integers(len(part))]))
-                if found:
-                    break
-        if found:
-            t, d = found
-            todo += [part[d <= t], part[d > t - inner_radius]]
-        elif len(part) > 1:
-            first = firsts(part, radius)
-            linked = first != np.arange(len(part))
-            if linked.any():
-                yield part[linked], part[first[linked]]
-
-
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) that span all clusters of the distinct fingerprints (column fp) within the radius."""
-    spark = distinct.sparkSession
-    inner = radius // MASKS
-    total = distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    groups = masks(MASKS)
-    rng = np.random.default_rng(3)
-    share = max(SHARD / max(total, 1), 8 / max(len(sample), 1))
-    trees = [upper_tree(sample, m, inner, share, rng) if len(sample) else [] for m in groups]
-    shared = spark.sparkContext.broadcast(trees)  # at most a few thousand nodes: the sample is bounded
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for g, m in enumerate(groups):
-                for shard, at in deal(fps, shared.value[g], m, inner):
-                    if len(at):
-                        yield pa.RecordBatch.from_pydict({"grp": np.full(len(at), g, np.int32), "shard": np.full(len(at), shard, np.int32), "fp": fps[at].view(np.int64)})
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(4)
-        held: list[np.ndarray] = []
-        key = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                for a, b in cluster(np.concatenate(held), groups[key[0]], inner, radius, rng):
-                    yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
-                held.clear()
-
-        for batch in batches:
-            g, s, f = (batch.column(c).to_numpy() for c in ("grp", "shard", "fp"))
-            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(s) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)]):
-                if hi > lo:
-                    if (g[lo], s[lo]) != key:
-                        yield from close()
-                        key = (g[lo], s[lo])
-                    held.append(f[lo:hi].view(np.uint64).copy())
-        yield from close()
-
-    routed = distinct.mapInArrow(route, "grp int, shard int, fp long")
-    return routed.repartition("grp", "shard").sortWithinPartitions("grp", "shard").mapInArrow(near, "a long, b long").distinct()
-
-
-def grouped(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+SPACE = vantage.Space(1, 4, vantage.groups_of(1, 4), 1)
+
+
+def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    rows = fingerprints(docs, width)
+    rows = fingerprints(docs)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(vantage.links(distinct.select(F.col("fp").alias("id"), "fp"), SPACE))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "smallest")
     least = linked.groupBy("root").agg(F.min("smallest").alias("component"))
     named = linked.join(least, "root").select("fp", "component")
@@ -230,11 +102,112 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """WORDS words of SimHash of distinct shingles, each word from hashes of its own."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(shingles), 255):
+        each = mix(shingles[at : at + 255, None] + SALTS)
+        ones += np.add.reduce(np.unpackbits(each.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sorted sets of shingles share SIMILARITY of all that either has, or more; empty ones are alike."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, ok) for pairs (a, b) by the exact similarity of their sets (id, shingles)."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ok = [similar(x, y) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, ok boolean")
+
+
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all nodes (id, fp) that have a similar one; sets_of gives (id, shingles) for some ids.
+
+    Round by round each node that has unlinked strangers within WIDE's radius is compared exactly with the nearest of
+    them, then with eight times as many, until no candidate is left that was neither linked nor refuted: nodes that
+    are linked already are not compared again, so that a large group of copies needs few comparisons a node.
+    """
+    open_, most = nodes.withColumn("root", F.col("id")), 1
+    sets = linked = refuted = roots = None
+    while True:
+        asked = stored(vantage.nearest_strangers(open_, WIDE, most))
+        if sets is None:
+            busy = stored(asked.select(F.col("a").alias("id")).union(asked.select("b")).filter("id is not null").distinct())
+            sets = stored(sets_of(busy))
+            open_ = stored(nodes.join(busy, "id", "left_semi"))
+        pairs = asked.filter("b is not null")
+        if refuted is not None:
+            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
+        told = stored(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
+        new, no = told.filter("ok").select("a", "b"), told.filter("not ok").select("a", "b")
+        both_ways = no.union(no.select("b", "a"))
+        refuted = both_ways if refuted is None else refuted.union(both_ways)
+        linked = new if linked is None else linked.union(new)
+        if not new.isEmpty():
+            roots = stored(components(linked))
+        elif asked.filter("b is null").isEmpty():
+            break
+        nodes_left = open_.select("id", "fp")
+        open_ = nodes_left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")) if roots is not None else nodes_left.withColumn("root", F.col("id"))
+        most *= 8
+    return linked.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest doc_id (of repeated rows of that id, one).
+    """The rows of docs, one of each group of texts that similar ones link: that with the smallest doc_id, then text hash.
 
-    Rows without a doc_id cannot stand for a component and all stay.
+    Texts are similar if their sets of NEAR_WIDTH-word shingles share SIMILARITY or more (texts of equal words always, those
+    without words among themselves). Every row is a document of its own, whatever its doc_id, a null one counting as the
+    largest; of rows that repeat doc_id and text one stays.
     """
-    names = docs.columns
-    kept = grouped(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept["_id"], "left_semi").dropDuplicates(["doc_id"]).select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    doc, c1, c2, t = unused(docs, "doc", "c1", "c2", "t")
+    key = [c1, c2, doc, t]
+    text = text_column(docs)
+    order = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            every = [_contents(x) for x in utf8_of(part.column("text"))]
+            fps = [wide_fingerprint(np.unique(shingle_hashes(x, NEAR_WIDTH))) for x in utf8_of(part.column("text"))]
+            halves = np.frombuffer(b"".join(every), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), part.column("doc"), part.column("t"), pa.array(fps, pa.binary())], ["c1", "c2", "doc", "t", "fp"])
+
+    rows = stored(docs.select(order.alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(prints, "c1 long, c2 long, doc long, t long, fp binary"))
+    best = F.min(F.struct("doc", "t"))
+    contents = stored(rows.groupBy("c1", "c2").agg(best.alias("best"), F.min("fp").alias("fp")).withColumn("id", F.monotonically_increasing_id()))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                sets = [np.unique(shingle_hashes(x, NEAR_WIDTH)).tobytes() for x in utf8_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+        first = contents.join(some, "id", "left_semi").select("id", F.col("best.doc").alias("d"), F.col("best.t").alias("h"))
+        plain = docs.select(order.alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
+        found = plain.join(small(first, some.count()), (F.col("doc") == F.col("d")) & (F.col("t") == F.col("h"))).mapInArrow(packed, "id long, shingles binary")
+        return found.groupBy("id").agg(F.min("shingles").alias("shingles"))
+
+    roots = similar_links(contents.select("id", "fp"), sets_of)
+    rooted = stored(contents.join(roots, contents.id == roots.node, "left").select("c1", "c2", "best", F.coalesce("root", "id").alias("root")))
+    stay = stored(rooted.groupBy("root").agg(F.min("best").alias("stays")))
+    named = stored(rooted.join(stay, "root").select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), "stays", (F.col("best") == F.col("stays")).alias("mine")))
+    judged = rows.groupBy("c1", "c2", "doc", "t").agg(F.count(F.lit(1)).alias("n")).join(named, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")))
+    odd = stored(judged.withColumn("goes", ~F.col("mine") | (F.struct("doc", "t") != F.col("stays"))).filter("goes or n > 1").select("doc", "t", "goes"))
+    # equal doc_id and equal text hash are equal rows to the decision
+    odd = small(odd.groupBy(F.col("doc").alias("odd_doc"), F.col("t").alias("odd_t")).agg(F.min("goes").alias("odd_goes")), odd.count())
+    keyed = docs.withColumn(doc, order).withColumn(t, F.xxhash64(text))
+    told = keyed.join(odd, (keyed[doc] == odd["odd_doc"]) & (keyed[t] == odd["odd_t"]), "left")
+    once = told.filter("odd_goes is null").select(*docs.columns)
+    return once.unionByName(told.filter("not odd_goes").dropDuplicates([doc, t]).select(*docs.columns))

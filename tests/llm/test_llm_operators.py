@@ -13,7 +13,7 @@ import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, lines, mixing, neighbours, quality, secrets, sentences, simhash, suffixes, toxicity
+from strandline.llm import decontaminate, lines, mixing, neighbours, quality, secrets, sentences, simhash, suffixes, toxicity, vantage
 from strandline.llm.components import components
 from strandline.llm.registry import queries
 
@@ -224,14 +224,14 @@ def test_simhash(docs, big):
 
 def test_links_find_all_pairs(spark, monkeypatch):
     """Many shards: every pair within the radius is connected, and nothing else."""
-    monkeypatch.setattr(simhash, "SHARD", 40)
-    monkeypatch.setattr(simhash, "BRUTE", 8)
+    monkeypatch.setattr(vantage, "SHARD", 40)
+    monkeypatch.setattr(vantage, "BRUTE", 8)
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     more = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, replace=False))) for b, k in zip(base, rng.integers(0, 7, 300))]
     fps = sorted({int(np.int64(np.uint64(x))) if x < 1 << 63 else int(x) - (1 << 64) for x in [*map(int, base), *map(int, more)]})
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(df)).collect()}
+    df = spark.createDataFrame([(x, x) for x in fps], "id long, fp long")
+    got = {r.node: r.root for r in components(vantage.links(df, simhash.SPACE)).collect()}
     near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
     assert {n: got.get(n, n) for n in fps} == brute_components(near, fps)
 
@@ -243,11 +243,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_one_of_each_component_stays(docs, empty):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in simhash.near_duplicates(docs).collect()}
+def test_simhash_of_an_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 

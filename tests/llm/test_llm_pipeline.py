@@ -3,7 +3,8 @@
 import pytest
 from conftest import SF
 from harness import plain
-from test_llm_operators import brute_components, brute_lines, brute_print, brute_targets
+from test_llm_operators import brute_lines, brute_targets
+from test_similar import brute_kept
 
 import corpus_pipeline
 from strandline.llm import decontaminate, lines, quality
@@ -49,9 +50,8 @@ def test_line_stage(spark, steps):
 
 def test_near_stage(steps):
     _, docs, out = steps[2]
-    f = {d: brute_print(r.text or "") for d, r in by_id(docs).items()}
-    near = [(a, b) for a in f for b in f if a < b and (f[a] ^ f[b]).bit_count() <= 4]
-    assert set(by_id(out)) == set(brute_components(near, f).values())
+    rows = sorted((d, r.text) for d, r in by_id(docs).items())
+    assert set(by_id(out)) == {rows[i][0] for i in brute_kept([t for _, t in rows])}
 
 
 def test_decontamination_stage(spark, steps):

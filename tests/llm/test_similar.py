@@ -3,8 +3,11 @@
 import random
 from fractions import Fraction
 
-import corpus_pipeline
-from strandline.llm import similar
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import simhash, vantage
 
 
 def brute_alike(a, b):
@@ -38,12 +41,59 @@ def test_stage_drops_texts_of_a_few_edited_words(spark):
     texts += [" ".join(chain[i : i + 100]) for i in range(0, 300, 8)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = brute_kept(texts)
-    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()]
+    got = [r.doc_id for r in simhash.keep_one(table).collect()]
     assert sorted(got) == sorted(want) and len(want) < len(texts) - 40
 
 
-def test_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark):
-    rows = [(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (2, "a b"), (4, "c")]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id or 0 for r in similar.keep_one(table).collect()) == [0, 0, 2, 4]
-    assert similar.keep_one(table.limit(0)).count() == 0
+def test_every_row_is_a_document_of_its_own(spark):
+    rows = [(None, "a b", 1), (None, "a b", 1), (3, "a b", 1), (3, "a b", 1), (2, "a b", 1), (2, "nothing like it", 2), (2, "nothing like it", 2), (4, "c", 3), (None, "d", 4), (None, "d", 4), (None, None, 5), (9, "", 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, t int").withColumn("c1", F.lit(1)).withColumn("Doc", F.lit(2)).repartition(3)
+    out = simhash.keep_one(table)
+    assert out.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "d"), (2, "a b"), (2, "nothing like it"), (4, "c"), (9, "")]
+    assert simhash.keep_one(table.limit(0)).count() == 0
+
+
+def test_a_large_group_of_copies_keeps_one_of_what_is_alike(spark, monkeypatch):
+    """Copies with one to twenty words of 150 edited; many shards and leaves."""
+    monkeypatch.setattr(vantage, "SHARD", 100)
+    monkeypatch.setattr(vantage, "BRUTE", 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(base)] + [edited(rng, base, 1 + i % 20) for i in range(300)] + [" ".join(f"v{rng.randrange(9999)}" for _ in range(100)) for _ in range(200)]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    want = brute_kept(texts)
+    assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_fingerprint_search_misses_few_similar_pairs(monkeypatch, size):
+    """Pairs of a similarity of 0.8 to 0.85: the radius and the trees together."""
+    monkeypatch.setattr(vantage, "BRUTE", size)
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(300)]
+    near = [np.concatenate([s[: 400 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)]) for s, k in zip(sets, rng.integers(33, 45, 300))]
+    fps = np.frombuffer(b"".join(simhash.wide_fingerprint(np.unique(x)) for x in sets + near), np.uint64).reshape(-1, simhash.WORDS)
+    found = set()
+    for g in range(len(simhash.WIDE.groups)):
+        a, b, _, more = vantage.strangers(simhash.WIDE, g, fps, np.arange(600), 5, rng)
+        found |= set(zip(a.tolist(), b.tolist()))
+        assert not len(more)
+    assert {a - b for a, b in found} == {300} and len(found) >= 0.95 * 300
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_dense_leaves_and_other_groups_lose_no_link(monkeypatch, words):
+    """Pivots, splits by other groups, and links of clusters against all pairs."""
+    for name, value in (("BRUTE", 8), ("WIDE", 24), ("PIVOTS", 2)):
+        monkeypatch.setattr(vantage, name, value)
+    rng = np.random.default_rng(words)
+    space = vantage.Space(words, 8 * words - 4, vantage.groups_of(words, 4), 1)
+    assert space.exact
+    centres = rng.integers(0, 1 << 64, (12, words), dtype=np.uint64)
+    flips = rng.random((600, words * 64)) < rng.choice([0.02, 0.06, 0.5], (600, 1))
+    fps = centres[rng.integers(0, 12, 600)] ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    a, b, _ = space.pairs(fps, fps)
+    labels = [vantage.cluster(space, g, fps, rng) for g in range(len(space.groups))]
+    every = vantage.settled(600, np.concatenate([np.arange(600)] * len(labels)), np.concatenate(labels))
+    assert (every == vantage.settled(600, a, b)).all() and len(np.unique(every)) < 500
