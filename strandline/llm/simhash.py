@@ -33,6 +33,8 @@ NEAR_WIDTH = 5
 SIMILARITY = 0.8
 WORDS = 8
 WIDE = vantage.Space(WORDS, 92, vantage.groups_of(4, 4), 1)
+#: Candidates of a node in the first round, and how many times as many in each that follows.
+FEW, MORE = 4, 16
 SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: A fingerprint is hot from this many rows on, and from one HOT_KEYS-th of all rows on: so at most HOT_KEYS are.
 HOT_ROWS, HOT_KEYS = 500, 1000
@@ -135,11 +137,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of all nodes (id, fp) that have a similar one; sets_of gives (id, shingles) for some ids.
 
-    Round by round each node that has unlinked strangers within WIDE's radius is compared exactly with the nearest of
-    them, then with eight times as many, until no candidate is left that was neither linked nor refuted: nodes that
+    Round by round each node that has unlinked strangers within WIDE's radius is compared exactly with the FEW nearest of
+    them, then with MORE times as many, until no candidate is left that was neither linked nor refuted: nodes that
     are linked already are not compared again, so that a large group of copies needs few comparisons a node.
     """
-    open_, most = nodes.withColumn("root", F.col("id")), 1
+    open_, most = nodes.withColumn("root", F.col("id")), FEW
     sets = linked = refuted = roots = None
     while True:
         asked = stored(vantage.nearest_strangers(open_, WIDE, most))
@@ -156,12 +158,12 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -
         refuted = both_ways if refuted is None else refuted.union(both_ways)
         linked = new if linked is None else linked.union(new)
         if not new.isEmpty():
-            roots = stored(components(linked))
+            roots = components(linked)
         elif asked.filter("b is null").isEmpty():
             break
         nodes_left = open_.select("id", "fp")
         open_ = nodes_left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")) if roots is not None else nodes_left.withColumn("root", F.col("id"))
-        most *= 8
+        most *= MORE
     return linked.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
 
 

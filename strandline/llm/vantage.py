@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.components import settled
+
 SHARD = 1 << 17
 SAMPLE = 20000
 BRUTE = 256
@@ -123,20 +125,6 @@ def deal(space: Space, fps: np.ndarray, nodes: list[tuple[np.ndarray, int, int,
             todo += [(inner, at[d <= t]), (outer, at[d > t - space.inner])]
 
 
-def settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For n nodes the least node that links (a, b) lead to."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before, label)  # a whole cluster follows where one of its nodes goes
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def leaf_links(space: Space, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the clusters of a leaf: all pairs are compared, but those linked by pivots already."""
     n = len(fps)

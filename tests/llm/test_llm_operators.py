@@ -13,6 +13,7 @@ import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
+from strandline.llm import components as connected
 from strandline.llm import decontaminate, lines, mixing, neighbours, quality, secrets, sentences, simhash, suffixes, toxicity, vantage
 from strandline.llm.components import components
 from strandline.llm.registry import queries
@@ -236,8 +237,10 @@ def test_links_find_all_pairs(spark, monkeypatch):
     assert {n: got.get(n, n) for n in fps} == brute_components(near, fps)
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    e = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
+@pytest.mark.parametrize("small", [200_000, 10])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(connected, "SMALL_ROWS", small)
+    e = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 7), (3, None), (2, 1), (1, 2)]
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1100)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
