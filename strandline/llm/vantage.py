@@ -201,6 +201,7 @@ def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple
 def strangers(space: Space, group: int, fps: np.ndarray, root: np.ndarray, most: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
     """(a, b, distance) of one shard: for each a the `most` nearest b of another root, and the a that have more.
 
+    Pairs that an earlier group vouches for are left to it.
     Of two roots that meet in a leaf the one with fewer fingerprints there asks (ties: the larger root).
     """
     none = np.zeros(0, np.int64)
@@ -212,7 +213,12 @@ def strangers(space: Space, group: int, fps: np.ndarray, root: np.ndarray, most:
             i, j, near = space.pairs(fps[part[at : at + step]], fps[part])
             i += at
             asks = (kind[i] != kind[j]) & ((size[kind[i]] < size[kind[j]]) | (size[kind[i]] == size[kind[j]]) & (kind[i] > kind[j]))
-            a, b, d = (np.concatenate(x) for x in zip((a, b, d), (part[i[asks]], part[j[asks]], near[asks])))
+            i, j, near = part[i[asks]], part[j[asks]], near[asks]
+            for earlier in range(group):  # a pair that an earlier group vouches for meets there as well
+                word, mask = space.groups[earlier]
+                own = np.bitwise_count((fps[i, word] ^ fps[j, word]) & np.uint64(mask)) > space.inner
+                i, j, near = i[own], j[own], near[own]
+            a, b, d = (np.concatenate(x) for x in zip((a, b, d), (i, j, near)))
             if len(a) > 1 << 22:
                 a, b, d, left = nearest_few(a, b, d, most)
                 more.append(left)
