@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ def shared_dir(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -27,6 +30,8 @@ def shared_dir(df: DataFrame) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there."""
     shared_dir(df)
+    sc = df.sparkSession.sparkContext
+    _remove_at_exit(sc, sc._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
@@ -40,13 +45,18 @@ def _remove(jvm, configuration, folder: str) -> None:
         path.getFileSystem(configuration).delete(path, True)
 
 
+def _remove_at_exit(sc, folder: str) -> None:
+    """An application's own folder goes when its driver ends."""
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), folder)
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder: pruned by column, and by the partitioning column's folders."""
     spark = df.sparkSession
     folder = f"{shared_dir(df).rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    _remove_at_exit(spark.sparkContext, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -220,6 +220,14 @@ def channels(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pub, lis
 
 
+def named_pointcuts(methods: DataFrame) -> DataFrame:
+    """(name, expression) of the methods that only name a pointcut; of equal names the first by id."""
+    note = F.filter("annotations", lambda a: a["name"] == "Pointcut")
+    found = methods.select("id", "name", F.get(note, 0)["arguments"].alias("given")).filter("given IS NOT NULL")
+    text = F.array_join(F.regexp_extract_all(F.array_join("given", " "), F.lit(r'"((?:[^"\\\\]|\\\\.)*)"'), 1), "")
+    return found.groupBy("name").agg(F.min_by(text, "id").alias("expression"))
+
+
 def build_graph(parsed: DataFrame) -> GraphSession:
     """The whole graph of parsed files; of equal keys the first declared stays, edges to nowhere are dropped."""
     from strandline.functions.lineage import settle
@@ -234,7 +242,9 @@ def build_graph(parsed: DataFrame) -> GraphSession:
     methods = m.select("id", "type_id", "name", F.size("params").alias("arity"), "ordinal", F.coalesce("modifiers", F.array()).cast("array<string>").alias("modifiers"), F.transform("annotations", lambda a: a["name"]).alias("annotations"))
     c = F.col
     dispatch = dispatch_edges(calls.select("target", (c("outcome") == "resolved").alias("resolved")), methods, up)
-    advice = advice_edges(m.filter("advice_kind IS NOT NULL").select(c("id").alias("advice"), "advice_kind", F.coalesce("pointcut", F.lit("")).alias("pointcut")), methods.join(t, "type_id", "left").withColumn("type_annotations", F.coalesce("type_annotations", F.array().cast("array<string>"))))
+    given = m.filter("advice_kind IS NOT NULL").select(c("id").alias("advice"), "advice_kind", F.coalesce("pointcut", F.lit("")).alias("pointcut"))
+    advised = methods.join(t, "type_id", "left").withColumn("type_annotations", F.coalesce("type_annotations", F.array().cast("array<string>")))
+    advice = advice_edges(given, advised, named_pointcuts(m))
     events = channel_edges(*channels(parsed))
     derived = edges_frame(dispatch, source=c("source"), target=c("target"), kind=c("kind"), confidence=c("confidence")).union(edges_frame(advice, source=c("source"), target=c("target"), kind=c("kind"), confidence=c("confidence"))).union(edges_frame(events, source=c("source"), target=c("target"), kind=c("kind"), confidence=c("confidence"), channel=c("channel")))
     nodes = declaration_nodes(parsed).withColumn("_o", F.lit(0)).union(call_nodes.union(wire_nodes).withColumn("_o", F.lit(1)))

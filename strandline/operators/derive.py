@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import stored
+
+#: Pointcuts that one pass over the methods tests.
+ADVICE_BATCH = 100
 # The confidence of each kind of pointcut term, and of an empty pointcut.
 TERM_CONFIDENCE = {"execution": 0.9, "call": 0.85, "within": 0.85, "@annotation": 0.85, "@within": 0.8, "target": 0.55, "this": 0.55, "args": 0.6}
 EMPTY_CONFIDENCE = 0.3
@@ -155,15 +159,25 @@ def _closes(text: str) -> bool:
     return False
 
 
-def advice_edges(advice: DataFrame, methods: DataFrame) -> DataFrame:
+def advice_edges(advice: DataFrame, methods: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """(source, target, kind, advice_kind, pointcut, confidence): advice (advice, advice_kind, pointcut) on the methods its pointcut takes.
 
-    Advice is a short list that stands in the sources; its pointcuts become one filter each over the methods.
+    Advice is a short list that stands in the sources; its pointcuts are conditions over the methods, ADVICE_BATCH of them
+    in one pass, each pass written down, so that plans stay small however many there are. References to the named
+    pointcuts (name, expression) are replaced first.
     """
+    listed = [tuple(r) for r in advice.select("advice", "advice_kind", F.coalesce("pointcut", F.lit(""))).distinct().orderBy("advice", "advice_kind").collect()]
+    if named is not None:
+        listed = expand_pointcuts(listed, {r[0]: r[1] for r in named.select("name", "expression").collect()})
     out = None
-    for r in advice.select("advice", "advice_kind", "pointcut").distinct().collect():
-        hit = methods.withColumn("confidence", pointcut_confidence(r.pointcut)).filter(F.col("confidence").isNotNull() & (F.col("id") != r.advice))
-        part = hit.select(F.lit(r.advice).alias("source"), F.col("id").alias("target"), F.lit("ADVISES").alias("kind"), F.lit(r.advice_kind).alias("advice_kind"), F.lit(r.pointcut).alias("pointcut"), "confidence")
+    for at in range(0, len(listed), ADVICE_BATCH):
+        hits = []
+        for who, kind, text in listed[at : at + ADVICE_BATCH]:
+            sure = pointcut_confidence(text)
+            hits.append(F.when(sure.isNotNull() & (F.col("id") != who), F.struct(F.lit(who).alias("source"), F.lit(kind).alias("advice_kind"), F.lit(text).alias("pointcut"), sure.alias("confidence"))))
+        taken = methods.select(F.col("id").alias("target"), F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        part = taken.select("h.source", "target", F.lit("ADVISES").alias("kind"), "h.advice_kind", "h.pointcut", "h.confidence")
+        part = stored(part) if len(listed) > ADVICE_BATCH else part
         out = part if out is None else out.union(part)
     empty = methods.limit(0).select(F.lit("").alias("source"), F.col("id").alias("target"), F.lit("ADVISES").alias("kind"), F.lit("").alias("advice_kind"), F.lit("").alias("pointcut"), F.lit(0.0).alias("confidence"))
     return empty if out is None else out.groupBy("source", "target", "kind").agg(F.max_by(F.struct("advice_kind", "pointcut", "confidence"), "confidence").alias("x")).select("source", "target", "kind", "x.*")

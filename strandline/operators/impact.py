@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.lineage import settle
 from strandline.functions.top import first
 from strandline.operators.relational import get_decorators
-from strandline.operators.traversal import bfs, edge_kind_policy, get_callees, get_callers, oriented, resolve
+from strandline.operators.traversal import bfs, edge_kind_policy, find_implementations, get_callees, get_callers, oriented, resolve
 from strandline.session import CALLABLE_KINDS, TYPE_KINDS, GraphSession
 
 # How much each finding adds to a changed symbol's score.
@@ -193,8 +193,8 @@ def change_impact(g: GraphSession, symbols: list[str] = (), files: list[str] = (
     return out.withColumn("score", score.cast("long")).transform(first, max_symbols, F.desc("score"), "root")
 
 
-def explain_symbol(g: GraphSession, symbol: str, max_depth: int = 1, include_dynamic: bool = True, limit: int | None = 50) -> DataFrame:
-    """(section, id, detail): everything about one symbol, a row each."""
+def explain_symbol(g: GraphSession, symbol: str, max_depth: int = 1, include_dynamic: bool = True, limit: int | None = 50, wiring_limit: int | None = 200) -> DataFrame:
+    """(section, id, detail): everything about one symbol, a row each, and (count, section, rows) of every section."""
     at = resolve(g, symbol)
     row = lambda section, df, detail: df.select(F.lit(section).alias("section"), "id", detail.cast("string").alias("detail"))
     members = g.edges_of("CONTAINS").filter(F.col("source") == at).select(F.col("target").alias("id")).join(g.nodes.select("id", "kind"), "id")
@@ -202,7 +202,9 @@ def explain_symbol(g: GraphSession, symbol: str, max_depth: int = 1, include_dyn
     out = out.union(row("member", members.transform(first, limit, "id"), F.col("kind")))
     for section, fn in (("caller", get_callers), ("callee", get_callees)):
         out = out.union(row(section, fn(g, symbol, max_depth, limit, include_dynamic), F.col("edge_kind")))
+    out = out.union(row("implementation", find_implementations(g, symbol, limit=limit), F.col("relation")))
     for section, kind in (("route", "ROUTES"), ("injection", "INJECTS"), ("reflection", "REFLECTS")):
         e = g.edges_of(kind).filter((F.col("source") == at) | (F.col("target") == at))
-        out = out.union(row(section, e.select(F.when(F.col("source") == at, F.col("target")).otherwise(F.col("source")).alias("id"), "source").orderBy("id").limit(200), F.when(F.col("source") == at, "out").otherwise("in")))
-    return out
+        out = out.union(row(section, e.select(F.when(F.col("source") == at, F.col("target")).otherwise(F.col("source")).alias("id"), "source").transform(first, wiring_limit, "id", "source"), F.when(F.col("source") == at, "out").otherwise("in")))
+    out = settle(out)
+    return out.union(out.groupBy("section").agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit("count"), F.col("section"), "n"))

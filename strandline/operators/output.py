@@ -26,9 +26,9 @@ def estimate_tokens(df: DataFrame) -> Column:
 def apply_budget(df: DataFrame, order: Sequence[str], max_tokens: int | None = None, cursor: int = 0) -> DataFrame:
     """The page of df from cursor on that fits the budget, at least one row; with position, tokens so far, total and next cursor.
 
-    Pages are cut from result lists that a limit has bounded already; the running sum is over that list.
+    Columns named with a minus before them order from the largest down. Pages are cut from result lists that a limit has bounded already; the running sum is over that list.
     """
-    w = Window.orderBy(*order)
+    w = Window.orderBy(*[F.col(c.removeprefix("-")).desc() if c.startswith("-") else F.col(c) for c in order])
     placed = df.withColumn("tokens", estimate_tokens(df)).withColumn("position", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
     page = placed.filter(F.col("position") >= cursor).withColumn("used", F.sum("tokens").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
     if max_tokens:
@@ -37,6 +37,13 @@ def apply_budget(df: DataFrame, order: Sequence[str], max_tokens: int | None = N
     return page.withColumn("next_cursor", F.when(last + 1 < F.col("total"), last + 1))
 
 
+def page_meta(page: DataFrame) -> DataFrame:
+    """(returned, total, next_cursor, truncated, hint) of a page of apply_budget()."""
+    got = page.agg(F.count(F.lit(1)).alias("returned"), F.coalesce(F.max("total"), F.lit(0)).alias("total"), F.max("next_cursor").alias("next_cursor"))
+    more = F.col("next_cursor").isNotNull()
+    return got.select("*", more.alias("truncated"), F.when(more, F.format_string("%d of %d rows; go on with cursor %d, or ask for less", "returned", "total", "next_cursor")).alias("hint"))
+
+
 def compactify(df: DataFrame) -> DataFrame:
     """Structs that are symbol references (id, qualifiedName, kind) become their qualified names, at any depth."""
     def shrink(c: Column, t) -> Column:

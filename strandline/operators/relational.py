@@ -249,13 +249,13 @@ def dead_code(g: GraphSession, limit: int | None = 50, include_constructors: boo
     return n.join(used, "id", "left_anti").select("id", "kind", "qualified_name", "file_path").transform(first, limit, "qualified_name", "id")
 
 
-def proxy_call_info(g: GraphSession, symbol: str) -> DataFrame:
-    """Direct callers of a proxied callable; inert where caller and callee share their type, so that no proxy stands between."""
-    at = resolve(g, symbol)
-    me = g.nodes.filter((F.col("id") == at) & F.col("proxy").isNotNull()).select(F.col("id").alias("target"), "proxy", F.col("qualified_name").alias("callee"))
+def proxy_call_info(g: GraphSession, symbol: str | None = None) -> DataFrame:
+    """Direct callers of a proxied callable, or of all; inert where caller and callee share their type, so that no proxy stands between."""
+    me = g.nodes.filter("proxy IS NOT NULL")
+    me = (me if symbol is None else me.filter(F.col("id") == resolve(g, symbol))).select(F.col("id").alias("target"), "proxy", F.col("qualified_name").alias("callee"))
     s = g.nodes.select(F.col("id").alias("source"), F.col("qualified_name").alias("caller"))
     owner = lambda c: F.substring_index(c, "#", 1)
-    return g.edges_of("CALLS").join(me, "target").join(s, "source").select("source", "proxy", (owner(F.col("caller")) == owner(F.col("callee"))).alias("inert"))
+    return g.edges_of("CALLS").join(me, "target").join(s, "source").select("source", "target", "proxy", (owner(F.col("caller")) == owner(F.col("callee"))).alias("inert"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +122,7 @@ def get_subgraph(g: GraphSession, symbol: str, radius: int = 2, edge_kinds: Sequ
     some = g.edges_of(*edge_kinds)
     found = bfs(oriented(some, "both"), _start(g, symbol), radius, keep_start=True)
     nodes = found.join(g.nodes.select("id", F.col("kind").alias("node_kind"), "qualified_name", "file_path"), "id").select("id", "node_kind", "qualified_name", "file_path", "depth").transform(first, limit, "depth", "id")
-    ids = nodes.select("id").persist(StorageLevel.MEMORY_AND_DISK)
+    ids = settle(nodes.select("id"))
     edges = some.join(ids, some.source == ids.id, "left_semi").join(ids, some.target == ids.id, "left_semi")
     return nodes, edges.select("source", "target", "kind", "line").transform(first, limit, "source", "target", "kind")
 
@@ -137,7 +136,7 @@ def find_implementations(g: GraphSession, symbol: str, max_depth: int = 10, limi
 
 def ancestors(g: GraphSession, max_depth: int = 10) -> DataFrame:
     """(type, ancestor, depth): the closure of EXTENDS and IMPLEMENTS over all types at once."""
-    steps = oriented(g.edges_of("EXTENDS", "IMPLEMENTS"), "out").persist(StorageLevel.MEMORY_AND_DISK)
+    steps = settle(oriented(g.edges_of("EXTENDS", "IMPLEMENTS"), "out"))
     starts = steps.select(F.col("src").alias("root"), F.col("src").alias("id"))
     return bfs(steps, starts, max_depth).filter("root <> id").select(F.col("root").alias("type"), F.col("id").alias("ancestor"), "depth")
 
@@ -167,18 +166,18 @@ def trace_path(g: GraphSession, source: str, target: str, max_depth: int = 10, l
         return empty
     steps = g.edges_of(*kinds).select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
     back = bfs(oriented(g.edges_of(*kinds), "in"), _start(g, b), max_depth, keep_start=True).select(F.col("id").alias("dst"), F.col("depth").alias("left"))
-    useful = steps.join(back, "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    useful = settle(steps.join(back, "dst"))
     paths = g.spark.createDataFrame([([a],)], "path array<string>")
     done = []
     for depth in range(1, max_depth + 1):
         at = paths.withColumn("at", F.element_at("path", -1)).filter(F.col("at") != b)
         nxt = at.join(useful, at["at"] == useful.src).filter((F.col("left") <= max_depth - depth) & ~F.array_contains("path", F.col("dst")))
-        paths = nxt.select(F.array_append("path", F.col("dst")).alias("path")).persist(StorageLevel.MEMORY_AND_DISK)
+        paths = settle(nxt.select(F.array_append("path", F.col("dst")).alias("path")))
         if paths.isEmpty():
             break
         hit = paths.filter(F.element_at("path", -1) == b).select(F.lit(depth).alias("depth"), "path").transform(first, limit, "path")
         done.append(hit)
-        if sum(h.count() for h in done) >= limit:
+        if limit is not None and sum(h.count() for h in done) >= limit:
             break
     if not done:
         return empty

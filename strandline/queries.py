@@ -102,12 +102,12 @@ _register(
 )
 _register(
     "trace_path",
-    lambda g: walk.trace_path(g, "part:1", "part:2", 3, 10).select("path_no", "depth", F.array_join("path", ">").alias("path")),
+    lambda g: walk.trace_path(g, "event:signup", "event:purchase", 3, 10).select("path_no", "depth", F.array_join("path", ">").alias("path")),
     f""", steps AS MATERIALIZED (SELECT DISTINCT source AS src, target AS dst FROM edges WHERE kind IN {CALL_KINDS}),
-two AS MATERIALIZED (SELECT src FROM steps WHERE dst = 'part:2'),
-paths AS (SELECT ['part:1', 'part:2'] AS p FROM steps WHERE src = 'part:1' AND dst = 'part:2'
-UNION ALL SELECT ['part:1', a.dst, 'part:2'] FROM steps a JOIN two ON two.src = a.dst WHERE a.src = 'part:1' AND a.dst NOT IN ('part:1', 'part:2')
-UNION ALL SELECT ['part:1', a.dst, b.dst, 'part:2'] FROM steps a JOIN steps b ON b.src = a.dst JOIN two ON two.src = b.dst WHERE a.src = 'part:1' AND a.dst NOT IN ('part:1', 'part:2') AND b.dst NOT IN ('part:1', 'part:2') AND b.dst <> a.dst),
+two AS MATERIALIZED (SELECT src FROM steps WHERE dst = 'event:purchase'),
+paths AS (SELECT ['event:signup', 'event:purchase'] AS p FROM steps WHERE src = 'event:signup' AND dst = 'event:purchase'
+UNION ALL SELECT ['event:signup', a.dst, 'event:purchase'] FROM steps a JOIN two ON two.src = a.dst WHERE a.src = 'event:signup' AND a.dst NOT IN ('event:signup', 'event:purchase')
+UNION ALL SELECT ['event:signup', a.dst, b.dst, 'event:purchase'] FROM steps a JOIN steps b ON b.src = a.dst JOIN two ON two.src = b.dst WHERE a.src = 'event:signup' AND a.dst NOT IN ('event:signup', 'event:purchase') AND b.dst NOT IN ('event:signup', 'event:purchase') AND b.dst <> a.dst),
 top AS (SELECT p, row_number() OVER (ORDER BY len(p), p) AS rn FROM paths)
 SELECT CAST(rn AS INT) AS path_no, CAST(len(p) - 1 AS INT) AS depth, array_to_string(p, '>') AS path FROM top WHERE rn <= 10""",
 )
@@ -146,14 +146,7 @@ _register("dead_code", lambda g: rel.dead_code(g, ALL), _DEAD + _LIKE)
 _register("dead_code_with_tests", lambda g: rel.dead_code(g, ALL, include_tests=True), _DEAD)
 _register("find_unresolved", lambda g: rel.find_unresolved(g, "F", None, ALL), ", u AS (SELECT e.source, n.qualified_name AS caller, e.target, e.line, coalesce(e.reason, 'unresolved') AS reason FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'CALLS' AND NOT e.resolved AND contains(lower(coalesce(e.reason, 'unresolved')), 'f')) SELECT *, (SELECT count(*) FROM u) AS total, false AS truncated FROM u")
 _register("unresolved_for_node", lambda g: rel.unresolved_for_node(g, "__unknown__:RF"), "SELECT CASE WHEN source = '__unknown__:RF' THEN 'outgoing' ELSE 'incoming' END AS direction, source, target, line, coalesce(reason, 'unresolved') AS reason FROM edges WHERE kind = 'CALLS' AND NOT resolved AND (source = '__unknown__:RF' OR target = '__unknown__:RF')")
-_register("proxy_call_info", lambda g: _proxies(g), "SELECT e.source, e.target, t.proxy, split_part(s.qualified_name, '#', 1) = split_part(t.qualified_name, '#', 1) AS inert FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'CALLS' AND t.proxy IS NOT NULL")
-
-
-def _proxies(g: GraphSession) -> DataFrame:
-    """Every proxied callable at once: the same rule as for one symbol."""
-    s = g.nodes.select(F.col("id").alias("source"), F.substring_index("qualified_name", "#", 1).alias("a"))
-    t = g.nodes.filter("proxy IS NOT NULL").select(F.col("id").alias("target"), "proxy", F.substring_index("qualified_name", "#", 1).alias("b"))
-    return g.edges_of("CALLS").join(t, "target").join(s, "source").select("source", "target", "proxy", (F.col("a") == F.col("b")).alias("inert"))
+_register("proxy_call_info", rel.proxy_call_info, "SELECT e.source, e.target, t.proxy, split_part(s.qualified_name, '#', 1) = split_part(t.qualified_name, '#', 1) AS inert FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'CALLS' AND t.proxy IS NOT NULL")
 
 
 _register(
@@ -175,10 +168,11 @@ _ex = lambda side, label: f"SELECT '{label}' AS section, {'target' if side == 's
 _register(
     "explain_symbol",
     lambda g: impact.explain_symbol(g, "order:10", 1, True, ALL),
-    " SELECT 'decorator' AS section, source AS id, string_agg(DISTINCT target, ',' ORDER BY target) AS detail FROM edges WHERE kind = 'ANNOTATED_WITH' AND source = 'order:10' GROUP BY source UNION ALL "
+    ", sections AS (SELECT 'decorator' AS section, source AS id, string_agg(DISTINCT target, ',' ORDER BY target) AS detail FROM edges WHERE kind = 'ANNOTATED_WITH' AND source = 'order:10' GROUP BY source UNION ALL "
     "SELECT 'member', e.target, n.kind FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'CONTAINS' AND e.source = 'order:10' UNION ALL "
     + _ex("target", "caller") + " UNION ALL " + _ex("source", "callee")
-    + "".join(f" UNION ALL SELECT '{s}', CASE WHEN source = 'order:10' THEN target ELSE source END, CASE WHEN source = 'order:10' THEN 'out' ELSE 'in' END FROM edges WHERE kind = '{k}' AND (source = 'order:10' OR target = 'order:10')" for s, k in (("route", "ROUTES"), ("injection", "INJECTS"), ("reflection", "REFLECTS"))),
+    + "".join(f" UNION ALL SELECT '{s}', CASE WHEN source = 'order:10' THEN target ELSE source END, CASE WHEN source = 'order:10' THEN 'out' ELSE 'in' END FROM edges WHERE kind = '{k}' AND (source = 'order:10' OR target = 'order:10')" for s, k in (("route", "ROUTES"), ("injection", "INJECTS"), ("reflection", "REFLECTS")))
+    + ") SELECT * FROM sections UNION ALL SELECT 'count', section, CAST(count(*) AS VARCHAR) FROM sections GROUP BY section",
 )
 _DIFF = "".join(f"--- a/src/cust{c}.java\n+++ b/src/cust{c}.java\n@@ -5,3 +5,120 @@\n x\n@@ -300,2 +330,0 @@\n" for c in (7, 10, 13))
 

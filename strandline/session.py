@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -49,6 +50,12 @@ class GraphSession:
     def edges_of(self, *kinds: str) -> DataFrame:
         return self.edges.filter(F.col("kind").isin(*kinds))
 
+    def sql(self, query: str) -> DataFrame:
+        """A SQL query over the tables nodes and edges; only a query is taken, nothing that writes."""
+        if not re.match(r"\s*(SELECT|WITH|FROM|VALUES)\b", query, re.IGNORECASE):
+            raise ValueError("only SELECT queries")
+        return self.spark.sql(f"WITH nodes AS (SELECT * FROM {{nodes}}), edges AS (SELECT * FROM {{edges}}) SELECT * FROM ({query})", nodes=self.nodes, edges=self.edges)
+
     def violations(self) -> DataFrame:
         """(rule, key) of every broken key or reference: empty on a sound graph."""
         n, e = self.nodes, self.edges

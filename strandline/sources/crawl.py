@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import settle
 from strandline.sources import parse_braces, parse_python
+from strandline.sources.aliases import loose_json
 from strandline.sources.rules import EXCLUDED_DIRS, EXTENSIONS
 
 MAX_FILE_BYTES = 1_000_000
 SNIFF_BYTES = 8192
+#: Changed files that are read by their paths.
+FEW_FILES = 10_000
+RC_FILE = ".strandline.json"
 ANN = "array<struct<name:string,arguments:array<string>,line:int>>"
 PARSED = (
     "package string, module_id string, imports array<struct<fqn:string,simple_name:string,module:string,imported_name:string>>, "
@@ -108,10 +114,10 @@ def discover(spark: SparkSession, root: str, options: CrawlOptions = CrawlOption
     return out
 
 
-def parse_text(text: str, module: str, language: str, aliases: dict[str, str] | None = None) -> tuple[str | None, str | None]:
+def parse_text(text: str, module: str, language: str, aliases: dict[str, str] | None = None, package: bool = False) -> tuple[str | None, str | None]:
     """(parsed as JSON, error); a file that cannot be parsed reports why and gives nothing."""
     try:
-        return json.dumps(parse_python.parse(text, module) if language == "python" else parse_braces.parse(text, module, language, aliases)), None
+        return json.dumps(parse_python.parse(text, module, package) if language == "python" else parse_braces.parse(text, module, language, aliases)), None
     except (SyntaxError, ValueError, RecursionError) as e:
         return None, f"{type(e).__name__}: {e}"
 
@@ -124,17 +130,45 @@ def parse_files(files: DataFrame, aliases: dict[str, str] | None = None) -> Data
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"], aliases)
+                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"], aliases, r["path"].rpartition("/")[2] == "__init__.py")
                 rows.append({"path": r["path"], "size": r["size"], "mtime_ms": r["mtime_ms"], "sha256": r["sha256"], "language": r["language"], "parsed": parsed, "error": error})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", "size", "mtime_ms", "sha256", "language", "module", "content").mapInArrow(run, MANIFEST)
 
 
+def contents_of(files: DataFrame, root: str, options: CrawlOptions) -> DataFrame:
+    """(uri, content) of files (uri): read by their paths while these are few and plain, else by a scan of the root."""
+    uris = [r.uri for r in files.select("uri").limit(FEW_FILES + 1).collect()]
+    read = files.sparkSession.read.format("binaryFile")
+    if len(uris) <= FEW_FILES and not any(c in u for u in uris for c in "*?[]{}\\,"):
+        if not uris:
+            return files.select("uri", F.lit(None).cast("binary").alias("content"))
+        found = read.load(uris)
+    else:
+        found = read.option("recursiveFileLookup", True).load(root).filter(F.col("length") <= options.max_file_bytes)
+    return found.select(F.col("path").alias("uri"), "content")
+
+
+def project_options(spark: SparkSession, root: str, options: CrawlOptions) -> CrawlOptions:
+    """The options with the root's .gitignore lines, and include and exclude of its .strandline.json, added."""
+    jvm, configuration, text = spark._jvm, spark._jsc.hadoopConfiguration(), {}
+    for name in (".gitignore", RC_FILE):  # Spark lists no hidden files, so the file system itself is asked
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(configuration)
+        if fs.exists(path) and fs.getFileStatus(path).getLen() < MAX_FILE_BYTES:
+            with contextlib.closing(fs.open(path)) as stream:
+                text[name] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    rc = loose_json(text.get(RC_FILE, "{}"))
+    some = lambda name: tuple(x for x in rc.get(name) or () if isinstance(x, str))
+    lines = tuple(x.rstrip() for x in text.get(".gitignore", "").splitlines())
+    return replace(options, ignore_lines=(*lines, *options.ignore_lines), include=(*options.include, *some("include")), exclude=(*options.exclude, *some("exclude")))
+
+
 def crawl(spark: SparkSession, root: str, manifest: DataFrame | None = None, options: CrawlOptions = CrawlOptions()) -> DataFrame:
     """The new manifest with a column status: unchanged, touched (same contents), updated, added, too-large.
 
-    Files of the same size and time keep their parse unread; of the rest those with the same hash keep it as well.
+    Files of the same size and time keep their parse unread; the rest are read, and those with the same hash keep it as well.
     Files that the manifest has and the disk has not are left out (see removed()).
     """
     found = discover(spark, root, options)
@@ -145,8 +179,8 @@ def crawl(spark: SparkSession, root: str, manifest: DataFrame | None = None, opt
     same = (F.col("size") == F.col("old_size")) & (F.col("mtime_ms") == F.col("old_mtime"))
     names = ["path", "size", "mtime_ms", "sha256", "language", "parsed", "error"]
     kept = known.filter(same).select("path", "size", "mtime_ms", F.col("old_sha").alias("sha256"), "language", F.col("old_parsed").alias("parsed"), F.col("old_error").alias("error"), F.lit("unchanged").alias("status"))
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= options.max_file_bytes).select(F.col("path").alias("uri"), "content")
-    rest = known.filter(~F.coalesce(same, F.lit(False))).join(contents, "uri").withColumn("sha256", F.sha2("content", 256)).withColumn("module", module_of(F.col("path"), options))
+    rest = settle(known.filter(~F.coalesce(same, F.lit(False))))
+    rest = rest.join(contents_of(rest, root, options), "uri").withColumn("sha256", F.sha2("content", 256)).withColumn("module", module_of(F.col("path"), options))
     touched = rest.filter(F.col("sha256") == F.col("old_sha")).select("path", "size", "mtime_ms", "sha256", "language", F.col("old_parsed").alias("parsed"), F.col("old_error").alias("error"), F.lit("touched").alias("status"))
     new = rest.filter(F.col("old_sha").isNull() | (F.col("sha256") != F.col("old_sha")))
     status = new.select("path", F.when(F.col("old_sha").isNull(), "added").otherwise("updated").alias("status"))

@@ -28,8 +28,8 @@ def _type_text(node: ast.AST | None) -> str | None:
 
 
 class Reader(ast.NodeVisitor):
-    def __init__(self, module: str):
-        self.module = module
+    def __init__(self, module: str, package: bool = False):
+        self.module, self.package = module, package
         self.out = {k: [] for k in ("imports", "types", "methods", "fields", "calls", "routes", "injections", "reflections")}
         self.types: list[str] = []
         self.method: str | None = None
@@ -50,10 +50,11 @@ class Reader(ast.NodeVisitor):
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         base = node.module or ""
         if node.level:
-            up = self.module.split(".")[: -node.level]
+            up = [x for x in self.module.split(".") if x]
+            up = up[: len(up) - node.level + self.package]  # a package's own file is in the package
             base = ".".join([*up, *([base] if base else [])])
         for a in node.names:
-            self.out["imports"].append({"fqn": f"{base}.{a.name}", "simple_name": a.asname or a.name, "module": base, "imported_name": a.name})
+            self.out["imports"].append({"fqn": f"{base}.{a.name}" if base else a.name, "simple_name": a.asname or a.name, "module": base, "imported_name": a.name})
 
     # -- declarations
 
@@ -188,8 +189,9 @@ class Reader(ast.NodeVisitor):
             self.out["reflections"].append({"owner_id": self.method, "target_kind": REFLECTIVE_CALLS[name], "target": literal.strip("'\"") if literal[:1] in "'\"" else None, "line": node.lineno - 1})
 
 
-def parse(text: str, module: str) -> dict:
-    r = Reader(module)
+def parse(text: str, module: str, package: bool = False) -> dict:
+    """Declarations and calls of one file; package: the file is its package's __init__."""
+    r = Reader(module, package)
     tree = ast.parse(text)
     for node in tree.body:
         r.visit(node)

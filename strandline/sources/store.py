@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import ship
+from strandline.functions.lineage import settle
 from strandline.operators.build import build_graph
 from strandline.session import GraphSession
 from strandline.sources.aliases import read_aliases
-from strandline.sources.crawl import MANIFEST, CrawlOptions, crawl, parsed_files
+from strandline.sources.crawl import MANIFEST, CrawlOptions, crawl, parsed_files, project_options
 
 SCHEMA_VERSION = 1
+KEEP = 2
 META = "version int, project string, signature string, crawled_at long, snapshot string"
 
 
@@ -56,21 +58,22 @@ class Store:
             g.edges.write.partitionBy("kind").parquet(f"{self.path}/{snapshot}/edges")
         row = (SCHEMA_VERSION, project, options.signature(), time.time_ns() // 1000, snapshot)
         self.spark.createDataFrame([row], META).coalesce(1).write.mode("append").json(f"{self.path}/meta")
+        self._drop_old(KEEP)
 
     def crawl_project(self, project: str, options: CrawlOptions = CrawlOptions()) -> dict:
         """Crawl what changed and rebuild the graph; another project's store is refused before anything is written."""
         m = self.meta()
         if m and m["project"] != project:
             raise ValueError(f"this store holds {m['project']}")
+        scoped = options.language or options.include
+        options = project_options(self.spark, project, options)
         if not options.aliases:
             options = replace(options, aliases=read_aliases(self.spark, project))
         old = self.manifest()
         fresh = m is not None and m["signature"] == options.signature() and not options.force
         new = crawl(self.spark, project, old if fresh else None, options)
-        if options.language or options.include:  # a scoped crawl leaves the other files as they are
+        if scoped:  # a scoped crawl leaves the other files as they are
             new = new.unionByName(old.join(new.select("path"), "path", "left_anti").withColumn("status", F.lit("unchanged")))
-        from strandline.functions.lineage import settle
-
         new = settle(new)
         counts = {r.status: r.n for r in new.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         gone = old.join(new.select("path"), "path", "left_anti").count()
@@ -80,6 +83,13 @@ class Store:
         self.write(project, new, g, options)
         return {"removed": gone, "rebuilt": True, "nodes": g.nodes.count(), "edges": g.edges.count(), **counts}
 
+    def _drop_old(self, keep: int) -> None:
+        """Remove all snapshots but the last `keep`; readers of the last but one go on undisturbed."""
+        rows = self.spark.read.schema(META).json(f"{self.path}/meta").orderBy(F.desc("crawled_at")).select("snapshot").collect()  # one row a crawl
+        for r in rows[keep:]:
+            fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{r.snapshot}")
+            fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs_path, True)
+
     def clear(self) -> None:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs_path, True)

@@ -44,25 +44,28 @@ TOOLS: dict[str, Tool] = {
     "find_aspects": Tool("types", rel.find_aspects, {"limit": (1, 200)}, paged=("aspect", "advice")),
     "get_decorators": Tool("types", rel.get_decorators, {}, "symbol", ("member",)),
     "find_annotated": Tool("types", rel.find_annotated, {"limit": (1, 500)}, paged=("qualified_name", "id")),
-    "find_hotspots": Tool("insight", rel.hotspots, {"limit": (1, 200), "min_fan_in": (0, 1 << 31)}, paged=("fan_in", "id")),
+    "find_hotspots": Tool("insight", rel.hotspots, {"limit": (1, 200), "min_fan_in": (0, 1 << 31)}, paged=("-fan_in", "-fan_out", "qualified_name", "id")),
     "find_dead_code": Tool("insight", rel.dead_code, {"limit": (1, 500)}, paged=("qualified_name", "id")),
     "find_entry_points": Tool("insight", rel.find_entry_points, {"limit": (1, 500)}, paged=("entry_kind", "qualified_name", "id")),
-    "find_injections": Tool("wiring", _wiring("INJECTS"), {"limit": (1, 500)}, paged=("source", "target")),
-    "find_reflections": Tool("wiring", _wiring("REFLECTS"), {"limit": (1, 500)}, paged=("source", "target")),
-    "find_routes": Tool("wiring", _wiring("ROUTES"), {"limit": (1, 500)}, paged=("source", "target")),
-    "find_event_flows": Tool("wiring", _wiring("EMITS"), {"limit": (1, 500)}, paged=("source", "target")),
-    "find_external_dependencies": Tool("insight", rel.external_dependencies, {"limit": (1, 500)}, paged=("references", "package")),
+    "find_injections": Tool("wiring", _wiring("INJECTS"), {"limit": (1, 500)}, paged=("source_name", "target_name", "source", "target")),
+    "find_reflections": Tool("wiring", _wiring("REFLECTS"), {"limit": (1, 500)}, paged=("source_name", "target_name", "source", "target")),
+    "find_routes": Tool("wiring", _wiring("ROUTES"), {"limit": (1, 500)}, paged=("source_name", "target_name", "source", "target")),
+    "find_event_flows": Tool("wiring", _wiring("EMITS"), {"limit": (1, 500)}, paged=("source_name", "target_name", "source", "target")),
+    "find_external_dependencies": Tool("insight", rel.external_dependencies, {"limit": (1, 500)}, paged=("-references", "package")),
     "find_unresolved": Tool("insight", rel.find_unresolved, {"limit": (1, 5000)}, paged=("caller", "line", "target")),
     "impact_analysis": Tool("impact", impact.impact_analysis, {"max_depth": (1, 50), "limit": (1, 1000)}, "symbol"),
     "change_impact": Tool("impact", impact.change_impact, {"max_depth": (1, 50), "limit": (1, 1000), "max_symbols": (1, 200)}),
     "explain_symbol": Tool("impact", impact.explain_symbol, {"max_depth": (1, 5), "limit": (1, 500)}, "symbol"),
-    "find_cycles": Tool("insight", cycles.find_cycles, {"min_size": (1, 100), "limit": (1, 500)}, paged=("size", "component")),
+    "find_cycles": Tool("insight", cycles.find_cycles, {"min_size": (1, 100), "limit": (1, 500)}, paged=("-size", "component")),
     "export_graph": Tool("insight", output.export_graph, {"radius": (1, 5), "limit": (1, 1000)}),
 }
 
 
-def call(g: GraphSession, name: str, max_tokens: int | None = None, cursor: int | None = None, **args) -> dict:
-    """{ok, rows} or {ok: False, error, suggestions}; a page where a budget or cursor is given."""
+def call(g: GraphSession, name: str, max_tokens: int | None = None, cursor: int | None = None, compact: bool = False, **args) -> dict:
+    """{ok, rows} or {ok: False, error, suggestions}; a page and its meta where a budget or cursor is given.
+
+    compact: references to symbols are given by their qualified names alone.
+    """
     tool = TOOLS.get(name)
     if tool is None:
         return {"ok": False, "error": f"no tool {name}", "suggestions": sorted(TOOLS)}
@@ -80,4 +83,5 @@ def call(g: GraphSession, name: str, max_tokens: int | None = None, cursor: int
     df = tool.run(g, **args)
     if tool.paged and (max_tokens is not None or cursor is not None):
         df = output.apply_budget(df, tool.paged, max_tokens, cursor or 0)
-    return {"ok": True, "rows": df}
+        return {"ok": True, "rows": output.compactify(df) if compact else df, "page": output.page_meta(df)}
+    return {"ok": True, "rows": output.compactify(df) if compact else df}

@@ -222,3 +222,34 @@ def test_watching(spark, tmp_path):
 def test_odd_sources_do_not_stop_a_crawl(text, language):
     parsed, error = parse_text(text, "m", language)
     assert (parsed is None) != (error is None)
+
+
+def test_relative_imports_of_a_package():
+    from strandline.sources.parse_python import parse
+
+    modules = lambda text, module, package: [(i["module"], i["fqn"]) for i in parse(text, module, package)["imports"]]
+    assert modules("from .a import b", "pkg", True) == [("pkg.a", "pkg.a.b")]
+    assert modules("from .a import b", "pkg.mod", False) == [("pkg.a", "pkg.a.b")]
+    assert modules("from . import b", "pkg.sub", True) == [("pkg.sub", "pkg.sub.b")]
+    assert modules("from ..a import b", "pkg.sub", True) == [("pkg.a", "pkg.a.b")]
+    assert modules("from .a import b", "mod", False) == [("a", "a.b")]
+
+
+def test_named_pointcuts_advise_and_project_files_are_ignored(spark, tmp_path):
+    root = tmp_path / "p"
+    for name, text in {
+        "A.java": 'package a;\nclass Shop { public void sell() {} public void close() {} }\n',
+        "B.java": 'package a;\n@Aspect\nclass Audit {\n  @Pointcut("execution(* a.Shop.sell(..))")\n  public void selling() {}\n  @Before("selling()")\n  public void before() {}\n}\n',
+        "gen/C.java": "package a;\nclass Gen {}\n", "old/D.java": "package a;\nclass Old {}\n", ".gitignore": "# made\ngen/\n", ".strandline.json": '{"exclude": ["old/*"]}',
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    s = Store(spark, str(tmp_path / "s"))
+    s.crawl_project(str(root))
+    g = s.graph()
+    assert edges(g, "ADVISES") == {("a.Audit#before", "a.Shop#sell")}
+    assert {r.path for r in s.manifest().collect()} == {"A.java", "B.java"}
+    for i in range(3):  # old snapshots go, the last two stay
+        (root / "A.java").write_text("package a;\nclass Shop { public void sell() {} }\n" + "//\n" * i)
+        s.crawl_project(str(root))
+    assert len([x for x in os.listdir(tmp_path / "s") if x != "meta"]) == 2

@@ -174,3 +174,41 @@ def test_broken_graphs_are_reported(spark):
     n = spark.createDataFrame([("a", "method"), ("a", "method"), ("b", "thing")], "id string, kind string")
     e = spark.createDataFrame([("a", "zzz", "CALLS")], "source string, target string, kind string")
     assert {r.rule for r in GraphSession(n, e).violations().collect()} == {"node key", "node kind", "dangling target"}
+
+
+def test_pages_begin_with_the_head_of_the_list(spark):
+    from strandline.tools import call
+
+    n = spark.createDataFrame([(f"C#m{i}", "method", f"C#m{i}") for i in range(12)], "id string, kind string, qualified_name string")
+    e = spark.createDataFrame([(f"C#m{i}", f"C#m{j}", "CALLS") for i in range(12) for j in range(i)], "source string, target string, kind string")
+    g = GraphSession(n, e)
+    whole = [r.id for r in call(g, "find_hotspots", limit=12)["rows"].orderBy("fan_in", ascending=False).collect()]
+    got = call(g, "find_hotspots", limit=12, max_tokens=100)
+    first = [r.id for r in got["rows"].orderBy("position").collect()]
+    meta = got["page"].first()
+    assert first == whole[: len(first)] and first[0] == "C#m0" and meta.truncated and meta.next_cursor == len(first) and meta.total == 12 and "cursor" in meta.hint
+    rest = call(g, "find_hotspots", limit=12, cursor=meta.next_cursor)
+    assert [r.id for r in rest["rows"].orderBy("position").collect()] == whole[len(first) :] and not rest["page"].first().truncated
+
+
+def test_all_simple_paths_without_a_limit(spark):
+    n = spark.createDataFrame([(x, "method", x) for x in "abcd"], "id string, kind string, qualified_name string")
+    e = spark.createDataFrame([(x, y, "CALLS") for x, y in ("ab", "ac", "ad", "bd", "cd", "bc", "cb")], "source string, target string, kind string")
+    got = walk.trace_path(GraphSession(n, e), "a", "d", 5, None)
+    assert ["".join(r.path) for r in got.orderBy("path_no").collect()] == ["ad", "abd", "acd", "abcd", "acbd"]
+
+
+def test_sql_over_the_graph(spark):
+    n = spark.createDataFrame([("a", "method"), ("b", "class")], "id string, kind string")
+    g = GraphSession(n, spark.createDataFrame([("b", "a", "CONTAINS")], "source string, target string, kind string"))
+    assert [tuple(r) for r in g.sql("SELECT n.kind, count(*) AS n FROM edges e JOIN nodes n ON n.id = e.target GROUP BY n.kind").collect()] == [("method", 1)]
+    with pytest.raises(ValueError):
+        g.sql("DROP TABLE nodes")
+
+
+def test_many_pointcuts_go_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(derive, "ADVICE_BATCH", 3)
+    m = spark.createDataFrame([(f"a.T{i}#run", f"a.T{i}", "run", 0, [], []) for i in range(8)], "id string, type_id string, name string, arity int, annotations array<string>, type_annotations array<string>")
+    a = spark.createDataFrame([(f"A#x{i}", "Before", f"ops{i}()") for i in range(8)], "advice string, advice_kind string, pointcut string")
+    named = spark.createDataFrame([(f"ops{i}", f"within(a.T{i})") for i in range(8)], "name string, expression string")
+    assert set(pairs(derive.advice_edges(a, m, named), "source", "target")) == {(f"A#x{i}", f"a.T{i}#run") for i in range(8)}
