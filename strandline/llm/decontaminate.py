@@ -17,6 +17,7 @@ empty benchmark leaves all documents clean; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, combinations
@@ -193,6 +194,17 @@ class Benchmark:
             yield self.ids[i], round(s, 6), start, min(self.length[i], len(words))
 
 
+_built: dict[str, Benchmark] = {}
+
+
+def built(key: str, block: tuple) -> Benchmark:
+    """The index of a block, made once a worker: workers are used again for the tasks that follow."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(*block)
+    return _built[key]
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items, at most BLOCK_WORDS words (or one item) at a time."""
     block, size = [], 0
@@ -238,16 +250,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for block in weighed_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
-        built: list[Benchmark] = []
+        key = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(Benchmark(*shared.value))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            known = built(key, shared.value)
             for piece in slices(batches):
                 ids, texts = piece.column("doc_id").to_pylist(), utf8_of(piece.column("text"))
                 owner, words = word_hashes(texts)
                 lows = np.searchsorted(owner, np.arange(len(texts) + 1))
-                rows = [(ids[i], *m, True) for i in range(len(texts)) for m in built[0].matches(words[lows[i] : lows[i + 1]])]
+                rows = [(ids[i], *m, True) for i in range(len(texts)) for m in known.matches(words[lows[i] : lows[i + 1]])]
                 if rows:
                     names = [x.split()[0] for x in SCHEMA.split(", ")]
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -265,15 +276,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = docs
     for block in weighed_blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
-        built: list[Benchmark] = []
+        key = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(Benchmark(*shared.value))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            known = built(key, shared.value)
             for piece in slices(batches):
                 owner, words = word_hashes(utf8_of(piece.column("text")))
                 lows = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-                yield piece.filter(pa.array([not any(built[0].matches(words[lows[i] : lows[i + 1]])) for i in range(piece.num_rows)], pa.bool_()))
+                yield piece.filter(pa.array([not any(known.matches(words[lows[i] : lows[i + 1]])) for i in range(piece.num_rows)], pa.bool_()))
 
         kept = kept.select(*names).mapInArrow(run, docs.schema)
     return kept
