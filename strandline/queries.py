@@ -1,7 +1,6 @@
 """Queries over the property graph derived from the tables of one folder, and their SQL.
 
-Each query runs an operator over the whole graph, but find_cycles and find_cycles_parts, which take the nodes of one
-id prefix, and compactify, which takes the interfaces; find_cycles_graph and compactify_graph take all. Numbers are rounded and lists joined, so that results compare.
+Each query runs an operator over the whole graph. Numbers are rounded and lists joined, so that results compare.
 """
 
 from __future__ import annotations
@@ -206,19 +205,16 @@ SELECT *, CAST(CASE risk WHEN 'high' THEN 1000 WHEN 'medium' THEN 100 ELSE 0 END
 )
 _register(
     "find_cycles",
-    lambda g: cycles.find_cycles(_only(g, "event:"), limit=ALL),
-    ", e AS (SELECT source, target FROM edges WHERE kind = 'CALLS' AND starts_with(source, 'event:')), w AS (SELECT source AS a, target AS b FROM e UNION SELECT w.a, e.target FROM w JOIN e ON e.source = w.b), "
-    "m AS (SELECT x.a AS id, min(x.b) AS component FROM w x JOIN w y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b OR EXISTS (SELECT 1 FROM w z WHERE z.a = x.a AND z.b <> x.a) GROUP BY x.a) "
-    "SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM m GROUP BY component HAVING count(*) >= 2",
+    lambda g: cycles.find_cycles(g, limit=ALL),
+    f""", c AS (SELECT id FROM nodes WHERE kind IN {CALLABLE}),
+e AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE kind = 'CALLS' AND source <> target AND source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)),
+ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT source AS id FROM e INTERSECT SELECT target FROM e)),
+s AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM e JOIN ids a ON a.id = source JOIN ids b ON b.id = target),
+w AS (SELECT a, b FROM s UNION SELECT w.a, s.b FROM w JOIN s ON s.a = w.b),
+m AS (SELECT x.a, min(x.b) AS c FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT k.id AS component, count(*) AS size, string_agg(i.id, ',' ORDER BY i.id) AS members FROM m JOIN ids i ON i.n = m.a JOIN ids k ON k.n = m.c GROUP BY k.id HAVING count(*) >= 2""",
 )
 _register("self_calls", cycles.self_calls, f"SELECT DISTINCT source AS id FROM edges JOIN nodes n ON n.id = source WHERE edges.kind = 'CALLS' AND source = target AND n.kind IN {CALLABLE}")
-_QUERIES["find_cycles_parts"] = lambda spark, sf_dir: cycles.find_cycles(_only(graph(spark, sf_dir), "part:"), limit=ALL).select("component", "size")
-_QUERIES["find_cycles_graph"] = lambda spark, sf_dir: cycles.find_cycles(graph(spark, sf_dir), limit=ALL)
-
-
-def _only(g: GraphSession, prefix: str) -> GraphSession:
-    return GraphSession(g.nodes.filter(F.col("id").startswith(prefix)), g.edges.filter(F.col("source").startswith(prefix) & F.col("target").startswith(prefix)))
-
 
 # -- output
 _register("estimate_tokens", lambda g: (lambda n: n.select("id", output.estimate_tokens(n).alias("tokens")))(g.nodes.select("id", "kind")), "SELECT id, CAST(ceil(length(to_json({'id': id, 'kind': kind})) / 4) AS BIGINT) AS tokens FROM nodes")
@@ -230,11 +226,6 @@ _register(
 )
 _register(
     "compactify",
-    lambda g: output.compactify(g.nodes.filter("kind = 'interface'").select(F.struct("id", F.col("qualified_name").alias("qualifiedName"), "kind").alias("symbol"), F.lit(1).alias("n"))),
-    "SELECT qualified_name AS symbol, 1 AS n FROM nodes WHERE kind = 'interface'",
-)
-_register(
-    "compactify_graph",
     lambda g: output.compactify(g.nodes.select(F.struct("id", F.col("qualified_name").alias("qualifiedName"), "kind").alias("symbol"), F.lit(1).alias("n"))),
     "SELECT qualified_name AS symbol, 1 AS n FROM nodes",
 )
