@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandline.operators.derive import advice_edges, channel_edges, dispatch_edges, external_package_of
 from strandline.operators.traversal import ancestors
 from strandline.session import EDGE_COLUMNS, NODE_COLUMNS, GraphSession
-from strandline.sources.rules import LISTENER_ANNOTATIONS, PUBLISH_CALLS, PYTHON_BUILTINS, SCRIPT_GLOBALS, TRANSACTIONAL_PHASE
+from strandline.sources.rules import DECORATORS, LISTENER_ANNOTATIONS, PUBLISH_CALLS, PYTHON_BUILTINS, SCRIPT_GLOBALS, TRANSACTIONAL_PHASE
+from strandline.sources.type_text import BUILTIN_TYPES
 
 # How sure each way of resolving a call is.
 CONFIDENCE = {"constructor": 1.0, "default constructor": 0.9, "self": 0.95, "typed": 1.0, "new": 0.85, "module": 0.9, "imported function": 0.85, "external": 0.8}
@@ -27,7 +28,7 @@ def nodes_frame(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def edges_frame(df: DataFrame, **columns: Column) -> DataFrame:
-    extra = {"alternatives": "array<string>", "conditional": "boolean", "framework": "string"}
+    extra = {"alternatives": "array<string>", "conditional": "boolean", "framework": "string", "control_flow": "array<string>", "guards": "array<string>"}
     return df.select(*[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in {**EDGE_COLUMNS, **extra}.items()])
 
 
@@ -63,8 +64,10 @@ def type_names(parsed: DataFrame) -> DataFrame:
     own = t.select("file_path", "name", "type_id", F.lit(0).alias("tier"))
     imports = _rows(parsed, "imports").select("file_path", "simple_name", "fqn")
     imported = imports.join(t.select("type_id"), imports.fqn == F.col("type_id")).select("file_path", F.col("simple_name").alias("name"), "type_id", F.lit(1).alias("tier"))
+    star = _rows(parsed, "imports").filter("simple_name = '*'").select("file_path", "module")
+    by_star = star.join(t.select("name", "type_id", "module_id", "package"), (F.col("module") == F.col("module_id")) | (F.col("module") == F.col("package"))).select("file_path", "name", "type_id", F.lit(3).alias("tier"))
     near = files.join(t.filter("package <> ''").select("package", "name", "type_id"), "package").select("file_path", "name", "type_id", F.lit(2).alias("tier"))
-    return own.union(imported).union(near).groupBy("file_path", "name").agg(F.min_by(F.struct("type_id", "tier"), F.struct("tier", "type_id")).alias("x")).select("file_path", "name", "x.type_id", "x.tier")
+    return own.union(imported).union(near).union(by_star).groupBy("file_path", "name").agg(F.min_by(F.struct("type_id", "tier"), F.struct("tier", "type_id")).alias("x")).select("file_path", "name", "x.type_id", "x.tier")
 
 
 def resolve_types(wanted: DataFrame, parsed: DataFrame, column: str, out: str) -> DataFrame:
@@ -96,7 +99,7 @@ def declaration_edges(parsed: DataFrame) -> DataFrame:
     for part in (m, f):
         out = out.union(edges_frame(part, source=c("type_id"), target=c("id"), kind=F.lit("CONTAINS"), line=c("start_line")))
     out = out.union(edges_frame(_rows(parsed, "imports"), source=c("file_path"), target=F.concat(F.lit("__import__:"), "fqn"), kind=F.lit("IMPORTS")))
-    out = out.union(edges_frame(_annotations(parsed), source=c("id"), target=F.concat(F.lit("@"), "annotation"), kind=F.lit("ANNOTATED_WITH"), line=c("line")))
+    out = out.union(edges_frame(_annotations(parsed), source=c("id"), target=F.concat(F.lit("@"), "annotation"), kind=F.lit("ANNOTATED_WITH"), line=c("line"), arguments=F.array_join("arguments", ", "), decorator=c("annotation").isin(*DECORATORS) | F.substring_index("annotation", ".", -1).isin(*DECORATORS)))
     return out.union(edges_frame(hierarchy_edges(parsed), source=c("source"), target=c("target"), kind=c("kind")))
 
 
@@ -109,7 +112,7 @@ def resolve_calls(parsed: DataFrame, up: DataFrame) -> DataFrame:
     """
     m = _rows(parsed, "methods").select(F.col("id").alias("mid"), "type_id", "name", F.size("params").alias("arity"), F.coalesce("optional", F.lit(0)).alias("optional"), F.coalesce("variadic", F.lit(False)).alias("variadic"), "ordinal")
     calls = _rows(parsed, "calls").withColumn("caller", F.coalesce("method_id", "type_id")).withColumn("n_args", F.size("arguments"))
-    calls = calls.select("file_path", "language", "module_id", "ordinal", "line", "receiver", "receiver_type", "name", "n_args", "type_id", "caller", "is_constructor", "control_flow")
+    calls = calls.select("file_path", "language", "module_id", "ordinal", "line", "receiver", "receiver_type", "name", "n_args", "type_id", "caller", "is_constructor", "control_flow", "guards")
     site = ["file_path", "ordinal"]
     in_type = ~F.col("type_id").startswith("module:")
     new = F.col("receiver_type").startswith("new:")
@@ -129,10 +132,13 @@ def resolve_calls(parsed: DataFrame, up: DataFrame) -> DataFrame:
     imports = _rows(parsed, "imports").filter("imported_name IS NOT NULL").select(F.col("file_path").alias("_f"), F.col("simple_name").alias("_n"), F.concat(F.lit("module:"), "module").alias("ancestor"), "imported_name")
     from_import = want.filter(bare).join(imports, (want.file_path == F.col("_f")) & (want.name == F.col("_n"))).drop("_f", "_n").withColumn("member", F.col("imported_name")).drop("imported_name").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(60)).withColumn("way", F.lit("imported function"))
     from_import = from_import.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    star = _rows(parsed, "imports").filter("simple_name = '*'").select(F.col("file_path").alias("_f"), F.concat(F.lit("module:"), "module").alias("ancestor")).distinct()
+    from_star = want.filter(bare).join(star, want.file_path == F.col("_f")).drop("_f").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(70)).withColumn("way", F.lit("imported function"))
+    from_star = from_star.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     modules = _rows(parsed, "imports").select(F.col("file_path").alias("_f"), F.col("simple_name").alias("_n"), F.concat(F.lit("module:"), "fqn").alias("ancestor"))
     by_module = want.filter(F.col("receiver").isNotNull() & F.col("named").isNull()).join(modules, (want.file_path == F.col("_f")) & (want.receiver == F.col("_n"))).drop("_f", "_n").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(0)).withColumn("way", F.lit("module"))
     by_module = by_module.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
-    found = hit.unionByName(outer).unionByName(from_import).unionByName(by_module)
+    found = hit.unionByName(outer).unionByName(from_import).unionByName(from_star).unionByName(by_module)
     fit = F.when((F.col("arity") == F.col("n_args")) & ~F.col("variadic"), 0).when(F.col("variadic") & (F.col("n_args") >= F.col("arity") - 1), 1).when((F.col("n_args") < F.col("arity")) & (F.col("n_args") >= F.col("arity") - F.col("optional")), 1).when(F.col("arity") > F.col("n_args"), 3).otherwise(4)
     found = found.withColumn("rank", F.struct("depth", fit.alias("fit"))).withColumn("cand", F.struct("depth", fit.alias("fit"), "decl", "mid", "way"))
     best = found.groupBy(*site).agg(F.sort_array(F.collect_list("cand")).alias("c"))
@@ -154,16 +160,16 @@ def resolve_calls(parsed: DataFrame, up: DataFrame) -> DataFrame:
     reason = F.when(F.col("named").isNotNull(), F.concat(F.lit("no such member of "), "named")).when(F.col("receiver").isNotNull(), "unknown receiver type").otherwise("unknown function")
     return every.select(
         "file_path", "language", "caller", target.alias("target"), kind.alias("outcome"), "line", "ordinal", F.when(kind == "unknown", 0.0).when(kind == "external", CONFIDENCE["external"]).when(kind == "default", CONFIDENCE["default constructor"]).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(kind == "unknown", reason).alias("reason"), "alternatives", (F.array_contains("control_flow", "branch") | F.array_contains("control_flow", "exception")).alias("conditional"), "named", "name", "receiver",
+        F.when(kind == "unknown", reason).alias("reason"), "alternatives", (F.array_contains("control_flow", "branch") | F.array_contains("control_flow", "exception")).alias("conditional"), "named", "name", "receiver", "control_flow", "guards",
     )
 
 
 def call_graph(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes that calls bring in, CALLS edges): of several sites of one pair the last one stays."""
     c = F.col
-    last = calls.groupBy("caller", "target").agg(F.max_by(F.struct("outcome", "line", "confidence", "reason", "alternatives", "conditional", "named", "file_path"), F.struct("line", "ordinal")).alias("x")).select("caller", "target", "x.*")
+    last = calls.groupBy("caller", "target").agg(F.max_by(F.struct("outcome", "line", "confidence", "reason", "alternatives", "conditional", "named", "file_path", "control_flow", "guards"), F.struct("line", "ordinal")).alias("x")).select("caller", "target", "x.*")
     sure = (c("confidence") < 1) | (c("outcome") == "unknown")
-    edges = edges_frame(last, source=c("caller"), target=c("target"), kind=F.lit("CALLS"), line=c("line"), resolved=c("outcome") != "unknown", confidence=F.when(sure, c("confidence")), reason=c("reason"), alternatives=c("alternatives"), conditional=c("conditional"))
+    edges = edges_frame(last, source=c("caller"), target=c("target"), kind=F.lit("CALLS"), line=c("line"), resolved=c("outcome") != "unknown", confidence=F.when(sure, c("confidence")), reason=c("reason"), alternatives=c("alternatives"), conditional=c("conditional"), control_flow=c("control_flow"), guards=c("guards"))
     ctor = last.filter("outcome = 'default'")
     edges = edges.union(edges_frame(ctor.select("named", "target").distinct(), source=c("named"), target=c("target"), kind=F.lit("CONTAINS")))
     new = nodes_frame(ctor.select("target").distinct(), id=c("target"), kind=F.lit("constructor"), qualified_name=c("target"), name=F.lit("<init>"))
@@ -180,7 +186,8 @@ def wiring(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = edges_frame(ext, source=c("file_path"), target=c("target"), kind=F.lit("REFERENCES"))
     nodes = nodes_frame(ext.select("target").distinct(), id=c("target"), kind=F.lit("external_symbol"), qualified_name=F.regexp_replace("target", "^ext:", ""), name=F.regexp_replace("target", "^ext:", ""))
     m = _rows(parsed, "methods").select(c("id").alias("mid"), c("name").alias("mname"), "type_id", c("file_path").alias("mfile"), c("module_id").alias("mmodule"))
-    inj = resolve_types(_rows(parsed, "injections").filter("type IS NOT NULL"), parsed, "type", "provider")
+    builtin = c("type").isin(*BUILTIN_TYPES) | c("type").rlike(r"[{}()=>]")
+    inj = resolve_types(_rows(parsed, "injections").filter("type IS NOT NULL").filter(~builtin), parsed, "type", "provider")
     fn = m.filter(c("type_id").startswith("module:")).groupBy(c("mname")).agg(F.min("mid").alias("function"), F.count(F.lit(1)).alias("n")).filter("n = 1")
     inj = inj.join(fn, inj.type == c("mname"), "left").withColumn("target", F.coalesce("provider", "function", F.concat(F.lit("__inject__:"), "type")))
     sure = F.when(c("provider").isNotNull(), INJECT_UNIQUE).when(c("function").isNotNull(), INJECT_PROVIDER).otherwise(INJECT_NONE)

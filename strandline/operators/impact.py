@@ -72,6 +72,45 @@ def impact_summary(g: GraphSession, roots: DataFrame, max_depth: int = 10, inclu
     return out.withColumn("risk", F.when(F.col("entry_points") > 0, "high").when(F.col("direct_callers") > 0, "medium").otherwise("low"))
 
 
+def impact_details(g: GraphSession, symbol: str, max_depth: int = 10, include_dynamic: bool = True, limit: int | None = 200) -> DataFrame:
+    """(section, id, detail): what impact_analysis() counts, row by row: callers with depth, entry points, routes, event flows, implementations with the members they override, files."""
+    at = resolve(g, symbol)
+    targets, found = impact_callers(g, g.spark.createDataFrame([(at,)] if at else [], "root string"), max_depth, include_dynamic)
+    callers = settle(_nearest(found, limit).select("id", "depth"))
+    mine = targets.select("id")
+    reach = callers.select("id").union(mine).distinct()
+    row = lambda section, df, detail: df.select(F.lit(section).alias("section"), "id", detail.cast("string").alias("detail"))
+    out = row("caller", callers, F.col("depth"))
+    out = out.union(row("entry point", g.nodes.filter("entry_point").join(reach, "id", "left_semi"), F.col("entry_point_kind")))
+    for section, kind in (("route", "ROUTES"), ("event flow", "EMITS")):
+        e = g.edges_of(kind)
+        ends = e.join(mine, e.source == mine.id, "left_semi").union(e.join(mine, e.target == mine.id, "left_semi")).select("source", "target").distinct()
+        out = out.union(row(section, ends.withColumnRenamed("source", "id"), F.col("target")))
+    me = g.nodes.filter(F.col("id") == at)
+    kind = me.select("kind").first()
+    owner = g.edges_of("CONTAINS").filter(F.col("target") == at).select(F.col("source").alias("id"))
+    types = owner if kind and kind.kind in CALLABLE_KINDS else me.select("id")
+    subs = bfs(oriented(g.edges_of("EXTENDS", "IMPLEMENTS"), "in"), types.select(F.col("id").alias("root"), "id"), max_depth).select("id").distinct().join(g.nodes.filter(F.col("kind").isin(*TYPE_KINDS)).select("id"), "id")
+    held = g.edges_of("CONTAINS").select(F.col("source").alias("id"), F.col("target").alias("member"))
+    same = g.nodes.join(me.select(F.col("name").alias("name")).distinct(), "name").filter(F.col("kind").isin(*CALLABLE_KINDS)).select(F.col("id").alias("member"))
+    overrides = subs.join(held.join(same, "member"), "id").groupBy("id").agg(F.min("member").alias("override"))
+    out = out.union(row("implementation", subs.join(overrides, "id", "left"), F.col("override")))
+    files = me.select("id").union(callers.select("id")).union(subs).distinct().join(g.nodes.select("id", "file_path"), "id").filter("file_path IS NOT NULL").select(F.col("file_path").alias("id")).distinct()
+    return out.union(row("file", files, F.lit(None)))
+
+
+def change_totals(changes: DataFrame, g: GraphSession, max_depth: int = 10, include_dynamic: bool = True, files: list[str] = (), diff: str = "") -> DataFrame:
+    """One row for a report of change_impact(): symbols, distinct callers, files and entry points that they reach, and the given files that no known file matches."""
+    roots = settle(changes.select("root").distinct())
+    targets, found = impact_callers(g, roots, max_depth, include_dynamic)
+    reach = found.select("id").union(targets.select("id")).distinct().join(g.nodes.select("id", "file_path", "entry_point"), "id")
+    callers = found.join(targets.select("id").distinct(), "id", "left_anti").agg(F.count_distinct("id").alias("callers"))
+    given = sorted({normal_path(f) for f in files} | {h.file for h in parse_unified_diff(diff)})
+    known = match_files(g.spark.createDataFrame([(f,) for f in given], "file string"), g.nodes)
+    lost = g.spark.createDataFrame([(f,) for f in given], "file string").join(known.select("file").distinct(), "file", "left_anti").agg(F.sort_array(F.collect_list("file")).alias("unmatched"))
+    return roots.agg(F.count(F.lit(1)).alias("symbols")).crossJoin(callers).crossJoin(reach.agg(F.count_distinct("file_path").alias("files"), F.count(F.when(F.col("entry_point"), 1)).alias("entry_points"))).crossJoin(lost)  # one row each
+
+
 def impact_analysis(g: GraphSession, symbol: str, max_depth: int = 10, include_dynamic: bool = True, limit: int | None = 200) -> DataFrame:
     at = resolve(g, symbol)
     return impact_summary(g, g.spark.createDataFrame([(at,)] if at else [], "root string"), max_depth, include_dynamic, limit)
@@ -198,7 +237,9 @@ def explain_symbol(g: GraphSession, symbol: str, max_depth: int = 1, include_dyn
     at = resolve(g, symbol)
     row = lambda section, df, detail: df.select(F.lit(section).alias("section"), "id", detail.cast("string").alias("detail"))
     members = g.edges_of("CONTAINS").filter(F.col("source") == at).select(F.col("target").alias("id")).join(g.nodes.select("id", "kind"), "id")
-    out = row("decorator", get_decorators(g, symbol).select(F.col("member").alias("id"), "annotations"), F.col("annotations"))
+    out = row("decorator", get_decorators(g, symbol).groupBy(F.col("member").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("annotation")), ",").alias("annotations")), F.col("annotations"))
+    inner = get_decorators(g, symbol, include_members=True).filter(F.col("member") != at)
+    out = out.union(row("member decorator", inner.select(F.col("member").alias("id"), "annotation"), F.col("annotation")))
     out = out.union(row("member", members.transform(first, limit, "id"), F.col("kind")))
     for section, fn in (("caller", get_callers), ("callee", get_callees)):
         out = out.union(row(section, fn(g, symbol, max_depth, limit, include_dynamic), F.col("edge_kind")))

@@ -41,7 +41,8 @@ def find_entry_points(g: GraphSession, kind: str | None = None, limit: int | Non
 
 def index_status(g: GraphSession) -> DataFrame:
     n = g.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("file_path").alias("files"))
-    return n.crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))).select("nodes", "edges", "files")
+    last = F.lit(g.crawled_at).cast("long").alias("last_crawl")
+    return n.crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))).select("nodes", "edges", "files", last)
 
 
 def get_schema(g: GraphSession) -> DataFrame:
@@ -120,24 +121,23 @@ def suggest_symbols(g: GraphSession, symbol: str, limit: int | None = 8) -> Data
 
 def find_annotated(g: GraphSession, annotation: str, kind: str | None = None, limit: int | None = 50) -> DataFrame:
     name = annotation.removeprefix("@")
-    a = g.nodes.filter(F.col("kind") == "annotation").filter((F.col("id") == f"@{name}") | (F.col("qualified_name") == name) | F.col("qualified_name").endswith(f".{name}"))
+    a = g.nodes.filter(F.col("kind") == "annotation").filter((F.col("id") == f"@{name}") | (F.col("qualified_name") == name) | F.col("qualified_name").endswith(f".{name}") | (F.lower("name") == name.lower()))
     a = a.select(F.col("id").alias("annotation"))
-    e = g.edges_of("ANNOTATED_WITH").select("source", F.col("target").alias("annotation"), "line")
+    e = g.edges_of("ANNOTATED_WITH").select("source", F.col("target").alias("annotation"), "line", "arguments")
     s = g.nodes.select(F.col("id").alias("source"), "kind", "qualified_name")
     hit = e.join(a, "annotation").join(s if kind is None else s.filter(F.col("kind") == kind), "source")
-    return hit.select(F.col("source").alias("id"), "kind", "qualified_name", "annotation", "line").transform(first, limit, "qualified_name", "id", "annotation")
+    return hit.select(F.col("source").alias("id"), "kind", "qualified_name", "annotation", "line", "arguments").transform(first, limit, "qualified_name", "id", "annotation")
 
 
 def get_decorators(g: GraphSession, symbol: str, include_members: bool = False) -> DataFrame:
-    """(member, annotations): of the symbol, and of the members it contains that have any."""
+    """(member, annotation, line, arguments, decorator): of the symbol, and of the members it contains that have any."""
     at = resolve(g, symbol)
     own = g.spark.createDataFrame([(at,)] if at else [], "member string")
     if include_members:
         inner = g.nodes.filter(F.col("kind").isin("method", "constructor", "field")).select(F.col("id").alias("member"))
         own = own.union(g.edges_of("CONTAINS").filter(F.col("source") == at).select(F.col("target").alias("member")).join(inner, "member"))
-    e = g.edges_of("ANNOTATED_WITH").select(F.col("source").alias("member"), "target")
-    got = own.join(e, "member").groupBy("member").agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("annotations"))
-    return got.orderBy("member")
+    e = g.edges_of("ANNOTATED_WITH").select(F.col("source").alias("member"), F.col("target").alias("annotation"), "line", "arguments", "decorator")
+    return own.join(e, "member").orderBy("member", "annotation")
 
 
 def wiring_edges(g: GraphSession, kind: str, symbol: str | None = None, limit: int | None = 50) -> DataFrame:

@@ -53,7 +53,7 @@ def _steps(kinds: str, direction: str) -> str:
 _register("get_node", lambda g: rel.get_node(g, "geo.NATION_7"), "SELECT id, kind, qualified_name, name, file_path, start_line + 1 AS start_line, end_line + 1 AS end_line FROM nodes WHERE id = 'geo.NATION_7' OR qualified_name = 'geo.NATION_7' ORDER BY id = 'geo.NATION_7' DESC, kind, id LIMIT 1")
 _register("file_nodes", lambda g: rel.file_nodes(g, "/src/cust7.java"), "SELECT id, kind, qualified_name, name FROM nodes WHERE file_path = '/src/cust7.java'")
 _register("find_entry_points", lambda g: rel.find_entry_points(g, None, ALL), "SELECT id, qualified_name, coalesce(entry_point_kind, 'unknown') AS entry_kind, file_path FROM nodes WHERE entry_point")
-_register("index_status", rel.index_status, "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT file_path) FROM nodes) AS files")
+_register("index_status", rel.index_status, "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT file_path) FROM nodes) AS files, CAST(NULL AS BIGINT) AS last_crawl")
 _register("get_schema", rel.get_schema, "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{k}')" for e, ks in (("node", NODE_KINDS), ("edge", EDGE_KINDS)) for k in ks) + ") v(element, kind)")
 _register("graph_violations", lambda g: g.violations(), "SELECT 'dangling ' || side AS rule, id AS key FROM (SELECT 'source' AS side, source AS id FROM edges UNION ALL SELECT 'target', target FROM edges) e WHERE id NOT IN (SELECT id FROM nodes)")
 
@@ -65,8 +65,8 @@ _register("search_symbols_substring", lambda g: rel.search_substring(g, "ier1",
 _register("suggest_symbols", lambda g: rel.suggest_symbols(g, "geo.customers#order12", None).select("id", "rank"), f"SELECT id, {_RANK.format(q='order12')} AS rank FROM nodes WHERE len(list_filter({_TOKENS}, lambda t: starts_with(t, 'order12'))) > 0")
 
 # -- annotations, wiring
-_register("find_annotated", lambda g: rel.find_annotated(g, "@BUILDING", None, ALL), "SELECT s.id, s.kind, s.qualified_name, e.target AS annotation, e.line FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes a ON a.id = e.target WHERE e.kind = 'ANNOTATED_WITH' AND a.kind = 'annotation' AND (a.id = '@BUILDING' OR a.qualified_name = 'BUILDING' OR suffix(a.qualified_name, '.BUILDING'))")
-_register("get_decorators", lambda g: rel.get_decorators(g, "customer:7", True), "SELECT source AS member, string_agg(DISTINCT target, ',' ORDER BY target) AS annotations FROM edges WHERE kind = 'ANNOTATED_WITH' AND (source = 'customer:7' OR source IN (SELECT target FROM edges JOIN nodes ON id = target WHERE edges.kind = 'CONTAINS' AND source = 'customer:7' AND nodes.kind IN ('method', 'constructor', 'field'))) GROUP BY source")
+_register("find_annotated", lambda g: rel.find_annotated(g, "@BUILDING", None, ALL), "SELECT s.id, s.kind, s.qualified_name, e.target AS annotation, e.line, CAST(NULL AS VARCHAR) AS arguments FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes a ON a.id = e.target WHERE e.kind = 'ANNOTATED_WITH' AND a.kind = 'annotation' AND (a.id = '@BUILDING' OR a.qualified_name = 'BUILDING' OR suffix(a.qualified_name, '.BUILDING') OR lower(a.name) = 'building')")
+_register("get_decorators", lambda g: rel.get_decorators(g, "customer:7", True), "SELECT source AS member, target AS annotation, line, CAST(NULL AS VARCHAR) AS arguments, CAST(NULL AS BOOLEAN) AS decorator FROM edges WHERE kind = 'ANNOTATED_WITH' AND (source = 'customer:7' OR source IN (SELECT target FROM edges JOIN nodes ON id = target WHERE edges.kind = 'CONTAINS' AND source = 'customer:7' AND nodes.kind IN ('method', 'constructor', 'field')))")
 _WIRING = "SELECT e.source, s.qualified_name AS source_name, e.target, t.qualified_name AS target_name, e.line, e.confidence, e.channel, e.http_method, e.path FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = '{}'"
 for _name, _kind in (("find_injections", "INJECTS"), ("find_reflections", "REFLECTS"), ("find_routes", "ROUTES"), ("find_event_flows", "EMITS")):
     _register(_name, lambda g, k=_kind: rel.wiring_edges(g, k, None, ALL), _WIRING.format(_kind))
@@ -148,14 +148,15 @@ _register("unresolved_for_node", lambda g: rel.unresolved_for_node(g, "__unknown
 _register("proxy_call_info", rel.proxy_call_info, "SELECT e.source, e.target, t.proxy, split_part(s.qualified_name, '#', 1) = split_part(t.qualified_name, '#', 1) AS inert FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'CALLS' AND t.proxy IS NOT NULL")
 
 
-_register(
-    "impact_analysis",
-    lambda g: impact.impact_analysis(g, "customer:7", 40, True, ALL),
-    f""", t AS MATERIALIZED (SELECT 'customer:7' AS id UNION SELECT e.target FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'customer:7' AND e.kind = 'CONTAINS' AND n.kind IN {CALLABLE}),
+_IMPACT = f""", t AS MATERIALIZED (SELECT 'customer:7' AS id UNION SELECT e.target FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'customer:7' AND e.kind = 'CONTAINS' AND n.kind IN {CALLABLE}),
 w AS (SELECT id, 0 AS depth FROM t UNION SELECT e.source, w.depth + 1 FROM w JOIN edges e ON e.target = w.id AND e.kind IN {CALL_KINDS} WHERE w.depth < 40),
 c AS MATERIALIZED (SELECT id, min(depth) AS depth FROM w WHERE id NOT IN (SELECT id FROM t) GROUP BY id),
 i AS MATERIALIZED (SELECT n.id FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'customer:7' AND e.kind IN ('EXTENDS', 'IMPLEMENTS') AND n.kind IN {TYPES})
-SELECT 'customer:7' AS root, (SELECT count(*) FROM c) AS callers, (SELECT count(*) FROM c WHERE depth = 1) AS direct_callers,
+"""
+_register(
+    "impact_analysis",
+    lambda g: impact.impact_analysis(g, "customer:7", 40, True, ALL),
+    _IMPACT + """SELECT 'customer:7' AS root, (SELECT count(*) FROM c) AS callers, (SELECT count(*) FROM c WHERE depth = 1) AS direct_callers,
 (SELECT count(*) FROM nodes WHERE entry_point AND (id IN (SELECT id FROM t) OR id IN (SELECT id FROM c))) AS entry_points,
 (SELECT count(*) FROM edges WHERE kind = 'ROUTES' AND (source IN (SELECT id FROM t) OR target IN (SELECT id FROM t))) AS routes,
 (SELECT count(*) FROM edges WHERE kind = 'EMITS' AND (source IN (SELECT id FROM t) OR target IN (SELECT id FROM t))) AS event_flows,
@@ -163,11 +164,20 @@ SELECT 'customer:7' AS root, (SELECT count(*) FROM c) AS callers, (SELECT count(
 (SELECT count(DISTINCT file_path) FROM nodes WHERE id = 'customer:7' OR id IN (SELECT id FROM c) OR id IN (SELECT id FROM i)) AS files,
 CASE WHEN (SELECT count(*) FROM nodes WHERE entry_point AND (id IN (SELECT id FROM t) OR id IN (SELECT id FROM c))) > 0 THEN 'high' WHEN (SELECT count(*) FROM c WHERE depth = 1) > 0 THEN 'medium' ELSE 'low' END AS risk""",
 )
+_register(
+    "impact_details",
+    lambda g: impact.impact_details(g, "customer:7", 40, True, ALL),
+    _IMPACT
+    + """SELECT 'caller' AS section, id, CAST(depth AS VARCHAR) AS detail FROM c UNION ALL SELECT 'entry point', id, entry_point_kind FROM nodes WHERE entry_point AND (id IN (SELECT id FROM t) OR id IN (SELECT id FROM c))
+UNION ALL SELECT CASE kind WHEN 'ROUTES' THEN 'route' ELSE 'event flow' END, source, target FROM edges WHERE kind IN ('ROUTES', 'EMITS') AND (source IN (SELECT id FROM t) OR target IN (SELECT id FROM t))
+UNION ALL SELECT 'implementation', id, NULL FROM i UNION ALL SELECT DISTINCT 'file', file_path, CAST(NULL AS VARCHAR) FROM nodes WHERE file_path IS NOT NULL AND (id = 'customer:7' OR id IN (SELECT id FROM c) OR id IN (SELECT id FROM i))""",
+)
 _ex = lambda side, label: f"SELECT '{label}' AS section, {'target' if side == 'source' else 'source'} AS id, kind AS detail FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY kind) AS rn FROM edges WHERE kind IN {CALL_KINDS} AND {side} = 'order:10' AND source <> target) x WHERE rn = 1"
 _register(
     "explain_symbol",
     lambda g: impact.explain_symbol(g, "order:10", 1, True, ALL),
     ", sections AS (SELECT 'decorator' AS section, source AS id, string_agg(DISTINCT target, ',' ORDER BY target) AS detail FROM edges WHERE kind = 'ANNOTATED_WITH' AND source = 'order:10' GROUP BY source UNION ALL "
+    "SELECT 'member decorator', a.source, a.target FROM edges a JOIN edges h ON h.target = a.source AND h.kind = 'CONTAINS' AND h.source = 'order:10' JOIN nodes n ON n.id = a.source WHERE a.kind = 'ANNOTATED_WITH' AND n.kind IN ('method', 'constructor', 'field') UNION ALL "
     "SELECT 'member', e.target, n.kind FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind = 'CONTAINS' AND e.source = 'order:10' UNION ALL "
     + _ex("target", "caller") + " UNION ALL " + _ex("source", "callee")
     + "".join(f" UNION ALL SELECT '{s}', CASE WHEN source = 'order:10' THEN target ELSE source END, CASE WHEN source = 'order:10' THEN 'out' ELSE 'in' END FROM edges WHERE kind = '{k}' AND (source = 'order:10' OR target = 'order:10')" for s, k in (("route", "ROUTES"), ("injection", "INJECTS"), ("reflection", "REFLECTS")))

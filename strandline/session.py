@@ -19,7 +19,7 @@ CONTROL_FLOW_KINDS = ("branch", "loop", "exception", "predicate")
 
 #: Typed columns that operators read; a relation that lacks one gets nulls.
 NODE_COLUMNS = {"id": "string", "kind": "string", "qualified_name": "string", "name": "string", "file_path": "string", "start_line": "int", "end_line": "int", "entry_point": "boolean", "entry_point_kind": "string", "advice_kind": "string", "proxy": "string"}
-EDGE_COLUMNS = {"source": "string", "target": "string", "kind": "string", "line": "int", "resolved": "boolean", "confidence": "double", "reason": "string", "channel": "string", "http_method": "string", "path": "string"}
+EDGE_COLUMNS = {"source": "string", "target": "string", "kind": "string", "line": "int", "resolved": "boolean", "confidence": "double", "reason": "string", "channel": "string", "http_method": "string", "path": "string", "arguments": "string", "decorator": "boolean"}
 
 
 def _typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -33,6 +33,7 @@ class GraphSession:
 
     nodes: DataFrame
     edges: DataFrame
+    crawled_at: int | None = None  # microseconds since 1970
 
     def __post_init__(self) -> None:
         self.nodes = _typed(self.nodes, NODE_COLUMNS)

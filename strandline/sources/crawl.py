@@ -6,7 +6,7 @@ import contextlib
 import hashlib
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import pyarrow as pa
@@ -114,23 +114,38 @@ def discover(spark: SparkSession, root: str, options: CrawlOptions = CrawlOption
     return out
 
 
-def parse_text(text: str, module: str, language: str, aliases: dict[str, str] | None = None, package: bool = False) -> tuple[str | None, str | None]:
+Parser = Callable[[str, str, str, dict[str, str] | None, bool], dict]
+#: Parsers by language: (text, module, language, aliases, whether the file stands for its package) to the parse.
+PARSERS: dict[str, Parser] = {
+    "python": lambda text, module, language, aliases, package: parse_python.parse(text, module, package),
+    **dict.fromkeys(("java", "typescript", "javascript"), lambda text, module, language, aliases, package: parse_braces.parse(text, module, language, aliases)),
+}
+
+
+def register_language(language: str, extensions: Sequence[str], parser: Parser) -> None:
+    """Make files with these extensions (".kt") a language's, read by its parser."""
+    PARSERS[language] = parser
+    EXTENSIONS.update(dict.fromkeys(extensions, language))
+
+
+def parse_text(text: str, module: str, language: str, aliases: dict[str, str] | None = None, package: bool = False, parsers: dict[str, Parser] | None = None) -> tuple[str | None, str | None]:
     """(parsed as JSON, error); a file that cannot be parsed reports why and gives nothing."""
     try:
-        return json.dumps(parse_python.parse(text, module, package) if language == "python" else parse_braces.parse(text, module, language, aliases)), None
+        return json.dumps((parsers or PARSERS)[language](text, module, language, aliases, package)), None
     except (SyntaxError, ValueError, RecursionError) as e:
         return None, f"{type(e).__name__}: {e}"
 
 
 def parse_files(files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """MANIFEST rows of files (path, size, mtime_ms, language, module, content)."""
+    parsers = dict(PARSERS)  # the workers have the built-in ones only
     schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime_ms", pa.int64()), ("sha256", pa.string()), ("language", pa.string()), ("parsed", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"], aliases, r["path"].rpartition("/")[2] == "__init__.py")
+                parsed, error = (None, "binary") if b"\0" in r["content"][:SNIFF_BYTES] else parse_text(r["content"].decode("utf-8", "replace"), r["module"], r["language"], aliases, r["path"].rpartition("/")[2] == "__init__.py", parsers)
                 rows.append({"path": r["path"], "size": r["size"], "mtime_ms": r["mtime_ms"], "sha256": r["sha256"], "language": r["language"], "parsed": parsed, "error": error})
             yield pa.RecordBatch.from_pylist(rows, schema)
 

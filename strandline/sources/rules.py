@@ -24,6 +24,15 @@ PUBLISH_CALLS = {"publishEvent": "event", "convertAndSend": "queue", "send": "to
 TRANSACTIONAL_PHASE = "AFTER_COMMIT"
 REFLECTIVE_CALLS = {"forName": "type", "getattr": "member", "import_module": "module", "__import__": "module"}
 
+# Annotations and decorators that change how what they mark runs.
+DECORATORS = (
+    "Transactional", "Cacheable", "CachePut", "CacheEvict", "Async", "Retryable", "Secured", "PreAuthorize", "RolesAllowed", "Timed", "Scheduled", "Loggable", "Measured", "RateLimit", "Idempotent", "Validated",
+    "app", "router", "route", "get", "post", "put", "delete", "patch", "api_view", "action", "shared_task", "task", "celery", "command", "option", "login_required", "permission_classes", "authentication_classes",
+    "cache_page", "lru_cache", "cache", "wraps", "contextmanager", "asynccontextmanager", "property", "staticmethod", "classmethod", "abstractmethod", "pytest", "fixture",
+    "Controller", "Injectable", "Component", "Directive", "Pipe", "Guard", "Interceptor", "Middleware", "UseGuards", "UseInterceptors", "UsePipes", "UseFilters", "SetMetadata", "HttpCode", "Header", "Input", "Output",
+    "HostListener", "ViewChild", "memo", "autobind", "debounce", "throttle", "observable", "computed", "effect", "transactional",
+)
+
 # File extensions of each language, and names that a language brings along.
 EXTENSIONS = {".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
 PYTHON_BUILTINS = ("print", "len", "range", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "isinstance", "super", "open", "sorted", "min", "max", "sum", "any", "all", "zip", "map", "filter", "enumerate", "repr", "type", "iter", "next", "hasattr", "setattr", "abs", "round")

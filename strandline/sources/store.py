@@ -48,7 +48,7 @@ class Store:
         m = self.meta()
         if m is None:
             raise ValueError("nothing was crawled here yet")
-        return GraphSession(self.spark.read.parquet(f"{self.path}/{m['snapshot']}/nodes"), self.spark.read.parquet(f"{self.path}/{m['snapshot']}/edges"))
+        return GraphSession(self.spark.read.parquet(f"{self.path}/{m['snapshot']}/nodes"), self.spark.read.parquet(f"{self.path}/{m['snapshot']}/edges"), m["crawled_at"])
 
     def write(self, project: str, manifest: DataFrame, g: GraphSession | None, options: CrawlOptions) -> None:
         snapshot = uuid.uuid4().hex
@@ -81,7 +81,8 @@ class Store:
             return {"removed": 0, "rebuilt": False, **counts}
         g = build_graph(parsed_files(new))
         self.write(project, new, g, options)
-        return {"removed": gone, "rebuilt": True, "nodes": g.nodes.count(), "edges": g.edges.count(), **counts}
+        kinds = {r.kind: r.n for r in g.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a kind
+        return {"removed": gone, "rebuilt": True, "nodes": g.nodes.count(), "edges": sum(kinds.values()), "edges_by_kind": kinds, "failed": new.filter("error IS NOT NULL").count(), **counts}
 
     def _drop_old(self, keep: int) -> None:
         """Remove all snapshots but the last `keep`; readers of the last but one go on undisturbed."""

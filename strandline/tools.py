@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from strandline.config import limits
 from strandline.operators import cycles, impact, output
 from strandline.operators import relational as rel
 from strandline.operators import traversal as walk
@@ -53,7 +55,7 @@ TOOLS: dict[str, Tool] = {
     "find_event_flows": Tool("wiring", _wiring("EMITS"), {"limit": (1, 500)}, paged=("source_name", "target_name", "source", "target")),
     "find_external_dependencies": Tool("insight", rel.external_dependencies, {"limit": (1, 500)}, paged=("-references", "package")),
     "find_unresolved": Tool("insight", rel.find_unresolved, {"limit": (1, 5000)}, paged=("caller", "line", "target")),
-    "impact_analysis": Tool("impact", impact.impact_analysis, {"max_depth": (1, 50), "limit": (1, 1000)}, "symbol"),
+    "impact_analysis": Tool("impact", lambda g, symbol, details=False, **args: (impact.impact_details if details else impact.impact_analysis)(g, symbol, **args), {"max_depth": (1, 50), "limit": (1, 1000)}, "symbol"),
     "change_impact": Tool("impact", impact.change_impact, {"max_depth": (1, 50), "limit": (1, 1000), "max_symbols": (1, 200)}),
     "explain_symbol": Tool("impact", impact.explain_symbol, {"max_depth": (1, 5), "limit": (1, 500)}, "symbol"),
     "find_cycles": Tool("insight", cycles.find_cycles, {"min_size": (1, 100), "limit": (1, 500)}, paged=("-size", "component")),
@@ -61,6 +63,31 @@ TOOLS: dict[str, Tool] = {
 }
 
 
+PROMPT = "trace-call-path"
+
+
+def _held(tool: Tool, args: dict) -> dict:
+    """args with the environment's default limit and depth, where it names any and the call does not."""
+    given, held = limits(), dict(args)
+    for name, variable, value in (("limit", "STRANDLINE_DEFAULT_LIMIT", given.default_limit), ("max_depth", "STRANDLINE_MAX_DEPTH", given.max_depth)):
+        if name in tool.bounds and held.get(name) is None and os.environ.get(variable, "").strip():
+            held[name] = min(max(value, tool.bounds[name][0]), tool.bounds[name][1])
+    return held
+
+
+def resource(g: GraphSession, name: str) -> DataFrame:
+    """The resources `schema` and `status`."""
+    return {"schema": rel.get_schema, "status": rel.index_status}[name](g)
+
+
+def prompt(g: GraphSession, source: str, target: str) -> str:
+    """The text of the prompt trace-call-path: the call paths between two symbols, numbered, or what to do where there are none."""
+    paths = [r.path for r in walk.trace_path(g, source, target, limit=10).orderBy("path_no").collect()]
+    if not paths:
+        return f"No call path leads from {source} to {target}. Look both up with search_symbols, and at what is around them with get_subgraph."
+    return f"Call paths from {source} to {target}:\n\n" + "\n".join(f"{i}. {' -> '.join(p)}" for i, p in enumerate(paths, 1)) + "\n\nGo on with get_callers or get_callees of what lies between."
+
+
 def call(g: GraphSession, name: str, max_tokens: int | None = None, cursor: int | None = None, compact: bool = False, **args) -> dict:
     """{ok, rows} or {ok: False, error, suggestions}; a page and its meta where a budget or cursor is given.
 
@@ -80,7 +107,7 @@ def call(g: GraphSession, name: str, max_tokens: int | None = None, cursor: int
         return {"ok": False, "error": "give symbols, files or a diff", "suggestions": []}
     if tool.needs and walk.resolve(g, args[tool.needs]) is None:
         return {"ok": False, "error": f"no symbol {args[tool.needs]}", "suggestions": [r.id for r in rel.suggest_symbols(g, args[tool.needs]).collect()]}
-    df = tool.run(g, **args)
+    df = tool.run(g, **_held(tool, args))
     if tool.paged and (max_tokens is not None or cursor is not None):
         df = output.apply_budget(df, tool.paged, max_tokens, cursor or 0)
         return {"ok": True, "rows": output.compactify(df) if compact else df, "page": output.page_meta(df)}
