@@ -15,8 +15,16 @@ from strandline.sources.type_text import BUILTIN_TYPES
 CONFIDENCE = {"constructor": 1.0, "default constructor": 0.9, "self": 0.95, "typed": 1.0, "new": 0.85, "module": 0.9, "imported function": 0.85, "external": 0.8}
 INHERITED = 0.9
 AMBIGUOUS = 0.6
+#: Literals by their look, and the type of each.
+LITERALS = {r'^"(?:[^"\\]|\\.)*"$': "String", r"^'(?:[^'\\]|\\.)'$": "char", r"^(?:true|false)$": "boolean", r"^-?\d[\d_]*[lL]$": "long", r"^-?(?:\d[\d_]*|0[xX][0-9a-fA-F_]+)$": "int", r"^-?(?:\d[\d_]*)?\.?\d+(?:[eE][+-]?\d+)?[dDfF]?$": "double"}
+# The parameter types that a literal's type converts to by itself.
+WIDENS_TO = {
+    "int": ("long", "double", "float", "Integer", "Long", "Number", "Object"), "long": ("double", "float", "Long", "Number", "Object"), "double": ("float", "Double", "Number", "Object"),
+    "char": ("int", "Character", "Object"), "boolean": ("Boolean", "Object"), "String": ("CharSequence", "Object"),
+}
 #: How sure an injection's provider is, and a route's handler.
-INJECT_PROVIDER, INJECT_UNIQUE, INJECT_NONE = 1.0, 0.95, 0.0
+INJECT_PROVIDER, INJECT_UNIQUE, INJECT_EXTERNAL, INJECT_NONE = 1.0, 0.95, 0.8, 0.0
+ROUTE_DIRECT, ROUTE_SCOPED, ROUTE_AMBIGUOUS = 1.0, 0.85, 0.6
 
 
 def _rows(parsed: DataFrame, name: str) -> DataFrame:
@@ -103,16 +111,39 @@ def declaration_edges(parsed: DataFrame) -> DataFrame:
     return out.union(edges_frame(hierarchy_edges(parsed), source=c("source"), target=c("target"), kind=c("kind")))
 
 
+def simple_type(text: Column) -> Column:
+    """A type's own name, without its package, arguments and dimensions."""
+    return F.element_at(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[<\[(].*$|\.\.\.$", "")), r"\."), -1)
+
+
+def argument_type(text: Column) -> Column:
+    """The type of an argument that is a literal, a construction or a cast; null for all else."""
+    t = F.trim(text)
+    made = F.coalesce(F.nullif(F.regexp_extract(t, r"^new\s*([A-Z][\w.$]*)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^\(\s*([A-Za-z][\w.]*)\s*\)\s*[\w\"'(]", 1), F.lit("")))
+    kind = F.when(made.isNotNull(), simple_type(made))
+    for pattern, name in LITERALS.items():
+        kind = kind.when(t.rlike(pattern), F.lit(name))
+    return kind
+
+
+def overload_score(types: Column, hints: Column) -> Column:
+    """Over the arguments whose type is known: 2 for an equal parameter type, 1 for one that it widens to."""
+    wide = F.create_map(*[x for name, to in WIDENS_TO.items() for x in (F.lit(name), F.array(*map(F.lit, to)))])
+    one = lambda p: F.when(p["hints"].isNull() | p["types"].isNull(), 0).when(p["types"] == p["hints"], 2).when(F.coalesce(F.array_contains(F.try_element_at(wide, p["hints"]), p["types"]), F.lit(False)), 1).otherwise(0)
+    return F.aggregate(F.arrays_zip(types.alias("types"), hints.alias("hints")), F.lit(0), lambda n, p: n + one(p))
+
+
 def resolve_calls(parsed: DataFrame, up: DataFrame) -> DataFrame:
     """One row a call site: caller, target, resolved, confidence, reason, alternatives, conditional, line, ordinal.
 
     A call's receiver names a type (by declaration, field, parameter, construction or itself), the enclosing type or
     its parents; bare names are members of the enclosing type or module, or imported functions. Among the members of
-    that name the nearest ancestor wins, then equal arity, then the first declared; ties cap the confidence.
+    that name the nearest ancestor wins, then equal arity, then the types of literal arguments, then the first declared;
+    ties cap the confidence.
     """
-    m = _rows(parsed, "methods").select(F.col("id").alias("mid"), "type_id", "name", F.size("params").alias("arity"), F.coalesce("optional", F.lit(0)).alias("optional"), F.coalesce("variadic", F.lit(False)).alias("variadic"), "ordinal")
-    calls = _rows(parsed, "calls").withColumn("caller", F.coalesce("method_id", "type_id")).withColumn("n_args", F.size("arguments"))
-    calls = calls.select("file_path", "language", "module_id", "ordinal", "line", "receiver", "receiver_type", "name", "n_args", "type_id", "caller", "is_constructor", "control_flow", "guards")
+    m = _rows(parsed, "methods").select(F.col("id").alias("mid"), "type_id", "name", F.size("params").alias("arity"), F.transform("params", lambda p: simple_type(p["type"])).alias("types"), F.coalesce("optional", F.lit(0)).alias("optional"), F.coalesce("variadic", F.lit(False)).alias("variadic"), "ordinal")
+    calls = _rows(parsed, "calls").withColumn("caller", F.coalesce("method_id", "type_id")).withColumn("n_args", F.size("arguments")).withColumn("hints", F.transform("arguments", argument_type))
+    calls = calls.select("file_path", "language", "module_id", "ordinal", "line", "receiver", "receiver_type", "name", "n_args", "hints", "type_id", "caller", "is_constructor", "control_flow", "guards")
     site = ["file_path", "ordinal"]
     in_type = ~F.col("type_id").startswith("module:")
     new = F.col("receiver_type").startswith("new:")
@@ -125,24 +156,24 @@ def resolve_calls(parsed: DataFrame, up: DataFrame) -> DataFrame:
     reach = up.select("type", "ancestor", "depth").union(_rows(parsed, "types").select(F.col("id").alias("type"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))).union(parsed.filter("language <> 'java'").select(F.concat(F.lit("module:"), "module_id").alias("type"), F.concat(F.lit("module:"), "module_id").alias("ancestor"), F.lit(0).alias("depth")))
     hit = want.join(reach, want.start == reach.type).filter((F.col("receiver_type").isNull() | (F.col("receiver_type") != "super")) | (F.col("depth") > 0))
     hit = hit.filter((F.col("way") != "constructor") | (F.col("depth") == 0))
-    hit = hit.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    hit = hit.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", "types", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     # a bare call in a type may mean a function of its module
     outer = want.filter(bare & in_type & (F.col("language") != "java")).withColumn("ancestor", F.concat(F.lit("module:"), "module_id")).withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(50))
-    outer = outer.withColumn("way", F.lit("module")).join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    outer = outer.withColumn("way", F.lit("module")).join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", "types", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     imports = _rows(parsed, "imports").filter("imported_name IS NOT NULL").select(F.col("file_path").alias("_f"), F.col("simple_name").alias("_n"), F.concat(F.lit("module:"), "module").alias("ancestor"), "imported_name")
     from_import = want.filter(bare).join(imports, (want.file_path == F.col("_f")) & (want.name == F.col("_n"))).drop("_f", "_n").withColumn("member", F.col("imported_name")).drop("imported_name").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(60)).withColumn("way", F.lit("imported function"))
-    from_import = from_import.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    from_import = from_import.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", "types", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     star = _rows(parsed, "imports").filter("simple_name = '*'").select(F.col("file_path").alias("_f"), F.concat(F.lit("module:"), "module").alias("ancestor")).distinct()
     from_star = want.filter(bare).join(star, want.file_path == F.col("_f")).drop("_f").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(70)).withColumn("way", F.lit("imported function"))
-    from_star = from_star.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    from_star = from_star.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", "types", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     modules = _rows(parsed, "imports").select(F.col("file_path").alias("_f"), F.col("simple_name").alias("_n"), F.concat(F.lit("module:"), "fqn").alias("ancestor"))
     by_module = want.filter(F.col("receiver").isNotNull() & F.col("named").isNull()).join(modules, (want.file_path == F.col("_f")) & (want.receiver == F.col("_n"))).drop("_f", "_n").withColumn("type", F.col("ancestor")).withColumn("depth", F.lit(0)).withColumn("way", F.lit("module"))
-    by_module = by_module.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", F.col("ordinal").alias("decl")), ["ancestor", "member"])
+    by_module = by_module.join(m.select("mid", F.col("type_id").alias("ancestor"), F.col("name").alias("member"), "arity", "optional", "variadic", "types", F.col("ordinal").alias("decl")), ["ancestor", "member"])
     found = hit.unionByName(outer).unionByName(from_import).unionByName(from_star).unionByName(by_module)
     fit = F.when((F.col("arity") == F.col("n_args")) & ~F.col("variadic"), 0).when(F.col("variadic") & (F.col("n_args") >= F.col("arity") - 1), 1).when((F.col("n_args") < F.col("arity")) & (F.col("n_args") >= F.col("arity") - F.col("optional")), 1).when(F.col("arity") > F.col("n_args"), 3).otherwise(4)
-    found = found.withColumn("rank", F.struct("depth", fit.alias("fit"))).withColumn("cand", F.struct("depth", fit.alias("fit"), "decl", "mid", "way"))
+    found = found.withColumn("cand", F.struct("depth", fit.alias("fit"), (-overload_score(F.col("types"), F.col("hints"))).alias("unlike"), "decl", "mid", "way"))
     best = found.groupBy(*site).agg(F.sort_array(F.collect_list("cand")).alias("c"))
-    best = best.select(*site, F.col("c")[0].alias("b"), F.transform(F.filter("c", lambda x: (x["depth"] == F.col("c")[0]["depth"]) & (x["fit"] == F.col("c")[0]["fit"])), lambda x: x["mid"]).alias("ties"))
+    best = best.select(*site, F.col("c")[0].alias("b"), F.transform(F.filter("c", lambda x: (x["depth"] == F.col("c")[0]["depth"]) & (x["fit"] == F.col("c")[0]["fit"]) & (x["unlike"] == F.col("c")[0]["unlike"])), lambda x: x["mid"]).alias("ties"))
     table = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
     base = F.element_at(table, F.col("b.way")) * F.when((F.col("b.depth") > 0) & (F.col("b.depth") < 50), INHERITED).otherwise(1.0)
     tied = F.size("ties") > 1
@@ -189,8 +220,10 @@ def wiring(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     builtin = c("type").isin(*BUILTIN_TYPES) | c("type").rlike(r"[{}()=>]")
     inj = resolve_types(_rows(parsed, "injections").filter("type IS NOT NULL").filter(~builtin), parsed, "type", "provider")
     fn = m.filter(c("type_id").startswith("module:")).groupBy(c("mname")).agg(F.min("mid").alias("function"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    inj = inj.join(fn, inj.type == c("mname"), "left").withColumn("target", F.coalesce("provider", "function", F.concat(F.lit("__inject__:"), "type")))
-    sure = F.when(c("provider").isNotNull(), INJECT_UNIQUE).when(c("function").isNotNull(), INJECT_PROVIDER).otherwise(INJECT_NONE)
+    out = _rows(parsed, "imports").join(known, c("module") == c("_m"), "left_anti").groupBy(c("file_path").alias("_f"), c("simple_name").alias("_n")).agg(F.min("module").alias("_from"))
+    inj = inj.join(fn, inj.type == c("mname"), "left").join(out, (inj.file_path == c("_f")) & (inj.type == c("_n")), "left")
+    inj = inj.withColumn("target", F.coalesce("provider", "function", F.concat(F.lit("ext:"), external_package_of(c("_from"))), F.concat(F.lit("__inject__:"), "type")))
+    sure = F.when(c("provider").isNotNull(), INJECT_UNIQUE).when(c("function").isNotNull(), INJECT_PROVIDER).when(c("_from").isNotNull(), INJECT_EXTERNAL).otherwise(INJECT_NONE)
     edges = edges.union(edges_frame(inj, source=c("owner_id"), target=c("target"), kind=F.lit("INJECTS"), line=c("line"), confidence=sure, framework=c("framework"), resolved=sure > 0))
     nodes = nodes.union(nodes_frame(inj.filter(c("target").startswith("__inject__:")).select("target").distinct(), id=c("target"), kind=F.lit("unknown_symbol"), qualified_name=c("target"), name=c("target")))
     ref = resolve_types(_rows(parsed, "reflections").filter("target IS NOT NULL AND owner_id IS NOT NULL"), parsed, "target", "found")
@@ -199,9 +232,18 @@ def wiring(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = edges.union(edges_frame(ref, source=c("owner_id"), target=c("to"), kind=F.lit("REFLECTS"), line=c("line"), confidence=sure, resolved=sure > 0))
     nodes = nodes.union(nodes_frame(ref.filter(c("to").startswith("__reflect__:")).select("to").distinct(), id=c("to"), kind=F.lit("unknown_symbol"), qualified_name=c("to"), name=c("to")))
     r = _rows(parsed, "routes")
-    ids = r.join(m.select("mid"), r.handler == c("mid")).select("file_path", "module_id", "handler", "mid", "http_method", "path", "line", "framework", F.lit(1.0).alias("confidence"))
-    named = r.join(m.select("mid"), r.handler == c("mid"), "left_anti").join(m, (r.handler == c("mname")) & (r.file_path == c("mfile"))).select("file_path", r.module_id, "handler", "mid", "http_method", "path", "line", "framework", F.lit(1.0).alias("confidence"))
-    hit = ids.union(named)
+    site = ["file_path", "module_id", "handler", "http_method", "path", "line", "framework"]
+    there = [*(r[x] for x in site), c("mid")]
+    tier = lambda df, n, sure: df.select(*there, F.lit(n).alias("tier"), F.lit(sure).alias("sure"))
+    by_id = tier(r.join(m.select("mid"), r.handler == c("mid")), 0, ROUTE_DIRECT)
+    in_module = tier(r.join(m, (r.handler == c("mname")) & (c("type_id") == F.concat(F.lit("module:"), r.module_id))), 1, ROUTE_DIRECT)
+    in_file = tier(r.join(m, (r.handler == c("mname")) & (r.file_path == c("mfile"))), 2, ROUTE_DIRECT)
+    named = _rows(parsed, "imports").filter("imported_name IS NOT NULL").select(c("file_path").alias("_f"), c("simple_name").alias("_n"), F.concat(F.lit("module:"), "module").alias("_owner"), c("imported_name").alias("_is"))
+    imported = tier(r.join(named, (r.file_path == c("_f")) & (r.handler == c("_n"))).join(m, (c("type_id") == c("_owner")) & (c("mname") == c("_is"))), 3, ROUTE_SCOPED)
+    found = by_id.union(in_module).union(in_file).union(imported).distinct()
+    best = found.groupBy(*site).agg(F.min("tier").alias("best"))
+    ranked = found.join(best.select(*[c(x).alias(f"_{x}") for x in site], "best"), F.expr(" AND ".join(f"{x} <=> _{x}" for x in site))).filter("tier = best")
+    hit = ranked.groupBy(*site).agg(F.min("mid").alias("mid"), F.min("sure").alias("sure"), F.count(F.lit(1)).alias("n")).withColumn("confidence", F.when(c("n") > 1, F.least(c("sure"), F.lit(ROUTE_AMBIGUOUS))).otherwise(c("sure")))
     source = F.when(F.col("file_path").endswith(".java"), F.col("file_path")).otherwise(F.concat(F.lit("module:"), "module_id"))
     edges = edges.union(edges_frame(hit, source=source, target=c("mid"), kind=F.lit("ROUTES"), line=c("line"), confidence=c("confidence"), http_method=c("http_method"), path=c("path"), framework=c("framework")))
     return nodes, edges

@@ -23,6 +23,7 @@ public class Checkout {
   public void checkout(int n) { if (n > 0) { payment.pay(n); } events.publishEvent(new OrderPlaced(n)); }
   void render(int a) {} void render(String b) {}
   void both() { render(1); new Receipt(); }
+  void either(Object x) { render(x); } void text() { render("s"); } void wide() { size(2); } void size(String s) {} void size(long n) {}
 }
 class Receipt {}
 class OrderPlaced { OrderPlaced(int n) {} }
@@ -134,7 +135,10 @@ def test_java_calls(graph):
     assert ("com.acme.CardPayment#pay", "com.acme.CardPayment#log") in calls
     assert calls["com.acme.Checkout#both", "com.acme.Receipt#<init>"].confidence == 0.9
     render = calls["com.acme.Checkout#both", "com.acme.Checkout#render"]
-    assert render.confidence == 0.6 and render.alternatives == ["com.acme.Checkout#render(String)"]
+    assert render.confidence == 0.95 and render.alternatives is None  # a whole number tells render(int)
+    either = calls["com.acme.Checkout#either", "com.acme.Checkout#render"]
+    assert either.confidence == 0.6 and either.alternatives == ["com.acme.Checkout#render(String)"]
+    assert ("com.acme.Checkout#text", "com.acme.Checkout#render(String)") in calls and ("com.acme.Checkout#wide", "com.acme.Checkout#size(long)") in calls
     unknown = calls["com.acme.UpiPayment#pay", "__unknown__:System.out.println"]
     assert not unknown.resolved and unknown.confidence == 0 and unknown.reason
     assert ("com.acme.OrderController#place", "com.acme.Checkout#checkout") in calls

@@ -108,3 +108,20 @@ def test_reports_list_what_they_count(spark):
     assert {r.id for r in call(g, "impact_analysis", symbol="I#m", details=True)["rows"].collect()} == {i for _, i, _ in got}
     total = impact.change_totals(impact.change_impact(g, ["I#m", "X#a"]), g, files=["x", "gone.py"]).first()
     assert (total.symbols, total.callers, total.files, total.entry_points, total.unmatched) == (2, 1, 2, 1, ["gone.py"])
+
+
+def test_route_handlers_and_injections_by_tier(spark, tmp_path):
+    root = tmp_path / "t"
+    for name, text in {
+        "web/h.ts": "export function list(req, res) { res.send(1); }\n",
+        "web/app.ts": "import express from 'express';\nimport { list } from './h';\nconst app = express();\napp.get('/list', list);\napp.get('/own', own);\nfunction own() {}\napp.get('/two', two);\nclass A { two() {} }\nclass B { two() {} }\n",
+        "api.py": "from fastapi import Depends\nfrom outside.db import Session\n\ndef run(s=Depends(Session), n=Depends(int)):\n    return s\n",
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    s = Store(spark, str(tmp_path / "s"))
+    s.crawl_project(str(root))
+    g = s.graph()
+    routes = {r.path: (r.target, r.confidence) for r in g.edges_of("ROUTES").collect()}
+    assert routes == {"/list": ("module:web.h#list", 0.85), "/own": ("module:web.app#own", 1.0), "/two": ("web.app.A#two", 0.6)}
+    assert {(r.source, r.target, r.confidence) for r in g.edges_of("INJECTS").collect()} == {("module:api#run", "ext:outside", 0.8)}
