@@ -174,8 +174,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     without words among themselves). Every row is a document of its own, whatever its doc_id, a null one counting as the
     largest; of rows that repeat doc_id and text one stays.
     """
-    doc, c1, c2, t = unused(docs, "doc", "c1", "c2", "t")
-    key = [c1, c2, doc, t]
+    doc, t, odd_doc, odd_t, goes = unused(docs, "doc", "t", "odd_doc", "odd_t", "goes")
     text = text_column(docs)
     order = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
 
@@ -208,8 +207,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = rows.groupBy("c1", "c2", "doc", "t").agg(F.count(F.lit(1)).alias("n")).join(named, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")))
     odd = stored(judged.withColumn("goes", ~F.col("mine") | (F.struct("doc", "t") != F.col("stays"))).filter("goes or n > 1").select("doc", "t", "goes"))
     # equal doc_id and equal text hash are equal rows to the decision
-    odd = small(odd.groupBy(F.col("doc").alias("odd_doc"), F.col("t").alias("odd_t")).agg(F.min("goes").alias("odd_goes")), odd.count())
+    odd = small(odd.groupBy(F.col("doc").alias(odd_doc), F.col("t").alias(odd_t)).agg(F.min("goes").alias(goes)), odd.count())
     keyed = docs.withColumn(doc, order).withColumn(t, F.xxhash64(text))
-    told = keyed.join(odd, (keyed[doc] == odd["odd_doc"]) & (keyed[t] == odd["odd_t"]), "left")
-    once = told.filter("odd_goes is null").select(*docs.columns)
-    return once.unionByName(told.filter("not odd_goes").dropDuplicates([doc, t]).select(*docs.columns))
+    told = keyed.join(odd, (keyed[doc] == odd[odd_doc]) & (keyed[t] == odd[odd_t]), "left")
+    once = told.filter(told[goes].isNull()).select(*docs.columns)
+    return once.unionByName(told.filter(~told[goes]).dropDuplicates([doc, t]).select(*docs.columns))

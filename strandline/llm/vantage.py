@@ -12,6 +12,9 @@ fingerprints agree in it, is split by the other groups, among which the same hol
 A shard tells for each fingerprint the first of its cluster only, never all pairs; in a dense leaf those near a few
 pivots are linked first, and only pairs that are not yet linked are compared. The upper tree is made on the driver from a
 bounded sample (SAMPLE); all fingerprints pass through it.
+
+Nodes are (id, fp) without nulls, one row an id; equal fingerprints are at distance zero and linked; an empty table
+gives no links; columns besides those named are ignored.
 """
 
 from __future__ import annotations
