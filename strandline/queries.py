@@ -289,6 +289,7 @@ def _methods(g: GraphSession) -> DataFrame:
 _register("external_package_of", lambda g: g.nodes.filter("kind = 'external_symbol'").select("id", derive.external_package_of(F.col("qualified_name")).alias("package")), "SELECT id, split_part(split_part(qualified_name, '/', 1), '.', 1) AS package FROM nodes WHERE kind = 'external_symbol'")
 _register("edge_kind_policy", lambda g: g.edges_of(*walk.edge_kind_policy(False, True, True)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM edges WHERE kind IN ('CALLS', 'ADVISES', 'EMITS') GROUP BY kind")
 _register("stale_files", lambda g: derive.stale_files(g.nodes.select(F.col("file_path").alias("path")), g.nodes.filter("kind = 'class'").select(F.col("file_path").alias("path"))), "SELECT DISTINCT file_path AS path FROM nodes WHERE file_path IS NOT NULL EXCEPT SELECT file_path FROM nodes WHERE kind = 'class'")
+_register("keep_first", lambda g: rel.keep_first(g.edges.select("source", "kind", "target"), ["source", "kind"], ["target"]), "SELECT source, kind, min(target) AS target FROM edges GROUP BY source, kind")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -184,7 +184,7 @@ def crawl(spark: SparkSession, root: str, manifest: DataFrame | None = None, opt
     """The new manifest with a column status: unchanged, touched (same contents), updated, added, too-large.
 
     Files of the same size and time keep their parse unread; the rest are read, and those with the same hash keep it as well.
-    Files that the manifest has and the disk has not are left out (see removed()).
+    Files that the manifest has and the disk has not are left out.
     """
     found = discover(spark, root, options)
     small = found.filter(F.col("size") <= options.max_file_bytes)
@@ -203,19 +203,7 @@ def crawl(spark: SparkSession, root: str, manifest: DataFrame | None = None, opt
     return kept.union(touched).union(parsed.select(*names, "status")).union(large.select(*names, "status"))
 
 
-def removed(manifest: DataFrame, present: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
-    """(path) that went away; a crawl of some languages or files never prunes."""
-    gone = manifest.select("path").join(present.select("path"), "path", "left_anti")
-    return gone.limit(0) if options.language or options.include else gone
-
-
 def parsed_files(manifest: DataFrame) -> DataFrame:
     """(file_path, language, and the parse as columns)."""
     p = manifest.filter("parsed IS NOT NULL").select(F.col("path").alias("file_path"), "language", F.from_json("parsed", PARSED).alias("p"))
     return p.select("file_path", "language", "p.*")
-
-
-def summary(manifest: DataFrame) -> dict:
-    """Counts of a crawl by status, and of files that failed to parse."""
-    row = manifest.agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("failed"), *[F.count(F.when(F.col("status") == s, 1)).alias(s.replace("-", "_")) for s in ("added", "updated", "touched", "unchanged", "too-large")]).first()
-    return row.asDict() | {"options": asdict(CrawlOptions())["max_file_bytes"]}
