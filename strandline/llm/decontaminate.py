@@ -119,31 +119,29 @@ class Benchmark:
             self.marks[w][known >> np.uint64(44)] = True
         self.prints, self.index = zip(*(self._indexed(weight) for weight in (self.weight, dict.fromkeys(self.weight, 1.0))))
 
-    def _indexed(self, weight: dict[int, float]) -> tuple[np.ndarray, list[dict[int, np.ndarray]]]:
-        """The items' fingerprints, and for each block of bits the items by value."""
+    def _indexed(self, weight: dict[int, float]) -> tuple[np.ndarray, dict[tuple[int, int, int, int], np.ndarray]]:
+        """The items' fingerprints, and the items by (words, width, block of bits, value of the block): windows only meet items of their own length."""
         votes = [sum(n * weight[h] * bits_of(np.array([h], np.uint64))[0] for h, n in count.items()) for count in self.counts]
         prints = packed_bits(np.array(votes)) if votes else np.zeros(0, np.uint64)
         size, near = 64 // BLOCKS, RADIUS // BLOCKS
         flips = [sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(size), r)]
-        #: index[block][value]: items whose block is within the share of the radius of that value
-        index = [defaultdict(list) for _ in range(BLOCKS)]
+        # an item stands under every value that its block is within the share of the radius of
+        index: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
         for i, f in enumerate(prints.tolist()):
             for b in range(BLOCKS):
                 for x in flips:
-                    index[b][(f >> (b * size)) & ((1 << size) - 1) ^ x].append(i)
-        return prints, [{v: np.array(i) for v, i in block.items()} for block in index]
+                    index[self.length[i], self.width[i], b, (f >> (b * size)) & ((1 << size) - 1) ^ x].append(i)
+        return prints, {k: np.array(i, np.int32) for k, i in index.items()}
 
-    def near(self, kind: int, prints: np.ndarray, fits: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) with fingerprints of the kind (0 weighted, 1 all alike) within RADIUS, of the items that fit."""
+    def near(self, kind: int, prints: np.ndarray, n: int, width: int) -> Iterator[tuple[int, int]]:
+        """(window, item) with fingerprints of the kind (0 weighted, 1 all alike) within RADIUS, of the items of n words."""
         size = 64 // BLOCKS
         for k, f in enumerate(prints.tolist()):
-            found: set[int] = set()
-            for b in range(BLOCKS):
-                got = self.index[kind][b].get((f >> (b * size)) & ((1 << size) - 1))
-                if got is not None:
-                    found.update(got[fits[got]].tolist())
-            for i in sorted(found):
-                if int(self.prints[kind][i] ^ prints[k]).bit_count() <= RADIUS:
+            got = [self.index[kind].get((n, width, b, (f >> (b * size)) & ((1 << size) - 1))) for b in range(BLOCKS)]
+            got = [x for x in got if x is not None]
+            if got:
+                found = np.unique(np.concatenate(got))
+                for i in found[np.bitwise_count(self.prints[kind][found] ^ prints[k]) <= RADIUS].tolist():
                     yield k, i
 
     def similarity(self, window: np.ndarray, item: int) -> float:
@@ -175,7 +173,6 @@ class Benchmark:
                     lengths[n].update(range(max(0, p - m + 1), min(p, max(0, len(h) - m)) + 1))
             for n, starts in lengths.items():
                 m, at = min(n - width + 1, len(h)), np.array(sorted(starts))
-                fits = np.array([a == n and b == width for a, b in zip(self.length, self.width)])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     for lo in range(0, len(run), 4096):
                         part = run[lo : lo + 4096]
@@ -185,7 +182,7 @@ class Benchmark:
                         near: set[tuple[int, int]] = set()
                         for kind, votes in enumerate((bits * weight[:, None], bits)):
                             total = np.concatenate([np.zeros((1, 64)), np.cumsum(votes, 0)])
-                            near.update(self.near(kind, packed_bits(total[m:] - total[:-m]), fits))
+                            near.update(self.near(kind, packed_bits(total[m:] - total[:-m]), n, width))
                         for k, i in sorted(near):
                             s = self.similarity(mine[k : k + m], i)
                             if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:

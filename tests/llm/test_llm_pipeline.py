@@ -7,7 +7,7 @@ from test_llm_operators import brute_lines, brute_targets
 from test_similar import brute_kept
 
 import corpus_pipeline
-from strandline.llm import decontaminate, lines, quality
+from strandline.llm import decontaminate, quality
 from strandline.llm.common import table
 
 
