@@ -36,6 +36,8 @@ BRUTE = 256
 WIDE = 4096
 LOOSE = 1 << 16
 PIVOTS = 8
+#: A split must leave less than this share of the pairs, so that splitting on never costs more than comparing all.
+FEWER = 0.95
 
 
 @dataclass(frozen=True)
@@ -78,12 +80,13 @@ def groups_of(words: int, count: int) -> tuple[tuple[int, int], ...]:
 
 
 def split(space: Space, fps: np.ndarray, group: int, inner: int, vantage: np.ndarray) -> tuple[int, np.ndarray] | None:
-    """The threshold with the smallest larger side, and all distances; None if nothing is gained."""
+    """The threshold whose sides have the fewest pairs together, and all distances; None if these are hardly fewer than before."""
     d = space.apart(fps, group, vantage)
-    below = np.cumsum(np.bincount(d, minlength=65))
-    worst = [max(below[t], below[-1] - (below[t - inner] if t >= inner else 0)) for t in range(65)]
-    t = int(np.argmin(worst))
-    return (t, d) if worst[t] < 0.9 * len(fps) else None
+    below = np.cumsum(np.bincount(d, minlength=65)).astype(float)
+    near, far = below, below[-1] - np.concatenate([np.zeros(inner), below[: len(below) - inner]])
+    pairs = near**2 + far**2
+    t = int(np.argmin(pairs))
+    return (t, d) if pairs[t] < FEWER * below[-1] ** 2 else None
 
 
 def tried(space: Space, fps: np.ndarray, group: int, inner: int, rng: np.random.Generator) -> tuple[np.ndarray, int, np.ndarray] | None:
