@@ -77,7 +77,7 @@ def multipliers(counted: DataFrame, targets: DataFrame, sources: int) -> DataFra
         newton = F.col("at") + F.when(F.col("slope") > 0, (F.col("target") - F.col("words")) / F.col("slope"))
         inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high"))) & (F.abs(newton - F.col("at")) < 4 * (1 + F.abs("at")))
         halved = F.coalesce((F.col("low") + F.col("high")) / 2, 2 * F.greatest(F.col("low"), F.lit(0.0)) + 1, 2 * F.least(F.col("high"), F.lit(0.0)) - 1)
-        known = cut(known.withColumn("next", F.when(F.col("off") <= NEAR, F.col("at")).when(inside, newton).otherwise(halved)))
+        known = stored(known.withColumn("next", F.when(F.col("off") <= NEAR, F.col("at")).when(inside, newton).otherwise(halved)))
         free = known.select("place", "source", "target", "mean", F.col("next").alias("at"), "low", "high")
         if (known.agg(F.max("off")).first()[0] or 0.0) <= NEAR:
             break
