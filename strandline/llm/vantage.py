@@ -7,7 +7,9 @@ those farther to the outer, and those on the boundary, whose neighbours within `
 So all pairs that a group can vouch for meet in a shard, where the same splitting goes on in memory and the full
 distance decides: `radius` or less. Where radius // groups <= inner, no pair within the radius is lost (of `groups`
 shares of radius bits one has radius // groups at most). A leaf that its group cannot split any more, as too many
-fingerprints agree in it, is split by the other groups, among which the same holds for what is left of the radius.
+fingerprints agree in it, is then split by the other groups, among which the same holds for what is left of the radius.
+Elsewhere the other groups would lose pairs, and such a leaf is split by all bits, with the radius as the margin; which
+pairs are found depends on the two fingerprints alone, not on how many others there are.
 
 A shard tells for each fingerprint the first of its cluster only, never all pairs; in a dense leaf those near a few
 pivots are linked first, and only pairs that are not yet linked are compared. The upper tree is made on the driver from a
@@ -32,9 +34,8 @@ from strandline.llm.components import settled
 SHARD = 1 << 17
 SAMPLE = 20000
 BRUTE = 256
-#: A leaf that its group cannot split goes to the other groups from this size on (the second where the groups don't vouch for all pairs anyway).
+#: A leaf that its group cannot split is split by the other groups, or by all bits, from this size on; that loses no pair.
 WIDE = 4096
-LOOSE = 1 << 16
 PIVOTS = 8
 #: A split must leave less than this share of the pairs, so that splitting on never costs more than comparing all.
 FEWER = 0.95
@@ -54,8 +55,10 @@ class Space:
         """Whether the groups together vouch for all pairs within the radius."""
         return self.radius // len(self.groups) <= self.inner
 
-    def apart(self, fps: np.ndarray, group: int, vantage: np.ndarray) -> np.ndarray:
-        """Differing bits within a group."""
+    def apart(self, fps: np.ndarray, group: int | None, vantage: np.ndarray) -> np.ndarray:
+        """Differing bits within a group, or (None) within all words."""
+        if group is None:
+            return np.bitwise_count(fps ^ vantage).sum(1, dtype=np.int64)
         word, mask = self.groups[group]
         return np.bitwise_count((fps[:, word] ^ vantage[word]) & np.uint64(mask)).astype(np.int64)
 
@@ -79,17 +82,17 @@ def groups_of(words: int, count: int) -> tuple[tuple[int, int], ...]:
     return tuple((w, ((1 << b) - 1) ^ ((1 << a) - 1)) for w in range(words) for a, b in zip(edges, edges[1:]))
 
 
-def split(space: Space, fps: np.ndarray, group: int, inner: int, vantage: np.ndarray) -> tuple[int, np.ndarray] | None:
+def split(space: Space, fps: np.ndarray, group: int | None, inner: int, vantage: np.ndarray) -> tuple[int, np.ndarray] | None:
     """The threshold whose sides have the fewest pairs together, and all distances; None if these are hardly fewer than before."""
     d = space.apart(fps, group, vantage)
-    below = np.cumsum(np.bincount(d, minlength=65)).astype(float)
+    below = np.cumsum(np.bincount(d, minlength=max(64 * space.words, inner) + 1)).astype(float)
     near, far = below, below[-1] - np.concatenate([np.zeros(inner), below[: len(below) - inner]])
     pairs = near**2 + far**2
     t = int(np.argmin(pairs))
     return (t, d) if pairs[t] < FEWER * below[-1] ** 2 else None
 
 
-def tried(space: Space, fps: np.ndarray, group: int, inner: int, rng: np.random.Generator) -> tuple[np.ndarray, int, np.ndarray] | None:
+def tried(space: Space, fps: np.ndarray, group: int | None, inner: int, rng: np.random.Generator) -> tuple[np.ndarray, int, np.ndarray] | None:
     """(vantage, threshold, distances) of a split that gains, or None."""
     for at in rng.integers(len(fps), size=8).tolist():
         if found := split(space, fps, group, inner, fps[at]):
@@ -169,8 +172,11 @@ def leaves(space: Space, group: int, fps: np.ndarray, rng: np.random.Generator)
             _, t, d = found
             todo += [(part[d <= t], g, inner, others), (part[d > t - inner], g, inner, others)]
             continue
-        rest = space.radius // len(others) if space.exact and others else space.inner
-        if others and rest <= space.inner and len(part) >= (WIDE if space.exact else LOOSE):
+        if not space.exact and g is not None and len(part) >= WIDE:
+            todo.append((part, None, space.radius, ()))
+            continue
+        rest = space.radius // len(others) if others else 0
+        if space.exact and others and rest <= space.inner and len(part) >= WIDE:
             values = [len(np.unique(fps[part, space.groups[h][0]] & np.uint64(space.groups[h][1]))) for h in others]
             if min(values) >= len(part) // 16:  # the others tell them apart
                 todo += [(part, h, rest, tuple(x for x in others if x != h)) for h in others]
@@ -207,7 +213,8 @@ def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple
 def strangers(space: Space, group: int, fps: np.ndarray, root: np.ndarray, most: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
     """(a, b, distance) of one shard: for each a the `most` nearest b of another root, and the a that have more.
 
-    Pairs that an earlier group vouches for are left to it.
+    Pairs that an earlier group vouches for are left to it; so are, where the groups don't vouch for all pairs, those
+    that this group does not vouch for, which meet or not as the other fingerprints have it.
     Of two roots that meet in a leaf the one with fewer fingerprints there asks (ties: the larger root).
     """
     none = np.zeros(0, np.int64)
@@ -220,6 +227,10 @@ def strangers(space: Space, group: int, fps: np.ndarray, root: np.ndarray, most:
             i += at
             asks = (kind[i] != kind[j]) & ((size[kind[i]] < size[kind[j]]) | (size[kind[i]] == size[kind[j]]) & (kind[i] > kind[j]))
             i, j, near = part[i[asks]], part[j[asks]], near[asks]
+            if not space.exact:
+                word, mask = space.groups[group]
+                own = np.bitwise_count((fps[i, word] ^ fps[j, word]) & np.uint64(mask)) <= space.inner
+                i, j, near = i[own], j[own], near[own]
             for earlier in range(group):  # a pair that an earlier group vouches for meets there as well
                 word, mask = space.groups[earlier]
                 own = np.bitwise_count((fps[i, word] ^ fps[j, word]) & np.uint64(mask)) > space.inner

@@ -97,3 +97,23 @@ def test_dense_leaves_and_other_groups_lose_no_link(monkeypatch, words):
     labels = [vantage.cluster(space, g, fps, rng) for g in range(len(space.groups))]
     every = vantage.settled(600, np.concatenate([np.arange(600)] * len(labels)), np.concatenate(labels))
     assert (every == vantage.settled(600, a, b)).all() and len(np.unique(every)) < 500
+
+
+def test_a_pair_is_found_by_itself_whatever_the_size_of_its_leaf():
+    """70000 fingerprints that agree in the first group: a pair that no other group vouches for meets all the same, and one that none vouches for meets nowhere."""
+    rng = np.random.default_rng(8)
+    space, n = simhash.WIDE, 70000
+    fps = rng.integers(0, 1 << 64, (n, simhash.WORDS), dtype=np.uint64)
+    word, mask = space.groups[0]
+    fps[:, word] &= ~np.uint64(mask)
+    fps[1] = fps[0]
+    for w, m in space.groups[1:]:
+        bit = np.uint64(m & -m)
+        fps[1, w] ^= bit | bit << np.uint64(1)
+    assert np.bitwise_count(fps[0] ^ fps[1]).sum() <= space.radius
+    met = [set(part[part < 2].tolist()) for part in vantage.leaves(space, 0, fps, rng)]
+    assert {0, 1} in met
+    few = fps[:2].copy()
+    assert len(vantage.strangers(space, 0, few, np.arange(2), 5, rng)[0]) == 1
+    few[1, word] ^= np.uint64(mask & -mask) * np.uint64(3)
+    assert [len(vantage.strangers(space, g, few, np.arange(2), 5, rng)[0]) for g in range(len(space.groups))] == [0] * len(space.groups)
