@@ -17,7 +17,9 @@ A byte goes if some string of WINDOW bytes that covers it also starts in a docum
 
 An anchor that more than HOT documents have is hot: its windows travel one by one, each to the part that its own
 bytes name, so that a passage in a third of all documents, with other text around it everywhere, spreads over all
-parts. A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
+parts. Equal texts are dealt to one shard, which holds them as one document of their least doc_id: the others go whole,
+and what they repeat is told by that one, so that copies cost no more than their way to the shard. Those that a task
+meets beside a smaller doc_id are decided there, and do not gather in that shard. A part larger than PART_BYTES is worked on in pieces, by further bits of the anchors' hashes. Long documents are
 worked on in blocks of windows. Null texts are empty; a null doc_id counts as the largest number; repeated rows
 of one doc_id never delete from each other; texts shorter than WINDOW stay whole; extra columns are ignored.
 """
@@ -190,7 +192,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, parts = (-(-total // grown(size, total)) + 1 for size in (SHARD_BYTES, PART_BYTES))
-    plain = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    plain = plain.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
+    many = grown(HOT, total)  # a part may be larger by as much
 
     def anchors(group: pa.Table) -> pa.Table:
         """Distinct anchors of one shard by part, five bytes each, and how many documents hold each."""
@@ -211,7 +214,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         s = np.repeat(np.array(group.column("shard").to_pylist(), np.int32), [len(x) for x in each])
         known, which = np.unique(h, return_inverse=True)
         count = np.bincount(which, n)
-        hot = known[count > HOT] | part
+        hot = known[count > many] | part
         both = count[which] > 1
         h, s = h[both] | part, s[both]
         by = np.lexsort((h, s))
@@ -220,40 +223,54 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"shard": pa.array(who, pa.int32()), "h": pa.array([x.tobytes() for x in each], pa.binary()), "hot": pa.array([np.intersect1d(x, hot).tobytes() for x in each], pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents by shard, compressed: ids, lengths and texts."""
-        held: dict[int, list[tuple[int, bool, bytes]]] = {}
+        """Documents by shard, compressed: each text once, with the ids that have it, and ids and lengths of copies that are decided here."""
+        held: dict[tuple[int, bytes], list[tuple[int, bool]]] = {}
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal count
-            for s, docs in held.items():
-                cells = {"shard": [s], "ids": [to_bytes(np.array([d for d, _, _ in docs], np.int64))], "named": [to_bytes(np.array([x for _, x, _ in docs], bool))], "lengths": [to_bytes(np.array([len(t) for _, _, t in docs], np.int64))], "texts": [squeezed(b"".join(t for _, _, t in docs))]}
-                yield pa.RecordBatch.from_pydict(cells, boxed)
+            docs: dict[int, list[tuple[bytes, list[tuple[int, bool]]]]] = {}
+            gone: dict[int, list[tuple[int, bool, int]]] = {}
+            for (s, t), who in held.items():
+                least = min(who)[0]
+                docs.setdefault(s, []).append((t, who if len(t) < WINDOW else [w for w in who if w[0] == least]))
+                for d, x in who if len(t) >= WINDOW else []:
+                    if d > least:
+                        gone.setdefault(d % shards, []).append((d, x, len(t)))
+            for s in sorted(docs.keys() | gone.keys()):
+                texts, copies = docs.get(s, []), gone.get(s, [])
+                rows = [w for _, who in texts for w in who]
+                cells = {"ids": np.array([d for d, _ in rows], np.int64), "named": np.array([x for _, x in rows], bool), "many": np.array([len(who) for _, who in texts], np.int64), "lengths": np.array([len(t) for t, _ in texts], np.int64)}
+                cells |= {"gone": np.array([d for d, _, _ in copies], np.int64), "gone_named": np.array([x for _, x, _ in copies], bool), "gone_lengths": np.array([n for _, _, n in copies], np.int64)}
+                yield pa.RecordBatch.from_pydict({"shard": [s], **{c: [to_bytes(x)] for c, x in cells.items()}, "texts": [squeezed(b"".join(t for t, _ in texts))]}, boxed)
             held.clear()
             count = 0
 
         for piece in slices(batches):
-            ids = piece.column("doc_id").to_pylist()
-            for d, s, t in zip(ids, piece.column("shard").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
-                held.setdefault(s, []).append((LAST if d is None else d, d is not None, t))
-                count += len(t)
+            ids = [(LAST, False) if d is None else (d, True) for d in piece.column("doc_id").to_pylist()]
+            for w, s, t in zip(ids, piece.column("shard").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
+                who = held.setdefault((s if len(t) >= WINDOW else w[0] % shards, t), [])
+                count += 0 if who else len(t)
+                count += 16
+                who.append(w)
             if count >= 16 << 20:
                 yield from flush()
         yield from flush()
 
-    def unpacked(group: pa.Table) -> tuple[np.ndarray, list[bytes], list[bool]]:
-        """Ids and texts in order, and which have an id."""
-        rows = []
-        for ids, named, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "named", "lengths", "texts"))):
-            blob, at = unsqueezed(texts), 0
-            for d, x, n in zip(*(from_bytes(c, t).tolist() for c, t in ((ids, np.int64), (named, bool), (lengths, np.int64)))):
-                rows.append((d, blob[at : at + n], x))
-                at += n
-        rows.sort()
-        return np.array([d for d, _, _ in rows], np.int64), [t for _, t, _ in rows], [x for _, _, x in rows]
+    def unpacked(group: pa.Table) -> tuple[np.ndarray, list[bytes], list[list[tuple[int, bool]]]]:
+        """The shard's texts by their least ids, and the rows (id, whether it has one) of each."""
+        rows: dict[bytes, list[tuple[int, bool]]] = {}
+        for ids, named, many, lengths, texts in zip(*(group.column(c).to_pylist() for c in ("ids", "named", "many", "lengths", "texts"))):
+            blob, at, i = unsqueezed(texts), 0, 0
+            who = list(zip(from_bytes(ids, np.int64).tolist(), from_bytes(named, bool).tolist()))
+            for k, n in zip(from_bytes(many, np.int64).tolist(), from_bytes(lengths, np.int64).tolist()):
+                rows.setdefault(blob[at : at + n], []).extend(who[i : i + k])
+                at, i = at + n, i + k
+        by = sorted((min(who)[0], t) for t, who in rows.items())
+        return np.array([d for d, _ in by], np.int64), [t for _, t in by], [rows[t] for _, t in by]
 
     told = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
-    boxed = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("ids", "named", "lengths", "texts")]])
+    boxed = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("ids", "named", "many", "lengths", "gone", "gone_named", "gone_lengths", "texts")]])
     sent = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("runs", "length", "anchor", "doc", "at", "row", "start")]])
     back = pa.schema([("shard", pa.int32()), ("cut", pa.binary())])
 
@@ -370,24 +387,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return _table([{"shard": k, "cut": to_bytes(np.concatenate(x).T)} for k, x in found.items()], back)
 
     def finish(group: pa.Table, cuts: pa.Table) -> pa.Table:
+        nothing = hashlib.sha256(b"").hexdigest()
         cut = np.concatenate([from_bytes(x, np.int32).reshape(3, -1).T for x in cuts.column("cut").to_pylist()] or [np.zeros((0, 3), np.int32)])
         cut = cut[np.argsort(cut[:, 0], kind="stable")]
-        doc, text, named = unpacked(group)
+        doc, text, rows = unpacked(group)
         lows = np.searchsorted(cut[:, 0], np.arange(len(text) + 1))
         out = []
         for i, (d, t) in enumerate(zip(doc.tolist(), text)):
             part = cut[lows[i] : lows[i + 1]]
-            if not len(part):
-                out.append((d, len(t), 0, 0, hashlib.sha256(t).hexdigest()))
-                continue
-            edge = np.zeros(len(t) + 1, np.int32)
-            np.add.at(edge, part[:, 1], 1)
-            np.add.at(edge, part[:, 1] + part[:, 2], -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
-            out.append((d, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+            if len(part):
+                edge = np.zeros(len(t) + 1, np.int32)
+                np.add.at(edge, part[:, 1], 1)
+                np.add.at(edge, part[:, 1] + part[:, 2], -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
+                found = (len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+            else:
+                found = (len(t), 0, 0, hashlib.sha256(t).hexdigest())
+            out += [((x if named else None), *(found if x == d or len(t) < WINDOW else (len(t), len(t), 1, nothing))) for x, named in rows[i]]
+        for ids, named, lengths in zip(*(group.column(c).to_pylist() for c in ("gone", "gone_named", "gone_lengths"))):
+            out += [(x if has else None, n, n, 1, nothing) for x, has, n in zip(*(from_bytes(c, t).tolist() for c, t in ((ids, np.int64), (named, bool), (lengths, np.int64))))]
         names, types = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [pa.int64()] * 4 + [pa.string()]
-        columns = list(zip(*[(r[0] if x else None, *r[1:]) for r, x in zip(out, named)])) or [()] * 5
+        columns = list(zip(*out)) or [()] * 5
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types)})
 
     def sql(schema: pa.Schema) -> str:

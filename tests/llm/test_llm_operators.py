@@ -99,6 +99,20 @@ def test_suffix_dedup_of_the_table(big, monkeypatch, hot):
     assert sorted(tuple(r) for r in suffixes.remove_repeats(big).collect()) == sorted(brute_suffixes(texts_of(big)))
 
 
+def test_suffix_dedup_holds_equal_texts_once(spark, monkeypatch):
+    """Copies meet in one shard, whatever their ids; later ones go whole, those of the least id share its result."""
+    for name in ("SHARD_BYTES", "PART_BYTES"):
+        monkeypatch.setattr(suffixes, name, 500)
+    texts = [" ".join(f"{w}{i * (k % 3)}" for i in range(30)) for k, w in enumerate(("ab", "cd", "ef", "ab", "gh"))] + ["short", "", "x" * 49, "y" * 50]
+    rows = [(c * 7 % 5 * 100 + i, t) for c in range(5) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[2]), (7, "short"), (9, texts[4] + " tail")]
+    d = spark.createDataFrame(rows + [(None, t) for t in texts[:7]], "doc_id long, text string").repartition(4)
+    last = 1 << 62
+    want = [(None if r[0] == last else r[0], *r[1:]) for r in brute_suffixes(sorted(rows + [(last, t) for t in texts[:7]]))]
+    found = suffixes.remove_repeats(d)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert not re.search(r"xxhash64\([^()]*doc_id", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 # -- sentence spans
 
 def brute_spans(rows):
