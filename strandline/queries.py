@@ -97,7 +97,7 @@ _register("subtypes_of", lambda g: walk.subtypes_of(g, "region:2"), _closure("re
 _register(
     "find_inherited",
     lambda g: walk.find_inherited(g, "customer:7", "NATION_17"),
-    _closure("customer:7", 10, _steps("('EXTENDS', 'IMPLEMENTS')", "out")) + "SELECT m.id AS member, b.id AS owner, b.depth FROM best b JOIN edges c ON c.source = b.id AND c.kind = 'CONTAINS' JOIN nodes m ON m.id = c.target WHERE m.name = 'NATION_17' ORDER BY b.depth, b.id, m.id LIMIT 1",
+    _closure("customer:7", 10, _steps("('EXTENDS', 'IMPLEMENTS')", "out")) + "SELECT m.id AS member, b.id AS owner, b.depth FROM best b JOIN edges c ON c.source = b.id AND c.kind = 'CONTAINS' JOIN nodes m ON m.id = c.target WHERE m.name = 'NATION_17' QUALIFY rank() OVER (ORDER BY b.depth, b.id) = 1 ORDER BY b.depth, b.id, m.id",
 )
 _register(
     "trace_path",

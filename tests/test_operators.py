@@ -46,6 +46,16 @@ def test_a_closure_on_a_cycle_ends_and_leaves_the_start_out(spark):
     assert sorted(pairs(walk.get_callees_direct(g, "a"), "id")) == [("a",), ("b",)]
 
 
+def test_inherited_overloads_all_come_from_the_nearest_ancestor(spark):
+    """Near holds two overloads; Next, as near, and Far, above both, hold more of that name."""
+    e = [("Leaf", "Next", "IMPLEMENTS"), ("Leaf", "Near", "EXTENDS"), ("Near", "Far", "EXTENDS"), ("Leaf", "Empty", "IMPLEMENTS")]
+    e += [(t, f"{t}{n}#run", "CONTAINS") for t in ("Far", "Next", "Near") for n in (1, 2)] + [("Near", "Near#stop", "CONTAINS"), ("Empty", "Empty#stop", "CONTAINS")]
+    g = make(spark, e, [(t, "class") for t in ("Leaf", "Near", "Next", "Far", "Empty")])
+    assert sorted(pairs(walk.find_inherited(g, "Leaf", "run"), "member", "owner", "depth")) == [("Near1#run", "Near", 1), ("Near2#run", "Near", 1)]
+    assert sorted(pairs(walk.find_inherited(g, "Near", "run"), "member", "owner", "depth")) == [("Far1#run", "Far", 1), ("Far2#run", "Far", 1)]
+    assert walk.find_inherited(g, "Leaf", "walk").count() == 0 and walk.find_inherited(g, "nobody", "run").count() == 0
+
+
 def test_dispatch_and_advice_trace(spark):
     e = [("Checkout#checkout", "Payment#pay", "CALLS"), ("Payment#pay", "CardPayment#pay", "DYNAMIC_DISPATCH"), ("Payment#pay", "UpiPayment#pay", "DYNAMIC_DISPATCH"), ("AuditAspect#beforeCheckout", "Checkout#checkout", "ADVISES"), ("AuditAspect#auditPayment", "Payment#pay", "ADVISES")]
     g = make(spark, e)

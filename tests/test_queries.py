@@ -71,6 +71,18 @@ def test_repeated_rows_of_tables_stay_as_in_sql(spark, tmp_path):
         assert compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) == ""
 
 
+def test_every_inherited_member_of_the_name_is_found(spark, tmp_path):
+    """Three nations of each name in a region, and one of them twice: no limit takes a single one of them."""
+    for path in glob.glob(f"{SF}/*.parquet"):
+        os.symlink(path, tmp_path / os.path.basename(path))
+    os.remove(tmp_path / "nation.parquet")
+    con = duck(SF)
+    con.execute(f"COPY (SELECT CAST(n_nationkey + 25 * i AS INT) AS n_nationkey, n_name, n_regionkey FROM nation, range(3) r(i) UNION ALL SELECT * FROM nation WHERE n_nationkey = 17) TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    found = QUERIES["find_inherited"](spark, str(tmp_path))
+    assert {r.member for r in found.collect()} == {"nation:17", "nation:42", "nation:67"}
+    assert compare(found, duck(str(tmp_path)), SQL["find_inherited"]) == ""
+
+
 def test_pairs_of_users_do_not_travel(spark):
     """EMITS pairs are grouped where they arise, and the first of each key is found before anything is dealt out."""
     edges = graph(spark, SF).edges_of("EMITS").select("source", "target", "channel")
